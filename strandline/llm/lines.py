@@ -175,7 +175,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     scratch = Scratch(docs.sparkSession, "lines")
     base = docs.drop("lines_before", "lines_removed", "_sha", "_spans")
     spans = scratch.save(later_copies(base.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), scratch, min_words))
-    s = spans.select(F.col("doc_id").alias("_doc"), F.col("sha").alias("_sha_of"), F.col("spans").alias("_spans"))
+    # one plan at every size: the spans grow with the corpus, so they are never broadcast
+    s = spans.select(F.col("doc_id").alias("_doc"), F.col("sha").alias("_sha_of"), F.col("spans").alias("_spans")).hint("merge")
     d = base.withColumn("_sha", F.xxhash64(F.col(text).cast("string")))
     d = d.join(s, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("_sha") == F.col("_sha_of")), "left")
     split = F.split(F.col(text), "\n", -1)
