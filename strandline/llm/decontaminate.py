@@ -101,37 +101,63 @@ class Items:
         best: dict = {}
         for g in self.sizes.values():
             sh = _rolled(h, g["size"])
-            hit = g["low"][(sh & np.uint64(0xFFFF)).astype(np.int64)]
-            at = np.flatnonzero(hit)
+            at = np.flatnonzero(g["low"][(sh & np.uint64(0xFFFF)).astype(np.int64)])
             place = np.minimum(np.searchsorted(g["all"], sh[at]), len(g["all"]) - 1)
             true = g["all"][place] == sh[at]
             at, place = at[true], place[true]
             if not len(at):
                 continue
-            weight = np.full(len(sh), g["rare"])
-            weight[at] = g["w"][place]
-            known = np.zeros(len(sh))
-            known[at] = g["w"][place]
-            before = np.concatenate([[0.0], np.cumsum(known)])
-            for n, need in g["need"].items():
-                span = n - g["size"] + 1
-                starts = np.arange(max(1, len(sh) - span + 1))
-                ends = np.minimum(starts + span, len(sh))
-                starts = starts[before[ends] - before[starts] >= need]
-                for s in starts.tolist():
-                    fp = np.uint64(self._fp(_signs(sh[s : s + span]) * weight[s : s + span, None].astype(np.float32)))
-                    bits = 64 // BLOCKS
-                    may = np.zeros(len(g["fp"]), bool)
-                    for b in range(BLOCKS):
-                        may |= g["index"][b, int(fp >> np.uint64(b * bits)) & ((1 << bits) - 1)]
-                    may &= (g["n"] == n) & (np.bitwise_count(g["fp"] ^ fp) <= RADIUS)
-                    have = Counter(sh[s : s + span].tolist())
-                    for k in np.flatnonzero(may).tolist():
-                        same = sum(g["of"][x] * min(c, have[x]) for x, c in g["count"][k].items() if x in have) / g["total"][k]
-                        if same >= SIMILAR - 1e-9 and same > best.get(g["ids"][k], (0, 0))[0]:
-                            best[g["ids"][k]] = (same, s)
+            far = int(g["n"].max())
+            for zone in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > far) + 1):  # no window spans two zones' hits
+                first, last = max(0, int(at[zone[0]]) - far), min(len(sh), int(at[zone[-1]]) + far + 1)
+                self._zone(g, sh[first:last], at[zone] - first, g["w"][place[zone]], first, best)
         return best
 
+    @staticmethod
+    def _zone(g: dict, sh: np.ndarray, at: np.ndarray, w: np.ndarray, first: int, best: dict) -> None:
+        weight, known = np.full(len(sh), g["rare"], np.float32), np.zeros(len(sh))
+        weight[at] = known[at] = w
+        before = np.concatenate([[0.0], np.cumsum(known)])
+        starts, ends, lengths = [], [], []
+        for n, need in g["need"].items():
+            if before[-1] < need:
+                continue
+            span = n - g["size"] + 1
+            s = np.arange(max(1, len(sh) - span + 1))
+            e = np.minimum(s + span, len(sh))
+            ok = before[e] - before[s] >= need
+            starts.append(s[ok])
+            ends.append(e[ok])
+            lengths.append(np.full(int(ok.sum()), n))
+        if not starts or not (n_all := sum(map(len, starts))):
+            return
+        s, e, n = (np.concatenate(x) for x in (starts, ends, lengths))
+        sums = np.concatenate([np.zeros((1, 64)), np.cumsum(_signs(sh) * weight[:, None], axis=0, dtype=np.float64)])
+        bits = 64 // BLOCKS
+        for k in range(0, n_all, 1_000):
+            x, y, m = s[k : k + 1_000], e[k : k + 1_000], n[k : k + 1_000]
+            fp = np.packbits(sums[y] - sums[x] > 1e-6, axis=1, bitorder="little").view("<u8")[:, 0]
+            may = np.zeros((len(fp), len(g["fp"])), bool)
+            for b in range(BLOCKS):
+                may |= g["index"][b, ((fp >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1)).astype(np.int64)]
+            may &= (m[:, None] == g["n"][None, :]) & (np.bitwise_count(fp[:, None] ^ g["fp"][None, :]) <= RADIUS)
+            for item in np.flatnonzero(may.any(axis=0)).tolist():
+                own, of, total = g["count"][item], g["of"], g["total"][item]
+                mine = np.array([of[v] if v in own else 0.0 for v in sh.tolist()])
+                upto = np.concatenate([[0.0], np.cumsum(mine)])
+                rows = np.flatnonzero(may[:, item])
+                most = (upto[y[rows]] - upto[x[rows]]) / total  # exact where no shingle repeats in the window
+                for r in rows[np.lexsort((x[rows], -most))].tolist():
+                    bound = (upto[y[r]] - upto[x[r]]) / total
+                    now = best.get(g["ids"][item], (SIMILAR - 2e-9, 0))
+                    if bound <= now[0] + 1e-12 and (bound < now[0] - 1e-12 or first + int(x[r]) >= now[1]):
+                        break
+                    have = Counter(sh[x[r] : y[r]].tolist())
+                    same = sum(of[v] * min(c, have[v]) for v, c in own.items() if v in have) / total
+                    start = first + int(x[r])
+                    if same >= SIMILAR - 1e-9 and (same > now[0] + 1e-12 or abs(same - now[0]) <= 1e-12 and start < now[1]):
+                        best[g["ids"][item]] = (float(same), start)
+
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, item_id, similarity, first_word): a row for every document and item with a window of 0.8 or more; the best
