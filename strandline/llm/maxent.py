@@ -9,8 +9,8 @@ features: a bias, the last symbol (bigram), the last but one (skip), and both to
 table of fixed size; in the second table the row depends on the class too.
 
 Training. The corpus is gathered into counts of (last but one, last, next) over all training documents. Each round, tasks add
-up expected and observed counts of their share of the trigrams; the gradient steps, scaled by them, are taken on the
-summed tables, which have a fixed size whatever the corpus.
+up the expected counts of their share of the trigrams, and the first round the observed ones; the gradient, their difference,
+is taken in steps scaled by their sum, on tables that have a fixed size whatever the corpus.
 """
 
 from __future__ import annotations
@@ -192,13 +192,12 @@ def _trigrams(held):
     return run
 
 
-def _gradient(held):
-    """Observed less expected counts, and their sum, for both tables, in pieces of PIECE rows."""
+def _expected(held, observe: bool):
+    """Expected counts of both tables under the weights, in pieces of PIECE rows; with `observe` the observed ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Weights = held.value
-        diff = [np.zeros(w.a.size), np.zeros(w.b.size)]
-        both = [np.zeros(w.a.size), np.zeros(w.b.size)]
+        sums = [np.zeros(x.size) for x in (w.a, w.b) * (1 + observe)]
         for b in batches:
             key, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n"))
             for k in range(0, len(key), CHUNK):
@@ -210,15 +209,14 @@ def _gradient(held):
                     expected = (np.exp(logs) * times[:, None]).ravel()
                     for f in range(4):
                         at = (rows[:, f, None] * width + np.arange(width)).ravel()
-                        e = np.bincount(at, expected, diff[t].size)
-                        o = np.bincount(rows[:, f] * width + true, times, diff[t].size)
-                        diff[t] += o - e
-                        both[t] += o + e
-        for t, width in ((0, CLASSES), (1, MEMBERS)):
-            step = PIECE * width
-            for p in range(0, diff[t].size, step):
-                if both[t][p : p + step].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([t << 20 | p // step], pa.int32()), pa.array([np.stack([diff[t][p : p + step], both[t][p : p + step]]).tobytes()], pa.binary())], ["piece", "sums"])
+                        sums[t] += np.bincount(at, expected, sums[t].size)
+                        if observe:
+                            sums[2 + t] += np.bincount(rows[:, f] * width + true, times, sums[t].size)
+        for t, x in enumerate(sums):
+            step = PIECE * (CLASSES, MEMBERS)[t % 2]
+            for p in range(0, x.size, step):
+                if x[p : p + step].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([t << 20 | p // step], pa.int32()), pa.array([x[p : p + step].astype(np.float32).tobytes()], pa.binary())], ["piece", "sums"])
 
     return run
 
@@ -227,7 +225,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for piece, sums in zip(b.column("piece").to_pylist(), b.column("sums").to_pylist(), strict=True):
-            x = np.frombuffer(sums)
+            x = np.frombuffer(sums, np.float32).astype(np.float64)
             total[piece] = total[piece] + x if piece in total else x
     for piece, x in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["piece", "sums"])
@@ -244,7 +242,16 @@ def train(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> Model:
     """docs: column text. Counts and trigrams cover every document given."""
     spark = docs.sparkSession
     counts = scratch.save(docs.select("text").mapInArrow(_count, "word string, tail int, n long").groupBy("word", "tail").agg(F.sum("n").alias("c")))
-    head = [(r[0], r[1]) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).select("word", "c").collect()]
+    # the head: words from a count on, a bound between bins of counts so chosen that HEAD words have it at most
+    grade = F.floor(F.log2("c") * 64).cast("int")
+    least, n = None, 0
+    for g, size in sorted(map(tuple, counts.groupBy(grade.alias("g")).agg(F.count(F.lit(1))).collect()), reverse=True):  # some thousand bins
+        n += size
+        if n > HEAD:
+            break
+        least = g
+    found = [] if least is None else counts.where(grade >= least).select("word", "c").collect()
+    head = sorted(((r[0], r[1]) for r in found), key=lambda r: (-r[1], r[0]))
     tail_words, tail_tokens = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
     for tail, n, c in counts.groupBy("tail").agg(F.count(F.lit(1)), F.sum("c")).collect():
         tail_words[tail], tail_tokens[tail] = n, c
@@ -254,15 +261,16 @@ def train(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> Model:
     w = v.start()
     tasks = max(1, spark.sparkContext.defaultParallelism)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(8 * CHUNK))
-    for _ in range(rounds):
+    observed = [np.zeros_like(w.a), np.zeros_like(w.b)]
+    for k in range(rounds):
         now = spark.sparkContext.broadcast(w)
-        sums = tri.coalesce(tasks).mapInArrow(_gradient(now), "piece int, sums binary").repartition(tasks, "piece").mapInArrow(_summed, "piece int, sums binary").collect()  # at most one row a piece
-        w = Weights(w.a.copy(), w.b.copy())
+        sums = tri.coalesce(tasks).mapInArrow(_expected(now, k == 0), "piece int, sums binary").repartition(tasks, "piece").mapInArrow(_summed, "piece int, sums binary").collect()  # at most one row a piece
+        expected = [np.zeros_like(w.a), np.zeros_like(w.b)]
         for piece, raw in sums:
-            table, width = ((w.a, CLASSES), (w.b, MEMBERS))[piece >> 20]
-            diff, both = np.frombuffer(bytes(raw), np.float32).reshape(2, -1, width)
-            at = (piece & (1 << 20) - 1) * PIECE
-            table[at : at + PIECE] += STEP * diff / (both + DAMP)
+            t = piece >> 20
+            table, at = (expected + observed)[t], (piece & (1 << 20) - 1) * PIECE
+            table[at : at + PIECE] = np.frombuffer(bytes(raw), np.float32).reshape(-1, table.shape[1])
+        w = Weights(*(x + np.float32(STEP) * (o - e) / (o + e + np.float32(DAMP)) for x, o, e in zip((w.a, w.b), observed, expected, strict=True)))
         now.unpersist()
     scratch.drop(tri)
     from .common import BATCH_ROWS
