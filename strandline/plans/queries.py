@@ -4,7 +4,239 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import fusion, grid, query, stats, temporal, windows
+from ..sources.tables import frames, micros, records, streams, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+_REC = """records AS (SELECT event_id AS seq, event_id // 128 + 1 AS pulse_id, user_id % 8 AS worker_id, epoch_us(ts) AS ts_us, ts, 'S' || (user_id % 20) AS session_id, user_id,
+    event_type AS operator, value, least(value / 100.0, 1.0) AS score, least(value / 100.0, 1.0) <= 0.5 AS success,
+    CASE WHEN value > 100 THEN [event_type, 'HIGH'] ELSE [event_type] END AS flags FROM events)"""
+_STR = (
+    _REC
+    + """, streams AS (SELECT CASE operator WHEN 'error' THEN 'vision' WHEN 'click' THEN 'input' WHEN 'view' THEN 'network' WHEN 'purchase' THEN 'gamepad' WHEN 'signup' THEN 'process' END AS modality,
+    seq AS ord, ts_us, score, operator, user_id FROM records UNION ALL SELECT 'activity', seq, ts_us, score, operator, user_id FROM records WHERE value > 100)"""
+)
+_ANC = (
+    _STR
+    + """, found AS (SELECT seq, ts_us, operator AS anchor_type, score, 0 AS pos FROM records WHERE operator = 'error' AND score > 0.5
+      UNION ALL SELECT seq, ts_us, 'peak', score, 1 FROM records WHERE score > 0.7),
+    anchors AS (SELECT seq AS anchor_id, ts_us AS anchor_us, anchor_type, score FROM (SELECT *, row_number() OVER (PARTITION BY round(ts_us / 1000000.0, 3) ORDER BY seq, pos) AS rn FROM found) WHERE rn = 1)"""
+)
+_BLK = (
+    _ANC
+    + """, errs AS (SELECT * FROM anchors WHERE anchor_type = 'error'),
+    probes AS (SELECT anchor_id, frame, anchor_us + frame * 120000000 AS p_us, m.modality FROM errs, (SELECT unnest(range(-6, 7)) AS frame) f, (SELECT DISTINCT modality FROM streams) m),
+    hits AS (SELECT p.anchor_id, p.frame, p.modality, s.ts_us AS near_us, s.ord, row_number() OVER (PARTITION BY p.anchor_id, p.frame, p.modality ORDER BY abs(s.ts_us - p.p_us), s.ts_us, CASE WHEN s.ts_us < p.p_us THEN -s.ord ELSE s.ord END) AS rn
+      FROM probes p JOIN streams s ON s.modality = p.modality AND s.ts_us BETWEEN p.p_us - 300000000 AND p.p_us + 300000000),
+    slices AS (SELECT p.anchor_id, p.frame, p.modality, h.near_us, h.ord FROM probes p LEFT JOIN hits h ON h.anchor_id = p.anchor_id AND h.frame = p.frame AND h.modality = p.modality AND h.rn = 1),
+    parts AS (SELECT anchor_id, count(near_us) AS filled, coalesce(bool_or(frame < 0 AND modality IN ('gamepad', 'input') AND near_us IS NOT NULL), false) AS pre_input,
+      coalesce(bool_or(frame = 0 AND modality = 'vision' AND near_us IS NOT NULL), false) AS at_vision, coalesce(bool_or(frame > 0 AND modality = 'network' AND near_us IS NOT NULL), false) AS post_network FROM slices GROUP BY 1),
+    blocks AS (SELECT *, round(filled / 78.0, 6) AS alignment, round((pre_input::INT + at_vision::INT + post_network::INT) / 3.0, 6) AS coherence, pre_input AND post_network AS chain FROM parts)"""
+)
+_FRM = """frames AS (SELECT vec_id // 30 AS window_id, vec_id % 30 AS frame_id, list_transform(embedding, lambda x: greatest(least(floor((x::DOUBLE + 0.25) / 0.05), 9), 0)::INT) AS grid FROM embeddings),
+    seqd AS (SELECT *, lag(grid) OVER w AS last, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY window_id) AS n FROM frames WINDOW w AS (PARTITION BY window_id ORDER BY frame_id)),
+    cells AS (SELECT window_id, frame_id, i, n, k, k // 8 AS y, k % 8 AS x, grid[k + 1] AS v, last[k + 1] AS p FROM seqd, (SELECT unnest(range(64)) AS k))"""
+
+
+def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None, prelude: str = "") -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = f"WITH {prelude} {sql}" if prelude else sql
+
+
+def _rec(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(records(spark, d))
+
+
+_FULL = ("seq", "pulse_id", "session_id", "operator", "score")
+_FULL_SQL = "seq, pulse_id, session_id, operator, score"
+
+# stored windows: filters, series, counts
+_add("session_summaries", _rec(query.session_summaries), """SELECT session_id, sum(k)::BIGINT AS n, round(sum(s) / sum(k), 6) AS avg_score, max(top) AS max_score, sum(m)::BIGINT AS manipulated, sum(h)::BIGINT AS high_confidence,
+    round(100.0 * sum(m) / sum(k), 6) AS manipulation_rate, round(100.0 * sum(h) / sum(k), 6) AS high_rate, string_agg(operator || '=' || k, ',' ORDER BY operator || '=' || k) AS operators
+    FROM (SELECT session_id, operator, count(*) AS k, sum(score) AS s, max(score) AS top, count_if(score > 0.5) AS m, count_if(score > 0.75) AS h FROM records GROUP BY 1, 2) GROUP BY 1""", _REC)
+_add("flag_filter", _rec(lambda r: query.where_flag(r, "HIGH").select(*_FULL)), f"SELECT {_FULL_SQL} FROM records WHERE list_contains(flags, 'HIGH')", _REC)
+_add("flag_and_score", _rec(lambda r: query.windows_with_flag(r, "click", 0.75).select(*_FULL)), f"SELECT {_FULL_SQL} FROM records WHERE list_contains(flags, 'click') AND score > 0.75", _REC)
+_add("time_range", lambda s, d: _time_range(records(s, d)), f"SELECT {_FULL_SQL} FROM records, (SELECT min(ts_us) AS lo FROM records) WHERE ts_us BETWEEN lo + 86400000000 AND lo + 2 * 86400000000", _REC)
+_add("recent_window", lambda s, d: _recent(records(s, d)), f"SELECT {_FULL_SQL} FROM records, (SELECT max(ts_us) AS hi FROM records) WHERE ts_us BETWEEN hi - 86400000000 AND hi AND score > 0.5", _REC)
+_add("score_above", _rec(lambda r: query.score_above(r, 0.75).select(*_FULL)), f"SELECT {_FULL_SQL} FROM records WHERE coalesce(score, 0) > 0.75", _REC)
+_add("score_below", _rec(lambda r: query.score_below(r, 0.1).select(*_FULL)), f"SELECT {_FULL_SQL} FROM records WHERE coalesce(score, 0) <= 0.1", _REC)
+_add("success_split", _rec(query.success_split), "SELECT count(*) AS n, count_if(success)::BIGINT AS ok, count_if(NOT success)::BIGINT AS failed, round(100.0 * count_if(success) / count(*), 6) AS ok_pct FROM records", _REC)
+_add("by_session", _rec(lambda r: query.where(r, "session_id = 'S7'").select(*_FULL)), f"SELECT {_FULL_SQL} FROM records WHERE session_id = 'S7'", _REC)
+_add("by_pulse", _rec(lambda r: query.where(r, F.col("pulse_id") == 3).select(*_FULL)), f"SELECT {_FULL_SQL} FROM records WHERE pulse_id = 3", _REC)
+_add("extract_series", _rec(query.time_series), "SELECT ts_us, coalesce(score, 0) AS score FROM records", _REC)
+_add("events_all_tags", _rec(lambda r: query.with_all_tags(r, ["error", "HIGH"]).select(*_FULL)), f"SELECT {_FULL_SQL} FROM records WHERE list_has_all(flags, ['error', 'HIGH'])", _REC)
+_add("flag_frequency", _rec(query.flag_frequency), "SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM records) GROUP BY 1", _REC)
+_add("operator_frequency", _rec(lambda r: r.groupBy("operator").agg(F.count(F.lit(1)).alias("n"))), "SELECT operator, count(*) AS n FROM records GROUP BY 1", _REC)
+_add("score_stats", _rec(query.score_stats), "SELECT coalesce(min(score), 0) AS min_score, coalesce(max(score), 0) AS max_score, round(coalesce(avg(score), 0), 6) AS mean_score, count(*) AS n FROM records", _REC)
+_add("session_counts", _rec(query.session_counts), "SELECT coalesce(session_id, 'unknown') AS session_id, count(*) AS n FROM records GROUP BY 1", _REC)
+_add("recent_events", _rec(lambda r: r.orderBy(F.desc("ts_us"), F.desc("seq")).limit(50).select("seq", "ts_us", "operator")), "SELECT seq, ts_us, operator FROM records ORDER BY ts_us DESC, seq DESC LIMIT 50", _REC)
+_add("top_windows", _rec(lambda r: query.top_k(r, 10, ["session_id"], [F.desc("score"), F.asc("seq")]).select("session_id", "rank", "seq", "score")),
+     "SELECT session_id, rn AS rank, seq, score FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, seq) AS rn FROM records) WHERE rn <= 10", _REC)
+_add("pulse_batches", _rec(lambda r: r.groupBy("pulse_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count_distinct("worker_id").alias("workers"))),
+     "SELECT pulse_id, count(*) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us, count(DISTINCT worker_id) AS workers FROM records GROUP BY 1", _REC)
+
+
+def _time_range(r: DataFrame) -> DataFrame:
+    lo = r.agg(F.min("ts_us").alias("lo"))
+    return query.time_range(r.crossJoin(F.broadcast(lo)), F.col("lo") + 86_400_000_000, F.col("lo") + 2 * 86_400_000_000).select(*_FULL)  # one row
+
+
+def _recent(r: DataFrame) -> DataFrame:
+    hi = r.agg(F.max("ts_us").alias("hi"))
+    return query.last_n_minutes(r.crossJoin(F.broadcast(hi)), F.col("hi"), 1440, 0.5).select(*_FULL)  # one row
+
+
+# windows over rows
+_BURST = """SELECT {by} min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n, max(score) AS peak, string_agg(DISTINCT operator, ',' ORDER BY operator) AS operators FROM (
+    SELECT *, sum(new) OVER ({over} ORDER BY ts_us, seq) AS island FROM (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER ({over} ORDER BY ts_us, seq) <= {gap} THEN 0 ELSE 1 END AS new FROM records WHERE score > 0.75))
+    GROUP BY {by} island HAVING count(*) >= {least}"""
+_add("bursts", _rec(lambda r: query.bursts(r, 0.75, 1_800_000_000, 3)), _BURST.format(by="", over="", gap=1800000000, least=3), _REC)
+_add("session_bursts", _rec(lambda r: query.bursts(r, 0.75, 14_400_000_000, 2, ["session_id"])), _BURST.format(by="session_id,", over="PARTITION BY session_id", gap=14400000000, least=2), _REC)
+_add("capsule", _rec(lambda r: windows.capsules(r, "user_id").select("seq", F.array_join(F.transform("before", lambda x: x.cast("string")), ",").alias("before"), F.array_join(F.transform("after", lambda x: x.cast("string")), ",").alias("after"), "span_us")),
+     """SELECT seq, coalesce(array_to_string(list_reverse(list(seq) OVER (PARTITION BY user_id ORDER BY ts_us, seq ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)), ','), '') AS before,
+     coalesce(array_to_string(list(seq) OVER (PARTITION BY user_id ORDER BY ts_us, seq ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING), ','), '') AS after,
+     max(ts_us) OVER w - min(ts_us) OVER w AS span_us FROM records WINDOW w AS (PARTITION BY user_id ORDER BY ts_us, seq ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)""", _REC)
+_add("cross_stream_capsule", lambda s, d: _cross(records(s, d)), """SELECT a.seq AS anchor_id, r.operator AS source, count(*) AS n, min(r.ts_us) AS first_us, max(r.ts_us) AS last_us
+     FROM records a JOIN records r ON r.ts_us BETWEEN a.ts_us - 600000000 AND a.ts_us + 600000000 WHERE a.operator = 'error' AND a.score > 0.75 GROUP BY 1, 2""", _REC)
+_add("chain_events", lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "o_custkey", "l_shipdate").where("o_custkey < 200"),
+     "SELECT o_orderkey, l_linenumber, o_custkey, l_shipdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 200")
+_add("chain_bounds", lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("events"), F.min("l_shipdate").alias("starts"), F.max("l_shipdate").alias("ends"), ((F.max(micros("l_shipdate")) - F.min(micros("l_shipdate"))) / 1_000_000).cast("long").alias("seconds")),
+     "SELECT l_orderkey, count(*) AS events, min(l_shipdate) AS starts, max(l_shipdate) AS ends, ((max(epoch_us(l_shipdate)) - min(epoch_us(l_shipdate))) // 1000000)::BIGINT AS seconds FROM lineitem GROUP BY 1")
+_NEAR = """SELECT p.seq AS probe_id, h.ts_us AS near_us, h.seq AS near_id FROM records p LEFT JOIN LATERAL (SELECT c.ts_us, c.seq FROM records c WHERE c.operator = 'click' AND abs(c.ts_us - p.ts_us) {op} {tol}
+     ORDER BY abs(c.ts_us - p.ts_us), c.ts_us, CASE WHEN c.ts_us < p.ts_us THEN -c.seq ELSE c.seq END LIMIT 1) h ON true WHERE p.operator = 'error'"""
+_add("nearest_asof", lambda s, d: _nearest(records(s, d), 600_000_000, False), _NEAR.format(op="<=", tol=600000000), _REC)
+_add("nearest_asof_strict", lambda s, d: _nearest(records(s, d), 300_000_000, True), _NEAR.format(op="<", tol=300000000), _REC)
+_add("modality_overlap", lambda s, d: temporal.interval_overlap(streams(s, d)), """SELECT a.modality AS first, b.modality AS second, greatest(a.lo, b.lo) < least(a.hi, b.hi) AS overlaps, abs(least(a.hi, b.hi) - greatest(a.lo, b.lo)) AS micros
+     FROM s a JOIN s b ON a.modality < b.modality""", _STR + ", s AS (SELECT modality, min(ts_us) AS lo, max(ts_us) AS hi FROM streams GROUP BY 1)")
+
+
+def _cross(r: DataFrame) -> DataFrame:
+    a = r.where("operator = 'error' and score > 0.75").select(F.col("seq").alias("anchor_id"), F.col("ts_us").alias("anchor_us"))
+    return temporal.band_join(a, r.select("ts_us", "operator"), 600_000_000).groupBy("anchor_id", F.col("operator").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+
+
+def _nearest(r: DataFrame, tolerance: int, strict: bool) -> DataFrame:
+    p = r.where("operator = 'error'").select(F.col("seq").alias("probe_id"), "ts_us")
+    c = r.where("operator = 'click'").select("ts_us", F.col("seq").alias("ord"), F.col("seq").alias("payload"))
+    return temporal.nearest_join(p, c, tolerance, strict=strict).select("probe_id", "near_us", F.col("payload").alias("near_id"))
+
+
+# anchors, blocks, analyses
+def _anchors(s, d):
+    return fusion.anchors(records(s, d), ("error",))
+
+
+def _slices(s, d):
+    return fusion.slices(_anchors(s, d).where("anchor_type = 'error'"), streams(s, d), 120_000_000, 300_000_000)
+
+
+def _blocks(s, d):
+    return fusion.block_scores(_slices(s, d))
+
+
+_add("anchors", _anchors, "SELECT * FROM anchors", _ANC)
+_add("anchor_distribution", lambda s, d: _anchors(s, d).groupBy("anchor_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.max("score").alias("max_score"), F.min("score").alias("min_score")),
+     "SELECT anchor_type, count(*) AS n, round(avg(score), 6) AS mean_score, max(score) AS max_score, min(score) AS min_score FROM anchors GROUP BY 1", _ANC)
+_add("fusion_slices", lambda s, d: _slices(s, d).select("anchor_id", "frame", "modality", "near_us", F.col("payload.ord").alias("ord")), "SELECT anchor_id, frame::INT AS frame, modality, near_us, ord FROM slices", _BLK)
+_add("block_scores", _blocks, "SELECT anchor_id, filled, pre_input, at_vision, post_network, alignment, coherence, chain FROM blocks", _BLK)
+_add("modality_coverage", lambda s, d: fusion.modality_coverage(_slices(s, d)), "SELECT modality, count(*) AS slices, count(near_us) AS filled, round(100.0 * count(near_us) / count(*), 6) AS pct FROM slices GROUP BY 1", _BLK)
+_add("temporal_patterns", lambda s, d: fusion.temporal_patterns(_blocks(s, d)), "SELECT count(*) AS blocks, count_if(pre_input)::BIGINT AS pre_input, count_if(at_vision)::BIGINT AS at_vision, count_if(post_network)::BIGINT AS post_network, count_if(chain)::BIGINT AS chain, round(100.0 * count_if(chain) / count(*), 6) AS chain_pct FROM blocks", _BLK)
+_add("block_anomalies", lambda s, d: fusion.block_anomalies(_blocks(s, d), _anchors(s, d)), """SELECT * FROM (SELECT b.anchor_id, concat_ws(',', CASE WHEN at_vision AND score > 0.7 THEN 'high_score' END, CASE WHEN alignment < 0.1 THEN 'low_alignment' END, CASE WHEN coherence < 0.2 THEN 'low_coherence' END) AS issues
+     FROM blocks b JOIN anchors a ON a.anchor_id = b.anchor_id) WHERE issues <> ''""", _BLK)
+_add("blocks_by_hour", lambda s, d: _anchors(s, d).groupBy(F.floor(F.col("anchor_us") / 3_600_000_000 % 24).cast("int").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > 0.9).alias("high")),
+     "SELECT (anchor_us // 3600000000 % 24)::INT AS hour, count(*) AS n, count_if(score > 0.9)::BIGINT AS high FROM anchors GROUP BY 1", _ANC)
+_add("network_top", lambda s, d: streams(s, d).where("modality = 'network'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")).orderBy(F.desc("n"), "first").limit(10).select("user_id", "n"),
+     "SELECT user_id, n FROM (SELECT user_id, count(*) AS n, min(ord) AS first FROM streams WHERE modality = 'network' GROUP BY 1) ORDER BY n DESC, first LIMIT 10", _STR)
+_add("timeline_stats", lambda s, d: streams(s, d).groupBy("modality").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.round(F.try_divide(F.count(F.lit(1)) * 1e6, F.max("ts_us") - F.min("ts_us")), 6).alias("per_second")),
+     "SELECT modality, count(*) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us, round(count(*) * 1e6 / nullif(max(ts_us) - min(ts_us), 0), 6) AS per_second FROM streams GROUP BY 1", _STR)
+_FUSED = """f AS (SELECT ts_us // 3600000000 AS window_key, count_if(modality = 'vision') AS vision_events, max(CASE WHEN modality = 'vision' THEN score END) AS vision_score, count_if(modality = 'input') AS inputs, count_if(modality = 'network') AS packets,
+     round(sum(CASE WHEN modality = 'network' THEN score ELSE 0 END), 6) AS bytes, count_if(modality = 'gamepad') AS gamepad_events, count(DISTINCT CASE WHEN modality = 'process' THEN user_id END) AS processes
+     FROM (SELECT *, row_number() OVER (PARTITION BY ts_us // 3600000000, modality ORDER BY ts_us, ord) AS rn FROM streams WHERE modality <> 'activity') WHERE rn <= 1000 GROUP BY 1),
+     c AS (SELECT *, (vision_events > 0)::INT + (inputs > 0)::INT + (packets > 0)::INT + (gamepad_events > 0)::INT + (processes > 0)::INT AS sources FROM f)"""
+_add("fused_windows", lambda s, d: fusion.fused_windows(streams(s, d), 3600), """SELECT window_key, vision_events::BIGINT AS vision_events, vision_score, inputs::BIGINT AS inputs, packets::BIGINT AS packets, bytes, gamepad_events::BIGINT AS gamepad_events, processes::INT AS processes, sources,
+     CASE WHEN sources >= 2 THEN concat_ws(',', CASE WHEN vision_score > 0.7 AND inputs > 0 AND inputs < 2 THEN 'AIM_LOCK_NO_INPUT' END, CASE WHEN vision_score > 0.7 AND bytes > 1.0 THEN 'MANIPULATION_STABLE_NETWORK' END,
+     CASE WHEN vision_score > 0.7 AND gamepad_events > 0 AND gamepad_events < 2 THEN 'AIM_WITHOUT_GAMEPAD' END) ELSE '' END AS correlations FROM c""", _STR + ", " + _FUSED)
+
+# statistics
+_TEN = "w10 AS (SELECT ts_us // 600000000 * 600000000 AS start_us, count(*) AS n, max(score) AS peak FROM records GROUP BY 1)"
+
+
+def _ten(r: DataFrame) -> DataFrame:
+    return r.groupBy((F.floor(F.col("ts_us") / 600_000_000) * 600_000_000).alias("start_us")).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("peak"))
+
+
+_add("cooccurrence", _rec(lambda r: stats.cooccurrence(r.withColumn("w", F.floor(F.col("ts_us") / 600_000_000)), "w", "operator")), "SELECT a.operator AS first, b.operator AS second, count(*) AS windows FROM o a JOIN o b ON a.w = b.w AND a.operator < b.operator GROUP BY 1, 2",
+     _REC + ", o AS (SELECT DISTINCT ts_us // 600000000 AS w, operator FROM records)")
+_add("cascades", _rec(lambda r: stats.cascades(_ten(r), 600_000_000)), "SELECT * FROM (SELECT start_us, n, lead(start_us) OVER (ORDER BY start_us) AS next_us, lead(n) OVER (ORDER BY start_us) AS next_n FROM w10) WHERE n >= 2 AND next_n >= 1 AND next_us - start_us <= 600000000", _REC + ", " + _TEN)
+_add("fingerprint_stats", _rec(lambda r: r.groupBy("operator").agg(F.round(F.avg("score"), 6).alias("mean"), F.max("score").alias("most"), F.min("score").alias("least"), F.count_if(F.col("score") > 0).alias("triggered"), F.count_if(F.col("score") > 0.9).alias("extreme"))),
+     "SELECT operator, round(avg(score), 6) AS mean, max(score) AS most, min(score) AS least, count_if(score > 0)::BIGINT AS triggered, count_if(score > 0.9)::BIGINT AS extreme FROM records GROUP BY 1", _REC)
+_add("signature_outliers", _rec(lambda r: stats.outliers(_ten(r).select("start_us", "n"), "n")), "SELECT start_us, n FROM w10, (SELECT avg(n) AS m, stddev_samp(n) AS s FROM w10) WHERE s > 0 AND n > m + 2 * s", _REC + ", " + _TEN)
+_QUANT = "round((v[least(greatest({k} * (len(v) + 1) // {n}, 1), len(v) - 1)] * ({n} - ({k} * (len(v) + 1) - least(greatest({k} * (len(v) + 1) // {n}, 1), len(v) - 1) * {n})) + v[least(greatest({k} * (len(v) + 1) // {n}, 1), len(v) - 1) + 1] * ({k} * (len(v) + 1) - least(greatest({k} * (len(v) + 1) // {n}, 1), len(v) - 1) * {n})) / {n}, 6)"
+_add("profile_quantiles", _rec(lambda r: stats.profile(r, "user_id", "value")), f"SELECT user_id, n, mean, deviation, least, most, {_QUANT.format(n=2, k=1)} AS median, {_QUANT.format(n=4, k=1)} AS p25, {_QUANT.format(n=4, k=3)} AS p75, CASE WHEN n < 10 THEN most ELSE {_QUANT.format(n=10, k=9)} END AS p90 FROM g",
+     _REC + ", g AS (SELECT user_id, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation, min(value) AS least, max(value) AS most, list_sort(list(value)) AS v FROM records GROUP BY 1)")
+_add("operator_fingerprints", _rec(lambda r: r.groupBy("operator", "session_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("score"), F.lit(0.0)), 6).alias("deviation"), F.count_if(F.array_contains("flags", "HIGH")).alias("high"))),
+     "SELECT operator, session_id, count(*) AS n, round(avg(score), 6) AS mean, round(coalesce(stddev_samp(score), 0), 6) AS deviation, count_if(list_contains(flags, 'HIGH'))::BIGINT AS high FROM records GROUP BY 1, 2", _REC)
+_add("thresholds", _rec(lambda r: stats.thresholds(r.where("user_id % 2 = 0"), r.where("user_id % 2 = 1"), "operator", "score")),
+     """SELECT operator, round(((me + se) + (mh - sh)) / 2, 6) AS threshold FROM (SELECT operator, avg(score) FILTER (user_id % 2 = 0) AS me, coalesce(stddev_samp(score) FILTER (user_id % 2 = 0), 0) AS se, avg(score) FILTER (user_id % 2 = 1) AS mh, coalesce(stddev_samp(score) FILTER (user_id % 2 = 1), 0) AS sh FROM records GROUP BY 1)
+     WHERE me IS NOT NULL AND mh IS NOT NULL""", _REC)
+_add("transition", _rec(lambda r: windows.transition(r, "user_id", ["ts_us", "seq"], "score")), """SELECT user_id, min(CASE WHEN i >= 1 AND i < n - 10 AND gain > 0.3 THEN i END) AS first_index FROM (SELECT user_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n,
+     avg(score) OVER (PARTITION BY user_id ORDER BY ts_us, seq ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) - avg(score) OVER (PARTITION BY user_id ORDER BY ts_us, seq ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS gain FROM records WINDOW w AS (PARTITION BY user_id ORDER BY ts_us, seq)) GROUP BY 1""", _REC)
+_add("combat_report", _rec(lambda r: r.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"), F.round(F.avg("score"), 6).alias("mean"), F.max("score").alias("most"), F.count_if(F.col("score") >= 0.7).alias("high"), F.count_if((F.col("score") >= 0.4) & (F.col("score") < 0.7)).alias("medium"), F.count_if(F.col("score") < 0.4).alias("low"), (F.max("ts_us") - F.min("ts_us")).alias("span_us"))),
+     "SELECT session_id, count(*) AS n, min(score) AS least, round(avg(score), 6) AS mean, max(score) AS most, count_if(score >= 0.7)::BIGINT AS high, count_if(score >= 0.4 AND score < 0.7)::BIGINT AS medium, count_if(score < 0.4)::BIGINT AS low, max(ts_us) - min(ts_us) AS span_us FROM records GROUP BY 1", _REC)
+_WEIGHTS = {"click": 0.3, "error": 0.3, "purchase": 0.25, "view": 0.15}
+_add("composite_score", _rec(lambda r: stats.composite(r, _WEIGHTS, "pulse_id")), """SELECT pulse_id, composite, composite >= 0.5 AS manipulation, composite >= 0.75 AS high_confidence, flags FROM (SELECT r.pulse_id, round(CASE WHEN sum(w) > 0 THEN greatest(0, least(1, sum(score * w) / sum(w))) ELSE 0 END, 6) AS composite, any_value(fl.flags) AS flags
+     FROM (SELECT *, CASE operator WHEN 'click' THEN 0.3::DOUBLE WHEN 'error' THEN 0.3::DOUBLE WHEN 'purchase' THEN 0.25::DOUBLE WHEN 'view' THEN 0.15::DOUBLE ELSE 0::DOUBLE END AS w FROM records) r
+     JOIN (SELECT pulse_id, string_agg(DISTINCT f, ',' ORDER BY f) AS flags FROM (SELECT pulse_id, unnest(flags) AS f FROM records) GROUP BY 1) fl ON fl.pulse_id = r.pulse_id GROUP BY 1)""", _REC)
+_add("seal_sessions", _rec(lambda r: r.where("score >= 0.7").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("peak")).where("n >= 3")), "SELECT session_id, count(*) AS n, max(score) AS peak FROM records WHERE score >= 0.7 GROUP BY 1 HAVING count(*) >= 3", _REC)
+_add("evidence", _rec(lambda r: query.top_k(query.score_above(r, 0.5), 20, ["session_id"], [F.asc("ts_us"), F.asc("seq")]).select("session_id", "rank", "seq", "operator", "score")),
+     "SELECT session_id, rn AS rank, seq, operator, score FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts_us, seq) AS rn FROM records WHERE score > 0.5) WHERE rn <= 20", _REC)
+_add("daily_usage", _rec(lambda r: _daily(r)), "SELECT dt, bytes, round(floor(avg(bytes) OVER (ORDER BY dt ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)), 0)::BIGINT AS mean_bytes FROM (SELECT strftime(ts, '%Y%m%d') AS dt, sum(floor(value))::BIGINT AS bytes FROM records GROUP BY 1)", _REC)
+
+
+def _daily(r: DataFrame) -> DataFrame:
+    d = r.groupBy(F.date_format("ts", "yyyyMMdd").alias("dt")).agg(F.sum(F.floor("value")).alias("bytes"))
+    return d.withColumn("mean_bytes", F.floor(F.avg("bytes").over(Window.orderBy("dt").rowsBetween(-6, 0))))  # a row a day
+
+
+# ordered changes and folds
+_add("change_only", _rec(lambda r: windows.change_only(r, "user_id", ["ts_us", "seq"], ["operator"]).select("user_id", "seq", "operator")), "SELECT user_id, seq, operator FROM (SELECT *, lag(operator) OVER w AS o, row_number() OVER w AS rn FROM records WINDOW w AS (PARTITION BY user_id ORDER BY ts_us, seq)) WHERE rn = 1 OR o IS DISTINCT FROM operator", _REC)
+_add("first_seen", _rec(lambda r: windows.first_seen(r, "user_id", ["ts_us", "seq"]).select("user_id", "seq", "ts_us")), "SELECT user_id, seq, ts_us FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, seq) AS rn FROM records) WHERE rn = 1", _REC)
+_add("monotone_clamp", _rec(lambda r: windows.monotone_clamp(r, "session_id", ["seq"], "value").select("seq", "clock")), "SELECT seq, max(value) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS clock FROM records", _REC)
+_add("dead_band", _rec(lambda r: windows.dead_band(r, "user_id", ["ts_us", "seq"], "value", 10.0)))
+_add("baseline_fold", lambda s, d: windows.welford(table(s, d, "lineitem"), "l_suppkey", ["l_shipdate", "l_orderkey", "l_linenumber"], "l_quantity", 1.6))
+_add("hash_chain", _rec(lambda r: windows.hash_chain(r.withColumn("line", F.concat_ws("|", F.col("seq").cast("string"), "operator")), "user_id", ["seq"], "line")), """SELECT user_id, n::INT AS n, head FROM (SELECT user_id, count(*) AS n, list_reduce(list_prepend(repeat('0', 64), list(seq || '|' || operator ORDER BY seq)), lambda a, x: sha256(a || x)) AS head FROM records GROUP BY 1)""", _REC)
+_add("idle_islands", _rec(lambda r: windows.quiet_islands(r, "user_id", ["ts_us", "seq"], "value", 2, 3).groupBy("user_id", "state").agg(F.count(F.lit(1)).alias("n"), F.max("quiet").alias("longest"))),
+     """SELECT user_id, CASE WHEN quiet >= 3 THEN 'stalled' WHEN quiet >= 2 THEN 'idle' ELSE 'active' END AS state, count(*) AS n, max(quiet)::INT AS longest FROM (SELECT *, row_number() OVER (PARTITION BY user_id, isle ORDER BY ts_us, seq) - 1 AS quiet FROM (SELECT *, sum(grew) OVER (PARTITION BY user_id ORDER BY ts_us, seq) AS isle FROM (
+     SELECT *, CASE WHEN value > lag(value) OVER (PARTITION BY user_id ORDER BY ts_us, seq) OR lag(value) OVER (PARTITION BY user_id ORDER BY ts_us, seq) IS NULL THEN 1 ELSE 0 END AS grew FROM records))) GROUP BY 1, 2""", _REC)
+QUERIES["record_mapping"] = _rec(lambda r: r.select("seq", (F.col("score") <= 0.5).alias("success"), F.when(F.col("score") > 0.5, "eomm_above_threshold").alias("failure_reason"), F.array_join(F.array_sort("flags"), ",").alias("flags")))
+ORACLES["record_mapping"] = f"WITH {_REC} SELECT seq, score <= 0.5 AS success, CASE WHEN score > 0.5 THEN 'eomm_above_threshold' END AS failure_reason, array_to_string(list_sort(flags), ',') AS flags FROM records"
+
+# grids
+_grid = lambda f: lambda s, d: f(frames(s, d))
+_add("grid_palette", lambda s, d: frames(s, d).select(F.explode("grid").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "SELECT v AS cell, count(*) AS n FROM cells GROUP BY 1", _FRM)
+_add("flicker", _grid(grid.flicker), "SELECT window_id, round(ratio, 6) AS ratio, round(least(1.0, ratio / 0.5), 6) AS confidence FROM (SELECT window_id, count_if(f >= 3) / count(*) AS ratio FROM (SELECT window_id, k, count_if(abs(v - p) >= 2) AS f FROM cells WHERE n >= 3 AND p IS NOT NULL GROUP BY 1, 2) GROUP BY 1) WHERE ratio > 0.05", _FRM)
+_add("hud_stability", _grid(grid.hud_stability), """SELECT window_id, round(greatest(b, t), 6) AS instability, round(least(1.0, greatest(b, t) / 0.1), 6) AS confidence, concat_ws(',', CASE WHEN b > 0.02 THEN 'bottom' END, CASE WHEN t > 0.02 THEN 'top' END) AS unstable FROM (
+     SELECT window_id, avg(CASE WHEN y = 7 THEN (v <> p)::INT END) AS b, avg(CASE WHEN y = 0 THEN (v <> p)::INT END) AS t FROM cells WHERE p IS NOT NULL GROUP BY 1) WHERE greatest(b, t) > 0.02""", _FRM)
+_add("peripheral_flash", _grid(grid.peripheral_flash), """SELECT window_id, round(greatest(t, b, l, r), 6) AS flash, CASE greatest(t, b, l, r) WHEN t THEN 'top' WHEN b THEN 'bottom' WHEN l THEN 'left' ELSE 'right' END AS edge, round(least(1.0, greatest(t, b, l, r) / 0.03), 6) AS confidence FROM (
+     SELECT window_id, max(t) AS t, max(b) AS b, max(l) AS l, max(r) AS r FROM (SELECT window_id, frame_id, avg(CASE WHEN y = 0 THEN (abs(v - p) >= 3)::INT END) AS t, avg(CASE WHEN y = 7 THEN (abs(v - p) >= 3)::INT END) AS b,
+     avg(CASE WHEN x = 0 AND y BETWEEN 1 AND 6 THEN (abs(v - p) >= 3)::INT END) AS l, avg(CASE WHEN x = 7 AND y BETWEEN 1 AND 6 THEN (abs(v - p) >= 3)::INT END) AS r FROM cells WHERE p IS NOT NULL GROUP BY 1, 2) GROUP BY 1) WHERE greatest(t, b, l, r) > 0.03""", _FRM)
+_add("color_shift", _grid(lambda f: grid.color_shift(f, 0.1)), """SELECT window_id, round(emd, 6) AS emd, round(least(1.0, emd / 0.1), 6) AS confidence FROM (SELECT window_id, sum(abs(u)) AS emd FROM (SELECT window_id, bin, sum(d) OVER (PARTITION BY window_id ORDER BY bin) AS u FROM (
+     SELECT window_id, bin, count_if(v = bin AND i < n // 2) / (count_if(i < n // 2)) - count_if(v = bin AND i >= n // 2) / (count_if(i >= n // 2)) AS d FROM cells, (SELECT unnest(range(10)) AS bin) WHERE n >= 10 GROUP BY 1, 2)) GROUP BY 1) WHERE emd > 0.1""", _FRM)
+_add("crosshair_motion", _grid(grid.crosshair_motion))
+_add("crosshair_lock", _grid(grid.crosshair_lock))
+_add("hit_registration", _grid(grid.hit_registration), """SELECT window_id, m AS markers, g AS ghosts, round(g / m, 6) AS ghost_ratio, round(greatest(0.0, (g / m - 0.3) / 0.7), 6) AS confidence, concat_ws(',', CASE WHEN g / m > 0.3 THEN 'GHOST_HITS' END, CASE WHEN g / m > 0.5 THEN 'DAMAGE_SUPPRESSION' END) AS flags FROM (
+     SELECT window_id, count_if(marker)::BIGINT AS m, count_if(marker AND NOT conf)::BIGINT AS g FROM (SELECT window_id, marker, max(seen::INT) OVER (PARTITION BY window_id ORDER BY frame_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 1 AS conf FROM (
+     SELECT window_id, frame_id, count_if(x IN (3, 4) AND y IN (3, 4) AND v = 9) / 4.0 > 0.05 AS marker, count_if(v IN (7, 8)) / 64.0 > 0.02 OR coalesce(count_if(NOT (x IN (3, 4) AND y IN (3, 4)) AND abs(v - p) >= 5) / 60.0 > 0.1, false) AS seen FROM cells WHERE n >= 5 GROUP BY 1, 2)) GROUP BY 1) WHERE m > 0""", _FRM)
+_add("death_event", _grid(grid.death_event), """SELECT window_id, dmg AS damage_frames, lst - fst AS frames_to_death, died, round(CASE WHEN dmg > 10 THEN least(1.0, dmg / 20) ELSE 0 END, 6) AS confidence FROM (SELECT window_id, count_if(hurt)::BIGINT AS dmg, min(CASE WHEN hurt THEN i END) AS fst, max(i) AS lst, bool_or(dead) AS died FROM (
+     SELECT *, min(CASE WHEN dead THEN i END) OVER (PARTITION BY window_id) AS e FROM (SELECT window_id, i, greatest(count_if(y = 0 AND v IN (7, 8)), count_if(y = 7 AND v IN (7, 8)), count_if(x = 0 AND v IN (7, 8)), count_if(x = 7 AND v IN (7, 8))) / 8.0 > 0.05 AS hurt, sum(v * v) / 64.0 - (sum(v) / 64.0) * (sum(v) / 64.0) < 2 AS dead
+     FROM cells WHERE n >= 5 GROUP BY 1, 2)) WHERE e IS NULL OR i <= e GROUP BY 1) WHERE dmg > 0""", _FRM)
+_add("edge_entry", _grid(grid.edge_entry), """SELECT window_id, (rear + front + l + r)::BIGINT AS entries, rear, front, l AS "left", r AS "right", round(greatest(0.0, (rear / (rear + front + l + r) - 0.4) / 0.6), 6) AS confidence, CASE WHEN rear / (rear + front + l + r) > 0.4 THEN 'SPAWN_PRESSURE' ELSE '' END AS flags FROM (
+     SELECT window_id, count_if(a > 0.05)::BIGINT AS rear, count_if(b > 0.05)::BIGINT AS front, count_if(c > 0.05)::BIGINT AS l, count_if(d > 0.05)::BIGINT AS r FROM (SELECT window_id, frame_id, count_if(y = 0 AND v >= 5) / 8.0 - count_if(y = 0 AND p >= 5) / 8.0 AS a, count_if(y = 7 AND v >= 5) / 8.0 - count_if(y = 7 AND p >= 5) / 8.0 AS b,
+     count_if(x = 0 AND y BETWEEN 1 AND 6 AND v >= 5) / 6.0 - count_if(x = 0 AND y BETWEEN 1 AND 6 AND p >= 5) / 6.0 AS c, count_if(x = 7 AND y BETWEEN 1 AND 6 AND v >= 5) / 6.0 - count_if(x = 7 AND y BETWEEN 1 AND 6 AND p >= 5) / 6.0 AS d FROM cells WHERE n >= 3 AND p IS NOT NULL GROUP BY 1, 2) GROUP BY 1) WHERE rear + front + l + r > 0""", _FRM)
+_add("grid_fingerprint", _grid(grid.fingerprint))
