@@ -96,9 +96,44 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str =
     for name, ws in wanted.items():
         n = len(ws)
         classes.setdefault((min(n, SHINGLE), n if n < 12 else math.ceil(12 * RATIO ** math.ceil(math.log(n / 12, RATIO) - 1e-9))), {})[name] = ws
-    found = [_scan_class(d, members, max(map(len, members.values())), size, sorted({a for ws in members.values() for a in anchors(ws, common)})) for (size, _), members in sorted(classes.items())]
-    best = F.max(F.struct("containment", (-F.col("first_word")).alias("back"))).alias("best")
-    return reduce(DataFrame.union, found).groupBy("doc_id", "license").agg(best).select("doc_id", "license", F.col("best.containment").alias("containment"), (-F.col("best.back")).cast("int").alias("first_word"))
+    kinds = [_Class(members, size, sorted({a for ws in members.values() for a in anchors(ws, common)})) for (size, _), members in sorted(classes.items())]
+    # one pass for all classes: the places of the windows with an anchor first, so that only their words are carried along
+    marks = F.array(*[F.array(*[F.lit(m) for m in k.marks]) for k in kinds])
+    places = F.concat(*[F.when(F.arrays_overlap("w", marks[n]) & (F.size("w") >= k.size), k.places(n)).otherwise(F.array().cast(_PLACE)) for n, k in enumerate(kinds)])
+    words = lambda p: F.slice("w", p["start"] + 1, p["span"])
+    kept = F.filter(places, lambda p: F.arrays_overlap(words(p), marks[p["kind"]]))
+    windows = F.transform(kept, lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["size"].alias("size"), words(p).alias("w")))
+    w = d.select("doc_id", F.explode(windows).alias("x")).select("doc_id", "x.*").where(F.size("w") >= F.col("size"))
+    shingles = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1), lambda k: F.xxhash64(F.array_join(F.slice("w", k, F.col("size")), " ")))
+    w = w.select("doc_id", "kind", "start", F.array_distinct(shingles).alias("h"))
+    keyed = w.select("doc_id", "kind", "start", "h", F.explode(_minima(F.col("h"))).alias("key")).select("doc_id", "kind", "start", "h", "key.band", "key.low")
+    t = spark.createDataFrame([(n, name, sh) for n, k in enumerate(kinds) for name, sh in sorted(k.shingles.items())], "kind int, license string, ts array<string>").withColumn("th", F.transform("ts", lambda s: F.xxhash64(s)))
+    t = t.withColumn("key", F.explode(_minima(F.col("th")))).select("kind", "license", "th", "key.band", "key.low")
+    small = sum(len(sh) for k in kinds for sh in k.shingles.values()) < BROADCAST_SHINGLES
+    hit = keyed.join(F.broadcast(t) if small else t, ["kind", "band", "low"])
+    inside = F.size(F.array_intersect("h", "th")) / F.size("th")
+    found = hit.select("doc_id", "license", inside.alias("containment"), (-F.col("start")).alias("back")).where(F.col("containment") >= CONTAINED - 1e-9)
+    best = F.max(F.struct("containment", "back")).alias("best")
+    return found.groupBy("doc_id", "license").agg(best).select("doc_id", "license", F.col("best.containment").alias("containment"), (-F.col("best.back")).cast("int").alias("first_word"))
+
+
+_PLACE = "array<struct<kind:int,start:int,span:int,size:int>>"
+
+
+class _Class:
+    """Templates of about one length, with shingles of `size` words and the anchors of all."""
+
+    def __init__(self, members: dict[str, list[str]], size: int, marks: list[str]):
+        self.size, self.marks = size, marks
+        long = max(map(len, members.values()))
+        self.step = max(1, long // 4)
+        self.span = long + self.step - 1
+        self.shingles = {k: sorted({" ".join(ws[i : i + size]) for i in range(len(ws) - size + 1)}) for k, ws in members.items()}
+
+    def places(self, n: int) -> F.Column:
+        """Starts of the windows over the words w."""
+        last = F.ceil(F.greatest(F.lit(0), F.size("w") - self.span) / self.step).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.lit(n).alias("kind"), (k * self.step).alias("start"), F.lit(self.span).alias("span"), F.lit(self.size).alias("size"))).cast(_PLACE)
 
 
 def _minima(hashes: F.Column) -> F.Column:
@@ -108,23 +143,3 @@ def _minima(hashes: F.Column) -> F.Column:
         return lambda x: F.xxhash64(x, F.lit(k))
 
     return F.array(*[F.struct(F.lit(k).alias("band"), F.array_min(F.transform(hashes, band(k))).alias("low")) for k in range(BANDS)])
-
-
-def _scan_class(d: DataFrame, members: dict[str, list[str]], long: int, size: int, marks: list[str]) -> DataFrame:
-    """The templates of one class, of `long` words at most, with shingles of `size` words."""
-    spark = d.sparkSession
-    sets = {k: sorted({" ".join(ws[i : i + size]) for i in range(len(ws) - size + 1)}) for k, ws in members.items()}
-    t = spark.createDataFrame(sorted(sets.items()), "license string, ts array<string>").withColumn("th", F.transform("ts", lambda s: F.xxhash64(s)))
-    t = t.withColumn("key", F.explode(_minima(F.col("th")))).select("license", "th", "key.band", "key.low")
-    step = max(1, long // 4)
-    span = long + step - 1
-    starts = F.transform(F.sequence(F.lit(0), F.ceil(F.greatest(F.lit(0), F.size("w") - span) / step).cast("int")), lambda k: k * step)
-    w = d.where(F.size("w") >= size).select("doc_id", "w", F.explode(starts).alias("start"))
-    w = w.select("doc_id", "start", F.slice("w", F.col("start") + 1, span).alias("w"))
-    w = w.where(F.arrays_overlap("w", F.array(*[F.lit(m) for m in marks])) & (F.size("w") >= size))
-    shingles = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda k: F.xxhash64(F.array_join(F.slice("w", k, size), " ")))
-    w = w.select("doc_id", "start", F.array_distinct(shingles).alias("h"))
-    keyed = w.select("doc_id", "start", "h", F.explode(_minima(F.col("h"))).alias("key")).select("doc_id", "start", "h", "key.band", "key.low")
-    hit = keyed.join(F.broadcast(t) if sum(map(len, sets.values())) < BROADCAST_SHINGLES else t, ["band", "low"])
-    inside = F.size(F.array_intersect("h", "th")) / F.size("th")
-    return hit.select("doc_id", "start", "license", inside.alias("containment")).where(F.col("containment") >= CONTAINED - 1e-9).select("doc_id", "license", "containment", F.col("start").alias("first_word"))
