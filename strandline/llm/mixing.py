@@ -82,7 +82,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     scratch = Scratch(docs.sparkSession, "mixing")
     drawn = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.col(source)), F.lit(1 << 36)).cast("long")
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), drawn.alias("draw"), *[F.col(c).alias(f"_k_{c}") for c in keep or []])
-    small = scratch.save(base.select("source", "size", "draw"))
+    small = scratch.save(base if not keep else base.select("source", "size", "draw"))
+    if not keep:  # the texts are read once
+        base = small
     goal = scratch.save(targets(small, weights, share, most).coalesce(1))
     state = scratch.save(balance(small, goal, scratch).coalesce(1))
     # a copy more than floor(rate) where draw < fraction + shift: the place of a document is draw - fraction
@@ -120,7 +122,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     nearest = after.groupBy("s", "need").agg(F.min(F.struct(F.abs(F.col("need") - F.col("size")).alias("gap"), "place", "size")).alias("best"))
     more = nearest.where(F.col("best.gap") < F.abs(F.col("need"))).select(F.col("s").alias("n"), F.col("best.place").alias("one_place"), F.col("best.size").alias("one_size"))
     cut = scratch.save(c.join(more, F.col("s").eqNullSafe(F.col("n")), "left").select("s", F.col("low").alias("shift"), "one_place", "one_size").coalesce(1))
-    scratch.drop(small, placed)
+    scratch.drop(*[placed] if not keep else [small, placed])
     out = rated(base).join(cut.withColumnRenamed("s", "c"), F.col("source").eqNullSafe(F.col("c")), "left")
     again = (F.col("place") < F.coalesce("shift", F.lit(0))) | ((F.col("place") == F.col("one_place")) & (F.col("size") == F.col("one_size")))
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + F.coalesce(again, F.lit(False)).cast("int")).cast("int")
