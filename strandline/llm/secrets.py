@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, coded, pieces
+from .common import BATCH_ROWS, Scratch, coded, pieces
 
 MIN_LENGTH = 16
-#: The dictionary: the most frequent words of letters in the documents, four letters or more.
+#: The dictionary: words of four letters or more in the documents, from a count on that so many reach at most.
 DICTIONARY = 20_000
 #: Findings the forest is trained on at most, the first by a hash.
 MAX_FINDINGS = 20_000
@@ -231,7 +231,14 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, doc_id: str = "doc_
     kind = dict(docs.dtypes)[doc_id]
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), (F.col(path).cast("string") if path else F.lit("")).alias("path"))
     counts = d.select("text").mapInArrow(_letters, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    common = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()]
+    counts = Scratch(spark, "secrets").save(counts)
+    grade, least, n = F.floor(F.log2("n") * 64).cast("int"), None, 0
+    for g, size in sorted(map(tuple, counts.groupBy(grade.alias("g")).agg(F.count(F.lit(1))).collect()), reverse=True):  # some thousand bins of counts
+        n += size
+        if n > DICTIONARY:
+            break
+        least = g
+    common = [] if least is None else sorted(r[0] for r in counts.where(grade >= least).select("word").collect())
     if findings is None:
         rows = made_findings()
     else:
