@@ -116,16 +116,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         new = scratch.save(new.coalesce(1))
         scratch.drop(cut)
         cut = new
-    # of the documents past the threshold, one more: the one that brings the source nearest to its target
+    # one more copy, of the document that brings the source nearest to its target; of those with two copies none
     c = cut.select(F.col("source").alias("s"), "need", "low")
-    after = placed.join(c, placed.source.eqNullSafe(c.s)).where("place >= low and whole < 2")
+    after = placed.join(c, placed.source.eqNullSafe(c.s)).where(F.col("whole") + (F.col("place") < F.col("low")).cast("int") < 2)
     nearest = after.groupBy("s", "need").agg(F.min(F.struct(F.abs(F.col("need") - F.col("size")).alias("gap"), "place", "size")).alias("best"))
     more = nearest.where(F.col("best.gap") < F.abs(F.col("need"))).select(F.col("s").alias("n"), F.col("best.place").alias("one_place"), F.col("best.size").alias("one_size"))
     cut = scratch.save(c.join(more, F.col("s").eqNullSafe(F.col("n")), "left").select("s", F.col("low").alias("shift"), "one_place", "one_size").coalesce(1))
     scratch.drop(*[placed] if not keep else [small, placed])
     out = rated(base).join(cut.withColumnRenamed("s", "c"), F.col("source").eqNullSafe(F.col("c")), "left")
-    again = (F.col("place") < F.coalesce("shift", F.lit(0))) | ((F.col("place") == F.col("one_place")) & (F.col("size") == F.col("one_size")))
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + F.coalesce(again, F.lit(False)).cast("int")).cast("int")
+    below = F.coalesce(F.col("place") < F.col("shift"), F.lit(False)).cast("int")
+    one = F.coalesce((F.col("place") == F.col("one_place")) & (F.col("size") == F.col("one_size")), F.lit(False)).cast("int")
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + below + one).cast("int")
     copies = F.least(F.lit(int(most)), copies)
     out = out.withColumn("copies", copies)
     return out.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"_k_{x}").alias(x) for x in keep or []])
