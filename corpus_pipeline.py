@@ -50,8 +50,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its rate, its number of copies (0, 1 or 2) and the words that these take."""
-    mixed = mixing.mix(docs, keep=[c for c in docs.columns if c != "doc_id"])
-    return mixed.select(*docs.columns, "size", "source_size", "target", "rate", "copies", "taken")
+    own = [c for c in docs.columns if c not in mixing.RESULT]
+    return mixing.mix(docs, keep=own).select("doc_id", *own, *mixing.RESULT[1:])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -16,6 +16,7 @@ from .common import Scratch, word_count
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 STEPS = 12
+RESULT = ("doc_id", "size", "source_size", "target", "rate", "copies", "taken")
 #: Digits of the rounding threshold that are found level by level: 3 levels of 12 bits.
 BITS, LEVELS = 12, 3
 
@@ -50,7 +51,7 @@ def balance(sizes: DataFrame, goal: DataFrame, scratch: Scratch, steps: int = ST
     hist = scratch.save(sizes.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     mean = hist.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
     # start at the solution for equal sizes
-    part = F.col("target") / (MOST * F.col("source_size"))
+    part = F.try_divide(F.col("target"), MOST * F.col("source_size"))
     state = goal.join(mean, goal.source.eqNullSafe(mean.source), "left").drop(mean.source)
     state = state.withColumn("a", F.when((part > 1e-9) & (part < 1 - 1e-9), F.log(part / (1 - part))))
     state = state.withColumn("lo", F.lit(-1e6)).withColumn("hi", F.lit(1e6))
@@ -75,11 +76,12 @@ def balance(sizes: DataFrame, goal: DataFrame, scratch: Scratch, steps: int = ST
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, rate, copies, taken): a row for every row of `docs`, with the columns named in
-    `keep` besides. copies is 0, 1 or 2; taken is copies * size.
+    `keep` besides, but for those of these names. copies is 0, 1 or 2; taken is copies * size.
 
     Null and empty texts have size 0, rate 1 and one copy, of no words. A null source is a source of its own. Rows that repeat
     share their hash and so their rounding. Reruns agree, whatever the partitions. An empty table gives no rows."""
     scratch = Scratch(docs.sparkSession, "mixing")
+    keep = [c for c in keep or [] if c not in RESULT]
     drawn = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.col(source)), F.lit(1 << 36)).cast("long")
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), drawn.alias("draw"), *[F.col(c).alias(f"_k_{c}") for c in keep or []])
     small = scratch.save(base if not keep else base.select("source", "size", "draw"))

@@ -1,0 +1,396 @@
+"""Each operator against a brute-force version on small tables, and on nulls, empty and long texts, repeats and empty tables."""
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from strandline.llm import decontaminate, licenses, lines, maxent, mixing, secrets, simhash, toxicity, urls, vectors
+from strandline.llm.common import Scratch, components, words
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, held_out string, size string, score string"
+
+
+def docs(spark, rows):
+    """rows: (doc_id, text) or (doc_id, text, source); with columns whose names clash with those of the results."""
+    return spark.createDataFrame([(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), "x", "y", "z") for r in rows], DOCS)
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "null id"), (5, "one"), (6, "same text here again"), (6, "same text here again"), (7, "é ß ñ \x0b\x0c x"), (8, "word " * 30_000)]
+
+
+def toks(t):
+    return (t or "").encode().lower().split()
+
+
+def test_words_are_runs_of_other_characters():
+    texts = ["A b\tC\x0bd\x0c\r\n e", None, "", "  x\x1cy\u00a0z  ", "É"]
+    offsets, flat = words(pa.array(texts))
+    got = [[w.encode() for w in flat[a:b].to_pylist()] for a, b in zip(offsets, offsets[1:], strict=False)]
+    assert got == [toks(t) for t in texts]
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
+    assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(30)}
+    assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
+
+
+# 1 language-model scores
+def test_maxent_scores(spark):
+    rng = np.random.default_rng(1)
+    en, de = [f"w{k}" for k in range(40)], [f"ü{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choice(en if k % 2 else de, 30))) for k in range(200)] + [(1000 + k, t) for k, t in enumerate(t for _, t in ODD)]
+    rows = rows + [rows[3]]
+    got = maxent.score(docs(spark, rows), rounds=4).collect()
+    assert len(got) == len(rows)
+    c = Counter(x for i, t in rows if zlib.crc32(str(i).encode()) % 10 for x in [*toks(t), b""])
+    n, v = sum(c.values()), len(c)
+    base = lambda t: sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in [*toks(t), b""])
+    texts = dict(rows)
+    for r in got:
+        assert (r.n_tokens, r.train_tokens, r.held_out) == (len(toks(texts[r.doc_id])) + 1, n, zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
+        assert r.n_known == sum(c[x] > 0 for x in [*toks(texts[r.doc_id]), b""])
+        assert math.isclose(r.base_score, base(texts[r.doc_id]), rel_tol=1e-9)
+    held = [r for r in got if r.held_out and r.doc_id < 200]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_maxent_is_a_distribution(spark):
+    d = docs(spark, [(k, t) for k, t in enumerate(["a b c a b", "b c d", "a a e"] * 5)])
+    m = maxent.train(d, Scratch(spark, "t"), 3)
+    v, syms = m.vocabulary, np.arange(maxent.SYMBOLS)
+    p = 10 ** m.weights.log10(np.full(len(syms), maxent.BOS), np.full(len(syms), v.symbol[v.words.index("a")]), syms)
+    assert math.isclose(p.sum(), 1, rel_tol=1e-5)
+    assert v.words[0] in ("a", "") and math.isclose(v.mass.sum(), maxent.TAILS * 0.1, rel_tol=1e-9)  # five words: no tail words
+
+
+def test_maxent_without_rows(spark):
+    assert maxent.score(docs(spark, []), rounds=1).count() == 0
+
+
+# 2 mixing
+def filled(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[k % 3] for k, s in enumerate(names)}
+    goal, full = {}, set()
+    total = share * sum(sizes.values())
+    while True:
+        rest = total - sum(most * sizes[s] for s in full)
+        open_w = sum(w[s] for s in names if s not in full)
+        goal = {s: most * sizes[s] if s in full else rest * w[s] / open_w for s in names}
+        over = {s for s in names if s not in full and goal[s] > most * sizes[s]}
+        if not over:
+            return goal
+        full |= over
+
+
+def test_mixing_meets_targets(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, "w " * int(rng.integers(1, 400)), [None, "a", "b", "é", "z", "Z", "c"][k % 7] if k % 3 else "a") for k in range(700)]
+    rows += [(9000, None, "a"), (9001, "", None), rows[5]]
+    out = mixing.mix(docs(spark, rows), keep=["source"]).collect()
+    assert len(out) == len(rows)
+    sizes = Counter()
+    for r in rows:
+        sizes[r[2]] += len(toks(r[1]))
+    goal, taken = filled(sizes), Counter()
+    for r in out:
+        assert (r.source_size, r.taken <= 2 * r.size, r.taken) == (sizes[r.source], True, r.copies * r.size)
+        assert math.isclose(r.target, goal[r.source], rel_tol=1e-9)
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= 0.01 * goal[s] + 2 for s in goal)
+    again = mixing.mix(docs(spark, rows[::-1]).repartition(3)).collect()
+    assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in out)
+    assert mixing.mix(docs(spark, [])).count() == 0
+    assert [r.taken for r in mixing.mix(docs(spark, [(1, None), (2, "")])).collect()] == [0, 0]
+
+
+# 3 vectors
+def test_vector_links_are_exact(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 16))
+    rows = [(k, (centres[k % 6] + rng.normal(size=16) * 0.28).tolist(), int(k % 3)) for k in range(400)]
+    rows += [(500, rows[0][1], rows[0][2]), (501, rows[0][1], 99), (502, None, 0), (503, [], 0), (504, [0.0] * 16, 0), (505, [math.nan] * 16, 0), (506, [None] + [1.0] * 15, 0), (507, [math.inf] + [1.0] * 15, 0), (508, rows[1][1], None), (509, rows[2][1][:8], rows[2][2]), rows[7]]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("links", F.lit(1)), threshold=0.93).collect()
+    assert len(got) == len(rows)
+    fine = [(k, r) for k, r in enumerate(rows) if r[2] is not None and r[1] and all(x is not None and math.isfinite(x) for x in r[1]) and any(r[1])]
+    unit = {k: np.array(r[1], np.float32).astype(float) / np.linalg.norm(np.array(r[1], np.float32).astype(float)) for k, r in fine}
+    near = {k: [j for j, s in fine if j != k and s[2] == r[2] and len(s[1]) == len(r[1]) and unit[k] @ unit[j] >= 0.93] for k, r in fine}
+    want = []
+    for k, r in enumerate(rows):
+        seen, todo = {k}, [k]
+        while todo:
+            for j in near.get(todo.pop(), []):
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        low = min(rows[j][0] for j in seen)
+        want.append((r[0], len(near.get(k, [])), low, low == r[0]))
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(len(v) for v in near.values()) > 1000
+    assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_quantisation_bound_holds():
+    u = vectors._unit(np.random.default_rng(4).normal(size=(300, 32)))
+    q, s, n, e = vectors.quantised(u)
+    approx = (q.astype(float) @ q.T.astype(float)) * s[:, None] * s[None, :]
+    assert (np.abs(u @ u.T - approx) <= n[:, None] * e[None, :] + e[:, None] * (n + e)[None, :] + 1e-12).all()
+
+
+# 4 urls
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("example.org", "/fr/deep", "block"), ("example.org", "", "block")]
+
+
+def verdict(url, rules):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    rest = rest.split("?")[0].split("#")[0]
+    host, slash, tail = rest.partition("/")
+    host, path = "".join(c.lower() if "A" <= c <= "Z" else c for c in host), slash + tail
+    fit = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fit, default=(0, None, "allow"))
+    return host, path, best[1], best[2]
+
+
+@pytest.mark.parametrize("keys", [100_000, 0])
+def test_url_verdicts(spark, monkeypatch, keys):
+    monkeypatch.setattr(urls, "BROADCAST_KEYS", keys)
+    bad = [None, "", "x", "://", "http://", "HTTP://A.NET", "http://a.net/", "http://a.net?x=/", "http://net/", "http://b.Example.NET/en/1#t", "http://example.net/en", "http://example.com/de/x/y", "http://notexample.com/de/", "http://a.org/fr/", "http://www.example.org/fr/deeper?q", "http://www.example.org", "ftp://É.net/a//b", "a://b://c.net/", "http://x.net:80/", "http://a..net/" + "p/" * 500]
+    rows = [(k, u, "h") for k, u in enumerate(bad)] + [(3, "http://a.net/", "again"), (6, bad[6], "h"), (None, bad[6], "h"), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("rule", F.lit(2))
+    got = urls.judge(df, spark.createDataFrame(RULES, "host string, path string, verdict string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((r[0], *verdict(r[1], RULES))) for r in rows)
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    assert {r.verdict for r in urls.judge(df, none).collect()} == {"allow"}
+    assert urls.judge(df.limit(0), none).count() == 0
+
+
+# 5 licenses
+def contained(text, templates):
+    out, ws = {}, licenses.plain_words(text or "")
+    for name, t in templates.items():
+        tw = licenses.plain_words(t)
+        size = min(5, len(tw))
+        want = {tuple(tw[k : k + size]) for k in range(len(tw) - size + 1)}
+        have = [tuple(ws[k : k + size]) for k in range(len(ws) - size + 1)]
+        best = max((len(want & set(have[k : k + len(tw) - size + 1])) / len(want) for k in range(len(have))), default=0)
+        if best >= 0.8:
+            out[name] = best
+    return out
+
+
+def test_licenses_are_found(spark):
+    pad = "lorem ipsum dolor sit amet " * 20
+    long = licenses.TEMPLATES["mit-grant"].split()
+    rows = [(k, pad[: 7 * k] + " " + t + " " + pad) for k, t in enumerate(licenses.TEMPLATES.values())]
+    rows += [(50, " ".join(long[:9] + ["zzz"] + long[9:])), (51, " ".join(long[:12])), (52, "All rights\nreserved"), (53, "license the of mit released under"), (54, licenses.TEMPLATES["mit"].upper())]
+    rows += [(100 + k, r[1]) for k, r in enumerate(ODD)]
+    got: dict = {}
+    for r in licenses.scan(docs(spark, rows)).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.containment
+    for i, t in rows:
+        want = contained(t, licenses.TEMPLATES)
+        assert set(want) == set(got.get(i, {})), (i, t[:80] if t else t)
+    assert licenses.scan(docs(spark, [])).count() == 0 and licenses.scan(docs(spark, rows), {}).count() == 0
+
+
+# 6 decontamination
+def test_decontamination_matches_brute_force(spark):
+    rng = np.random.default_rng(6)
+    vocab = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choice(vocab, int(rng.integers(15, 60))))) for k in range(30)] + [(90, None), (91, ""), (92, "tiny item here"), (93, "one two three four five")]
+    rows = []
+    for k in range(60):
+        w = list(rng.choice(vocab, 200))
+        leak = (items[k % 30][1]).split()
+        if k % 3 == 1:
+            leak[len(leak) // 2] = "zzz"
+        if k % 3 == 2:
+            leak = leak[: int(len(leak) * 0.7)]
+        rows.append((k, " ".join(w[:50] + leak + w[50:])))
+    rows += [(200, "x tiny ITEM here y"), (201, "one two three four five"), rows[0], *[(300 + k, r[1]) for k, r in enumerate(ODD)]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    g = decontaminate.Items([(i, t or "") for i, t in items])
+    want = {}
+    for i, t in rows:
+        h = decontaminate._word_hashes(words(pa.array([t], pa.string()))[1])
+        for grp in g.sizes.values():
+            sh = decontaminate._rolled(h, grp["size"]).tolist()
+            for k, n in enumerate(grp["n"].tolist()):
+                span, best = n - grp["size"] + 1, 0
+                for s in range(max(1, len(sh) - span + 1)):
+                    have = Counter(sh[s : s + span])
+                    best = max(best, sum(grp["of"][x] * min(c, have[x]) for x, c in grp["count"][k].items()) / grp["total"][k])
+                if best >= 0.8 - 1e-9:
+                    want[(i, grp["ids"][k])] = best
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    assert {(200, 92), (201, 93), (0, 0)} <= set(got)
+    assert decontaminate.contaminated(docs(spark, []), bench).count() == 0 and decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
+
+
+# 7 toxicity
+def test_toxicity_on_held_out_documents(spark):
+    rng = np.random.default_rng(7)
+    vocab = ["".join(rng.choice(list("aeinorstlh"), int(rng.integers(3, 9)))) for _ in range(400)]
+    insults = ["blorgak", "zumpfdik", "quexwit"]
+    rows, labels = [], []
+    for k in range(800):
+        w = list(rng.choice(vocab, 40))
+        toxic = int(k % 4 == 0)
+        if toxic:
+            w.insert(int(rng.integers(40)), insults[k // 4 % 3])
+        rows.append((k, " ".join(w) + "."))
+        labels.append((k, 1, toxic))
+    odd = [(2000, "nothing here but zum.pfdik you"), (2001, "you are b l o r g a k indeed"), (2002, "such a quexxwit"), (2003, rows[1][1]), *[(3000 + k, r[1]) for k, r in enumerate(ODD)]]
+    lab = spark.createDataFrame([*labels, (1, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs(spark, rows + odd), lab).collect()}
+    held = [r for k, r in got.items() if k < 800 and r.held_out]
+    assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) / len(held) > 0.97
+    assert [got[k].predicted for k in (2000, 2001, 2002, 2003)] == [1, 1, 1, 0]
+    assert all(0 <= got[3000 + k].score < 0.5 for k in range(len(ODD)) if ODD[k][1] is not None and len(ODD[k][1]) < 5)
+    none = toxicity.score(docs(spark, ODD), lab.limit(0)).collect()
+    assert len(none) == len(ODD) and {r.score for r in none} == {0.0}
+    assert toxicity.score(docs(spark, []), lab).count() == 0
+
+
+# 8 lines
+def removed(rows, least=50):
+    """Brute force: (doc_id, text) -> lines that go."""
+    rows, where = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)), {}
+    for d, t in rows:
+        ls = (t or "").split("\n")
+        n = [len(toks(x)) for x in ls]
+        for i in range(len(ls)):
+            for j in range(i, len(ls)):
+                if sum(n[i : j + 1]) >= least:
+                    where.setdefault(tuple(ls[i : j + 1]), set()).add((d, i))
+                    break
+            for j in range(i, -1, -1):
+                if sum(n[j : i + 1]) >= least:
+                    where.setdefault(tuple(ls[j : i + 1]), set()).add((d, j))
+                    break
+    gone: dict = {}
+    for run, at in where.items():
+        first, *later = sorted(at, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        for d, i in later:
+            gone.setdefault(d, set()).update(range(max(i, first[1] + len(run)) if d == first[0] else i, i + len(run)))
+    return gone
+
+
+def test_line_copies_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pool = [" ".join(rng.choice(["a", "b", "c", "d", "e"], int(rng.integers(3, 20)))) + str(k) for k in range(12)] + ["", "short"]
+    rows = []
+    for k in range(120):
+        ls = [str(x) for x in rng.choice(pool, int(rng.integers(1, 14)))]
+        if k % 3 == 0:
+            ls = [f"own {k}"] + pool[2:9] + [f"end {k}"] + ls
+        rows.append((k, "\n".join(ls)))
+    loop = "\n".join(["ten words are in this very line as it is"] * 20)
+    rows += [(500, loop), (501, loop), (502, rows[0][1]), (None, "x\n" + "\n".join(pool[2:9])), (1000, None), (1001, ""), (1002, "w " * 20_000), (1003, "w " * 20_000), rows[4]]
+    got = lines.dedup_lines(docs(spark, rows).withColumn("spans", F.lit(1))).collect()
+    gone = removed(rows)
+    want = [(d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ()))) for d, t in rows]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(map(repr, want))
+    assert sum(r.lines_removed for r in got) == sum(len(gone.get(d, ())) for d, _ in rows) > 100
+    assert "spans" in got[0].asDict()
+    assert lines.dedup_lines(docs(spark, [])).count() == 0 and lines.dedup_lines(docs(spark, ODD[:5])).count() == 5
+
+
+# 9 secrets
+def test_secrets_on_held_out_findings(spark):
+    f = secrets.made_findings()
+    make = secrets.Features(["this", "that", "words"])
+    x, y = np.array([make(c, b.split(), a.split(), p) for c, b, a, p, _ in f]), np.array([r[4] for r in f], float)
+    forest = secrets.Forest.fit(x[::2], y[::2])
+    assert ((forest(x[1::2]) >= 0.5) == y[1::2]).mean() > 0.95
+
+
+def test_secret_scan(spark):
+    key = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
+    rows = [(10, f'the token = "{key}" of'), (11, f"see commit {key} of the sha"), (12, "card 4929963689861572 and my-very-long-word-without-digits"), (13, "-----BEGIN RSA PRIVATE KEY----- x"), *ODD]
+    got = secrets.scan(docs(spark, rows), path="source").collect()
+    by = {r.doc_id: r for r in got}
+    assert by[10].secret and by[10].value == key and rows[0][1][by[10].start :].startswith(key)
+    assert not by[11].secret and not by[12].secret and by[13].kind == "private-key" and set(by) == {10, 11, 12, 13}
+    assert secrets.scan(docs(spark, [])).count() == 0
+    own = spark.createDataFrame([("a1" * 10, "token =", "", "", 1), ("b2" * 12, "see", "", "", 0), (None, "", "", "", 1)] * 5, "candidate string, before string, after string, path string, label int")
+    assert secrets.scan(docs(spark, rows), own).count() == len(got)
+
+
+# 10 SimHash
+def brute_fp(text):
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    sh = [b" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("pairwise", [256, 2])
+def test_simhash_groups_match_brute_force(spark, monkeypatch, pairwise):
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+    rng = np.random.default_rng(10)
+    base = [" ".join(rng.choice([f"w{k}" for k in range(50)], 120)) for _ in range(8)]
+    rows = []
+    for k in range(300):
+        w = base[k % 8].split()
+        for _ in range(int(rng.integers(0, 3))):
+            w[int(rng.integers(len(w)))] = f"x{rng.integers(1000)}"
+        rows.append((k + 1, " ".join(w)))
+    rows += [(700 + k, r[1]) for k, r in enumerate(ODD)] + [rows[0], (None, base[0])]
+    got = simhash.near_duplicates(docs(spark, rows).withColumn("fp", F.lit(1))).collect()
+    fp = [brute_fp(t) for _, t in rows]
+    assert Counter((r.doc_id, r.fp & (1 << 64) - 1) for r in got) == Counter((rows[k][0], fp[k]) for k in range(len(rows)))
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (fp[a] ^ fp[b]).bit_count() <= 2:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    low: dict = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            low[find(k)] = min(low.get(find(k), i), i)
+    want = Counter((rows[k][0], low.get(find(k))) for k in range(len(rows)))
+    assert Counter((r.doc_id, r.component_id) for r in got) == want
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+# the pipeline
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    now = spark.read.parquet(f"{d}/documents.parquet")
+    cols, count = now.columns, now.count()
+    ids = {r.doc_id for r in now.collect()}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, d)
+        assert k == 4 or out.columns == cols
+        now = Scratch(spark, "t").save(out)
+        left = {r.doc_id for r in now.select("doc_id").collect()}
+        assert left <= ids and len(left) == now.count()
+        ids = left
+    assert 0.5 * count < len(ids) < count
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs(spark, []), d).count() == 0
+    odd = docs(spark, ODD)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, d)
+        assert out.count() > 0 and (name.startswith("mixing") or out.columns == odd.columns)
