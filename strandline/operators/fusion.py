@@ -47,7 +47,7 @@ def modality_coverage(sliced: DataFrame) -> DataFrame:
 
 def temporal_patterns(blocks: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
-    return blocks.agg(n.alias("blocks"), *[F.count_if(c).alias(c) for c in ("pre_input", "at_vision", "post_network", "chain")], F.round(100.0 * F.count_if("chain") / n, 6).alias("chain_pct"))
+    return blocks.agg(n.alias("blocks"), *[F.count_if(c).alias(c) for c in ("pre_input", "at_vision", "post_network", "chain")], F.round(F.try_divide(100.0 * F.count_if("chain"), n), 6).alias("chain_pct"))
 
 
 def block_anomalies(blocks: DataFrame, anchor: DataFrame) -> DataFrame:

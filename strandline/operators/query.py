@@ -73,7 +73,7 @@ def session_counts(df: DataFrame) -> DataFrame:
 
 def success_split(df: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
-    return df.agg(n.alias("n"), F.count_if("success").alias("ok"), F.count_if(~F.col("success")).alias("failed"), F.round(100.0 * F.count_if("success") / n, 6).alias("ok_pct"))
+    return df.agg(n.alias("n"), F.count_if("success").alias("ok"), F.count_if(~F.col("success")).alias("failed"), F.round(F.try_divide(100.0 * F.count_if("success"), n), 6).alias("ok_pct"))
 
 
 def session_summaries(df: DataFrame) -> DataFrame:
