@@ -240,3 +240,42 @@ _add("edge_entry", _grid(grid.edge_entry), """SELECT window_id, (rear + front +
      SELECT window_id, count_if(a > 0.05)::BIGINT AS rear, count_if(b > 0.05)::BIGINT AS front, count_if(c > 0.05)::BIGINT AS l, count_if(d > 0.05)::BIGINT AS r FROM (SELECT window_id, frame_id, count_if(y = 0 AND v >= 5) / 8.0 - count_if(y = 0 AND p >= 5) / 8.0 AS a, count_if(y = 7 AND v >= 5) / 8.0 - count_if(y = 7 AND p >= 5) / 8.0 AS b,
      count_if(x = 0 AND y BETWEEN 1 AND 6 AND v >= 5) / 6.0 - count_if(x = 0 AND y BETWEEN 1 AND 6 AND p >= 5) / 6.0 AS c, count_if(x = 7 AND y BETWEEN 1 AND 6 AND v >= 5) / 6.0 - count_if(x = 7 AND y BETWEEN 1 AND 6 AND p >= 5) / 6.0 AS d FROM cells WHERE n >= 3 AND p IS NOT NULL GROUP BY 1, 2) GROUP BY 1) WHERE rear + front + l + r > 0""", _FRM)
 _add("grid_fingerprint", _grid(grid.fingerprint))
+
+# more reports
+_add("timeline_merge", lambda s, d: streams(s, d).select("modality", "ord", "ts_us", F.row_number().over(Window.partitionBy(F.floor(F.col("ts_us") / 86_400_000_000)).orderBy("ts_us", "ord", "modality")).alias("place")),
+     "SELECT modality, ord, ts_us, row_number() OVER (PARTITION BY ts_us // 86400000000 ORDER BY ts_us, ord, modality)::INT AS place FROM streams", _STR)
+_add("window_caps", lambda s, d: query.top_k(streams(s, d), 100, ["modality"], [F.desc("ts_us"), F.desc("ord")]).select("modality", "ord", "rank"),
+     "SELECT modality, ord, rn::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY modality ORDER BY ts_us DESC, ord DESC) AS rn FROM streams) WHERE rn <= 100", _STR)
+_add("overview_bands", _rec(lambda r: r.groupBy("operator", F.when(F.col("score") >= 0.8, "high").when(F.col("score") >= 0.4, "medium").otherwise("low").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"))),
+     "SELECT operator, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS band, count(*) AS n, round(avg(score), 6) AS mean FROM records GROUP BY 1, 2", _REC)
+_add("activity_top", lambda s, d: streams(s, d).where("modality = 'activity'").groupBy("operator").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")).orderBy(F.desc("n"), "first").limit(10).select("operator", "n"),
+     "SELECT operator, n FROM (SELECT operator, count(*) AS n, min(ord) AS first FROM streams WHERE modality = 'activity' GROUP BY 1) ORDER BY n DESC, first LIMIT 10", _STR)
+_add("in_window", lambda s, d: _in_window(s, d), "SELECT anchor_type, count_if(anchor_us BETWEEN lo + 86400000000 AND lo + 10 * 86400000000)::BIGINT AS inside, count_if(NOT anchor_us BETWEEN lo + 86400000000 AND lo + 10 * 86400000000)::BIGINT AS outside FROM anchors, (SELECT min(ts_us) AS lo FROM records) GROUP BY 1", _ANC)
+_add("log_correlation", lambda s, d: _log_correlation(s, d), """SELECT p.session_id, count(*) AS windows, count(h.seq) AS matched, round(coalesce(sum(h.score), 0), 6) AS clicks FROM records p LEFT JOIN LATERAL (SELECT c.seq, c.score FROM records c WHERE c.operator = 'click' AND abs(c.ts_us - p.ts_us) < 300000000
+     ORDER BY abs(c.ts_us - p.ts_us), c.ts_us, CASE WHEN c.ts_us < p.ts_us THEN -c.seq ELSE c.seq END LIMIT 1) h ON true WHERE p.operator = 'view' AND p.score >= 0.8 GROUP BY 1""", _REC)
+_add("validators", lambda s, d: _validated(table(s, d, "events")), """SELECT event_type, count(*) AS n, count_if(json_extract_string(props, '$.k') IS NULL)::BIGINT AS without_k, count_if(value IS NULL OR value < 0)::BIGINT AS bad_value FROM events GROUP BY 1""")
+_add("recent_pulses", _rec(lambda r: r.where(F.col("pulse_id") >= 20).groupBy("worker_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("success")).alias("failed"), F.count_distinct("operator").alias("operators"))),
+     "SELECT worker_id, count(*) AS n, count_if(NOT success)::BIGINT AS failed, count(DISTINCT operator) AS operators FROM records WHERE pulse_id >= 20 GROUP BY 1", _REC)
+_add("conversation_chains", lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count_distinct("role").alias("roles")),
+     "SELECT conv_id, count(*) AS turns, min(turn) AS first_turn, max(turn) AS last_turn, count(DISTINCT role) AS roles FROM conversations GROUP BY 1")
+_add("motion_trend", _rec(lambda r: r.groupBy("session_id").agg(F.max("ts_us").alias("_new")).join(r, "session_id").where(F.col("ts_us") >= F.col("_new") - 86_400_000_000).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("deviation"), F.max("score").alias("most"))),
+     "SELECT session_id, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS deviation, max(score) AS most FROM (SELECT *, max(ts_us) OVER (PARTITION BY session_id) AS newest FROM records) WHERE ts_us >= newest - 86400000000 GROUP BY 1", _REC)
+
+
+def _in_window(s: SparkSession, d: str) -> DataFrame:
+    lo = records(s, d).agg(F.min("ts_us").alias("lo"))
+    inside = F.col("anchor_us").between(F.col("lo") + 86_400_000_000, F.col("lo") + 10 * 86_400_000_000)
+    return _anchors(s, d).crossJoin(F.broadcast(lo)).groupBy("anchor_type").agg(F.count_if(inside).alias("inside"), F.count_if(~inside).alias("outside"))  # one row
+
+
+def _log_correlation(s: SparkSession, d: str) -> DataFrame:
+    r = records(s, d)
+    p = r.where("operator = 'view' and score >= 0.8").select(F.struct("seq", "session_id").alias("probe_id"), "ts_us")
+    c = r.where("operator = 'click'").select("ts_us", F.col("seq").alias("ord"), F.col("score").alias("payload"))
+    near = temporal.nearest_join(p, c, 300_000_000, strict=True)
+    return near.groupBy("probe_id.session_id").agg(F.count(F.lit(1)).alias("windows"), F.count("near_us").alias("matched"), F.round(F.coalesce(F.sum("payload"), F.lit(0.0)), 6).alias("clicks"))
+
+
+def _validated(e: DataFrame) -> DataFrame:
+    v = F.col("value")
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.get_json_object("props", "$.k").isNull()).alias("without_k"), F.count_if(v.isNull() | (v < 0)).alias("bad_value"))
