@@ -31,6 +31,8 @@ from .common import BATCH_ROWS, Scratch, coded, pieces, words
 DECAY, DIM = 0.75, 1 << 16
 #: Offsets of a subsequence's second (and third) character.
 SPANS = [(1,), (2,), (3,), (1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
+#: Strings in one block of the fit.
+BLOCK = 2_048
 #: Longer strings are read in overlapping parts of this length.
 LONG = 24
 #: Bounds of the fit: labelled documents (the first by a hash of doc_id), positive, negative and added instances, landmarks.
@@ -71,10 +73,10 @@ def kernel(strings: list[bytes], table: np.ndarray) -> np.ndarray:
             out += np.bincount(of, table[place] * weight, len(strings))
         else:
             starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else []
-            for p in range(0, len(starts), 2_000):
+            for p in range(0, len(starts), 200):
                 a = starts[p]
-                b = starts[p + 2_000] if p + 2_000 < len(starts) else len(of)
-                out[of[starts[p : p + 2_000]]] += np.add.reduceat(table[place[a:b]] * weight[a:b, None], starts[p : p + 2_000] - a)
+                b = starts[p + 200] if p + 200 < len(starts) else len(of)
+                out[of[starts[p : p + 200]]] += np.add.reduceat(table[place[a:b]] * weight[a:b, None], starts[p : p + 200] - a)
     return out
 
 
@@ -174,16 +176,30 @@ def fit_machine(positive: list[bytes], negative: list[bytes], landmarks: list[by
     value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
     good = value > value.max() * 1e-6
     white = vector[:, good] / np.sqrt(value[good])
-    x = kernel(positive + negative, cols) @ white
-    x = np.hstack([x, np.ones((len(x), 1))])
+    # rows are held in single precision and worked on block by block, to bound the driver's memory
+    strings, m = positive + negative, int(good.sum())
+    x = np.ones((len(strings), m + 1), np.float32)
+    for k in range(0, len(strings), BLOCK):
+        x[k : k + BLOCK, :m] = kernel(strings[k : k + BLOCK], cols) @ white
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
     c = np.where(y > 0, 0.5 / len(positive), 0.5 / max(1, len(negative)))
-    w, ridge = np.zeros(x.shape[1]), 1e-5 * np.append(np.ones(x.shape[1] - 1), 1e-3)
-    loss = lambda w: (ridge * w * w).sum() + (c * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    w, ridge = np.zeros(m + 1), 1e-5 * np.append(np.ones(m), 1e-3)
+
+    def margins(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([x[k : k + BLOCK].astype(np.float64) @ w for k in range(0, len(x), BLOCK)])
+
+    def loss(w: np.ndarray) -> float:
+        return float((ridge * w * w).sum() + (c * np.maximum(0, 1 - y * margins(w)) ** 2).sum())
+
     for _ in range(40):  # Newton steps on the squared hinge
-        active = y * (x @ w) < 1
-        grad = 2 * ridge * w - 2 * (c[active] * (y - x @ w)[active]) @ x[active]
-        hess = 2 * np.diag(ridge) + 2 * (x[active].T * c[active]) @ x[active]
+        f = margins(w)
+        active = y * f < 1
+        grad, hess = 2 * ridge * w, 2 * np.diag(ridge)
+        for k in range(0, len(x), BLOCK):
+            on = np.flatnonzero(active[k : k + BLOCK]) + k
+            z = x[on].astype(np.float64)
+            grad -= 2 * (c[on] * (y - f)[on]) @ z
+            hess += 2 * (z.T * c[on]) @ z
         step, t, now = np.linalg.solve(hess, grad), 1.0, loss(w)
         while t > 1e-4 and loss(w - t * step) > now:
             t /= 2
