@@ -100,3 +100,17 @@ def bursts(df: DataFrame, threshold: float, gap_us: int, least: int, partition_b
 
 def top_k(df: DataFrame, k: int, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def nth(df: DataFrame, n: int, by: list[str], order: list[Column]) -> DataFrame:
+    """The n-th row of every group, counted from 1; groups of fewer rows have none."""
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rn") == n).drop("_rn")
+
+
+def read_many(df: DataFrame, key: str, wanted: list[int]) -> DataFrame:
+    """The rows with the wanted keys in the wanted order, once for each time a key is wanted; keys that are not there are left
+    out. The list comes with the call, and its keys reach the scan as a filter."""
+    if not wanted:
+        return df.limit(0).withColumn("place", F.lit(0))
+    asked = df.sparkSession.range(1).select(F.posexplode(F.lit(list(wanted))).alias("place", "_key"))
+    return df.where(F.col(key).isin(list(dict.fromkeys(wanted)))).join(asked, F.col(key) == F.col("_key")).drop("_key").orderBy("place")

@@ -22,6 +22,11 @@ def change_only(df: DataFrame, partition: str, order: list[str], columns: list[s
     return df.withColumn("_same", same & (F.row_number().over(w) > 1)).where("not _same").drop("_same")
 
 
+def resets(df: DataFrame, partition: str, order: list[str], value: str) -> DataFrame:
+    """Rows whose value is below the one before: an idle time that starts anew is an input event. The first row is none."""
+    return df.withColumn("_before", F.lag(value).over(Window.partitionBy(partition).orderBy(*order))).where(F.col(value) < F.col("_before")).drop("_before")
+
+
 def monotone_clamp(df: DataFrame, partition: str, order: list[str], ts: str, name: str = "clock") -> DataFrame:
     w = Window.partitionBy(partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.max(ts).over(w))

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar
 from ..operators import fusion, grid, query, stats, temporal, windows
-from ..sources.tables import frames, micros, records, streams, table
+from ..sources.jsonl import with_timestamp
+from ..sources.tables import PROCESSES, frames, micros, processes, records, streams, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -261,6 +263,29 @@ _add("conversation_chains", lambda s, d: table(s, d, "conversations").groupBy("c
 _add("motion_trend", _rec(lambda r: r.groupBy("session_id").agg(F.max("ts_us").alias("_new")).join(r, "session_id").where(F.col("ts_us") >= F.col("_new") - 86_400_000_000).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("deviation"), F.max("score").alias("most"))),
      "SELECT session_id, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS deviation, max(score) AS most FROM (SELECT *, max(ts_us) OVER (PARTITION BY session_id) AS newest FROM records) WHERE ts_us >= newest - 86400000000 GROUP BY 1", _REC)
 
+_PRO = (
+    _REC
+    + ", kinds AS (SELECT * FROM (VALUES "
+    + ", ".join("(" + str(k) + ", " + ", ".join(f"'{x}'" for x in p) + ")" for k, p in enumerate(PROCESSES))
+    + f") AS k(k, name, parent, account, path, command)), processes AS (SELECT seq, kinds.* FROM records JOIN kinds ON user_id % {len(PROCESSES)} = k)"
+)
+_add("process_origins", lambda s, d: _processes(s, d), """SELECT origin, suspicious, noise, count(*) AS n FROM (SELECT CASE WHEN upper(account) IN ('SYSTEM', 'LOCAL SERVICE', 'NETWORK SERVICE', 'NT AUTHORITY\\SYSTEM') THEN 'system_service'
+     WHEN contains(lower(parent), 'explorer.exe') OR contains(path, 'Users\\') AND contains(path, '\\AppData\\') THEN 'user_initiated' WHEN contains(lower(parent), 'services.exe') THEN 'system_service' WHEN parent = '' THEN 'external_triggered' ELSE 'unknown' END AS origin,
+     regexp_matches(upper(parent), 'WINWORD|EXCEL|POWERPNT|OUTLOOK') AND ends_with(lower(name), '.exe') OR regexp_matches(lower(parent), 'chrome|firefox|msedge|iexplore') AND lower(name) IN ('powershell.exe', 'cmd.exe', 'wscript.exe', 'cscript.exe')
+     OR contains(path, '\\Temp\\') OR contains(path, '\\Downloads\\') OR contains(lower(name), 'powershell') AND contains(lower(command), '-enc') AS suspicious, name = 'svchost.exe' AS noise FROM processes) GROUP BY 1, 2, 3""", _PRO)
+_add("idle_resets", _rec(lambda r: windows.resets(r, "user_id", ["ts_us", "seq"], "value").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))),
+     "SELECT user_id, count(*) AS n, max(seq) AS last FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts_us, seq) AS b FROM records) WHERE value < b GROUP BY 1", _REC)
+_add("nth_window", _rec(lambda r: query.nth(r, 3, ["session_id"], [F.asc("ts_us"), F.asc("seq")]).select(*_FULL)), f"SELECT {_FULL_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts_us, seq) AS rn FROM records) WHERE rn = 3", _REC)
+_add("multi_read", _rec(lambda r: query.read_many(r, "seq", [40, 7, 40, -1, 0]).select("place", *_FULL)), f"SELECT place::INT AS place, {_FULL_SQL} FROM records JOIN (VALUES (0, 40), (1, 7), (2, 40), (3, -1), (4, 0)) AS w(place, k) ON seq = k", _REC)
+_add("filled_timestamps", _rec(lambda r: with_timestamp(r.select("seq", (F.floor(F.col("ts_us") / 1_000_000)).cast("double").alias("t_start"), F.when(F.col("seq") % 3 == 0, "kept").alias("timestamp"))).select("seq", "timestamp")),
+     "SELECT seq, CASE WHEN seq % 3 = 0 THEN 'kept' ELSE strftime(make_timestamp(ts_us // 1000000 * 1000000), '%Y-%m-%dT%H:%M:%S') END AS timestamp FROM records", _REC)
+
+
+def _processes(s: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    p = processes(s, d).select(scalar.process_origin(c("parent"), c("account"), c("path")).alias("origin"), scalar.suspicious(c("name"), c("parent"), c("path"), c("command")).alias("suspicious"), scalar.is_noise(c("name")).alias("noise"))
+    return p.groupBy("origin", "suspicious", "noise").agg(F.count(F.lit(1)).alias("n"))
+
 
 def _in_window(s: SparkSession, d: str) -> DataFrame:
     lo = records(s, d).agg(F.min("ts_us").alias("lo"))

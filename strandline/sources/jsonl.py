@@ -94,3 +94,11 @@ def retained(df: DataFrame, ts: str, days: int, now_us: int, keep: Column | None
 def day_key(ts: Column) -> Column:
     """The day of a chained file, which turns at 00:01 in New York."""
     return F.date_format(F.from_utc_timestamp(ts, "America/New_York") - F.expr("interval 1 minute"), "yyyy-MM-dd")
+
+
+def with_timestamp(df: DataFrame, seconds: str = "t_start", name: str = "timestamp") -> DataFrame:
+    """Fills a missing ISO-8601 text from epoch seconds, in the session's time zone; whole seconds have no fraction."""
+    micros = F.round(F.col(seconds) * 1_000_000).cast("long")
+    t = F.timestamp_micros(micros)
+    iso = F.when(micros % 1_000_000 == 0, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return df.withColumn(name, F.coalesce(F.col(name), iso) if name in df.columns else iso)

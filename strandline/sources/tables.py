@@ -50,3 +50,22 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(window_id, frame_id, grid): 8 x 8 cells of 0 to 9 in row order, 30 frames a window."""
     cell = lambda x: F.greatest(F.least(F.floor((x.cast("double") + 0.25) / 0.05), F.lit(9)), F.lit(0)).cast("int")
     return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 30).alias("window_id"), (F.col("vec_id") % 30).alias("frame_id"), F.transform("embedding", cell).alias("grid"))
+
+
+#: The processes that events stand for, dealt by user: name, parent, account, path, command.
+PROCESSES = (
+    ("game.exe", "explorer.exe", "ann", "C:\\Games\\game.exe", ""),
+    ("svchost.exe", "services.exe", "SYSTEM", "C:\\Windows\\svchost.exe", ""),
+    ("cmd.exe", "chrome.exe", "ann", "C:\\Windows\\cmd.exe", ""),
+    ("setup.exe", "", "ann", "C:\\Users\\ann\\Downloads\\setup.exe", ""),
+    ("tool.exe", "launcher.exe", "ann", "C:\\Users\\ann\\AppData\\tool.exe", ""),
+    ("helper.exe", "EXCEL.EXE", "ann", "C:\\Office\\helper.exe", ""),
+    ("powershell.exe", "services.exe", "ann", "C:\\Windows\\powershell.exe", "-Enc AAAA"),
+)
+
+
+def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, name, parent, account, path, command): one process per event."""
+    all_ = F.lit([list(p) for p in PROCESSES])
+    r = records(spark, sf_dir).select("seq", F.get(all_, (F.col("user_id") % len(PROCESSES)).cast("int")).alias("p"))
+    return r.select("seq", *[F.col("p")[k].alias(n) for k, n in enumerate(("name", "parent", "account", "path", "command"))])

@@ -2,13 +2,15 @@ import hashlib
 import json
 import math
 import statistics
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import scalar
 from strandline.operators import fusion, grid, query, screen, stats, temporal, windows
-from strandline.sources import jsonl
+from strandline.sources import binary, jsonl
 from strandline.streaming import windows as streaming
 
 S = 1_000_000
@@ -143,8 +145,73 @@ def test_jsonl_readers(spark, tmp_path):
 
 
 def test_scalars(spark):
-    r = spark.range(1).select(scalar.disk_severity(F.lit(500), F.lit(200)).alias("w"), scalar.disk_severity(F.lit(150), F.lit(200)).alias("c"), scalar.disk_severity(F.lit(1000), F.lit(200)).alias("n"), scalar.quantize(F.lit(255)).alias("q"), scalar.score_band(F.lit(0.4)).alias("b"), scalar.origin(F.lit("C:\\Windows\\x.exe")).alias("o")).first()
-    assert tuple(r) == ("warning", "critical", None, 9, "medium", "system")
+    r = spark.range(1).select(scalar.disk_severity(F.lit(500), F.lit(200)).alias("w"), scalar.disk_severity(F.lit(150), F.lit(200)).alias("c"), scalar.disk_severity(F.lit(1000), F.lit(200)).alias("n"), scalar.quantize(F.lit(255)).alias("q"), scalar.score_band(F.lit(0.4)).alias("b")).first()
+    assert tuple(r) == ("warning", "critical", None, 9, "medium")
+
+
+def test_process_rules(spark):
+    rows = [
+        ("a.exe", None, "system", None, None, "system_service", False),
+        ("a.exe", "Explorer.EXE", "ann", "C:\\x", "", "user_initiated", False),
+        ("a.exe", "x", None, "C:\\Users\\ann\\AppData\\Local\\Temp\\a.exe", None, "user_initiated", True),
+        ("a.exe", "services.exe", "ann", None, None, "system_service", False),
+        ("a.exe", "", "ann", None, None, "external_triggered", False),
+        ("a.EXE", "winword.exe", "ann", None, None, "unknown", True),
+        ("a.dll", "winword.exe", "ann", None, None, "unknown", False),
+        ("CMD.exe", "Firefox.exe", "ann", None, None, "unknown", True),
+        ("PowerShell.exe", "x", "ann", None, "-EncodedCommand Q", "unknown", True),
+        (None, None, None, None, None, "external_triggered", False),
+    ]
+    df = spark.createDataFrame(rows, "name string, parent string, account string, path string, command string, origin string, sus boolean")
+    c = F.col
+    got = df.select(scalar.process_origin(c("parent"), c("account"), c("path")).alias("o"), scalar.suspicious(c("name"), c("parent"), c("path"), c("command")).alias("s"), scalar.is_noise(c("name")).alias("n"), "origin", "sus").collect()
+    assert [(r.o, r.s, r.n) for r in got] == [(r.origin, r.sus, False) for r in got]
+
+
+def test_resets_places_and_reads(spark):
+    df = spark.createDataFrame([("u", 1, 5.0), ("u", 2, 1.0), ("u", 3, 1.0), ("v", 4, None), ("v", 5, 2.0), ("v", 6, 0.0)], "user string, seq long, idle double")
+    assert [r.seq for r in windows.resets(df, "user", ["seq"], "idle").orderBy("seq").collect()] == [2, 6]
+    assert {r.user: r.seq for r in query.nth(df, 3, ["user"], [F.asc("seq")]).collect()} == {"u": 3, "v": 6} and query.nth(df, 4, ["user"], [F.asc("seq")]).count() == 0
+    assert [r.seq for r in query.read_many(df, "seq", [6, 1, 6, 99]).collect()] == [6, 1, 6] and query.read_many(df, "seq", []).count() == 0
+    t = jsonl.with_timestamp(spark.createDataFrame([(0.0, None), (1.25, None), (2.0, "x")], "t_start double, timestamp string")).orderBy("t_start").collect()
+    assert [r.timestamp for r in t] == ["1970-01-01T00:00:00", "1970-01-01T00:00:01.250000", "x"]
+
+
+def _record(seq, sections=(b"\x80", b"\x80", b"\x80"), refs=(1, 2, 0, 0), pairs=b""):
+    tail = pairs + b"".join(struct.pack("<H", len(x) + 1) + b"\x01" + x for x in sections)
+    raw = binary.RECORD.pack(binary.RECORD_MAGIC, 2, binary.RECORD.size + len(tail) + 4, 9, 1, seq, 1.5, 1, *refs, 3, 4, 5, 6, 10, len(pairs)) + tail
+    return raw + struct.pack("<I", zlib.crc32(raw))
+
+
+def test_binary_logs(spark, tmp_path):
+    words = [w.encode() for w in ("task", "motor")]
+    body = b"".join(struct.pack("<H", len(w)) + w + struct.pack("<I", zlib.crc32(w)) for w in words)
+    (tmp_path / "strings.dict").write_bytes(binary.STRINGS.pack(binary.STRINGS_MAGIC, 2, 12 + len(body)) + body)
+    metrics = b"\x83\xa1s\xcb" + struct.pack(">d", 0.75) + b"\xa5flags\x92\xa1A\xd9\x01B\xa1n\xd1\xff\x00"
+    whole = [_record(1, (metrics, b"\x81\xa1k\xc0", b"\x81\xa1c\xcd\x01\x00"), pairs=b"\x02\x07"), _record(2, refs=(2, 0, 0, 1))]
+    hurt = bytearray(_record(3))
+    hurt[-6] ^= 1
+    log = b"".join(whole) + bytes(hurt) + _record(4)
+    (tmp_path / "records.bin").write_bytes(log + _record(5)[:-1])
+    at, names = str(tmp_path / "records.bin"), str(tmp_path / "strings.dict")
+    rows = binary.read_records(spark, at, names, "lenient").orderBy("seq").collect()
+    assert [(r.seq, r.task_id, r.engine_id, r.transform_id, r.failure_reason) for r in rows] == [(1, "task", "motor", "", None), (2, "motor", "", "", "task"), (4, "task", "motor", "", None)]
+    r = rows[0]
+    assert json.loads(r.error_metrics) == {"s": 0.75, "flags": ["A", "B"], "n": -256} and (json.loads(r.params), json.loads(r.context)) == ({"k": None}, {"c": 256})
+    assert (r.pulse_id, r.worker_id, r.timestamp, r.success, r.grid_in, r.grid_out, r.color_count, r.train_pair_indices) == (9, 1, 1.5, True, [3, 4], [5, 6], 10, [2, 7])
+    assert [x.at for x in binary.read_records(spark, at, mode="counted").where("bad is not null").collect()] == [sum(map(len, whole))]
+    with pytest.raises(Exception, match="checksum"):
+        binary.read_records(spark, at, names).collect()
+
+    def entry(pulse, records):
+        inner = struct.pack("<QI", pulse, len(records)) + b"".join(records)
+        return struct.pack("<I", len(inner) + 8) + inner + struct.pack("<I", zlib.crc32(inner))
+
+    (tmp_path / "wal.bin").write_bytes(binary.JOURNAL.pack(binary.JOURNAL_MAGIC, 1, 0, 1, 77) + entry(1, whole) + entry(2, [_record(7)]) + entry(3, [_record(8)])[:-1] + bytes(64))
+    rows = binary.read_journal(spark, str(tmp_path / "wal.bin"), names).orderBy("seq").collect()
+    assert [(r.seq, r.entry_pulse, r.entry_records, r.checkpointed, r.task_id) for r in rows] == [(1, 1, 2, True, "task"), (2, 1, 2, True, "motor"), (7, 2, 1, False, "task")]
+    (tmp_path / "empty.bin").write_bytes(b"")
+    assert binary.read_records(spark, str(tmp_path / "empty.bin")).count() == binary.read_journal(spark, str(tmp_path / "empty.bin")).count() == 0
 
 
 def test_streams_agree_with_batches(spark, tmp_path):
