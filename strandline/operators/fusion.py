@@ -57,26 +57,59 @@ def block_anomalies(blocks: DataFrame, anchor: DataFrame) -> DataFrame:
     return b.select("anchor_id", F.array_join(issues, ",").alias("issues")).where("issues <> ''")
 
 
-def fused_windows(streams: DataFrame, seconds: int, max_events: int = 1000) -> DataFrame:
-    """A row for each tumbling window: counts by source, the best vision row, sums, and correlation flags."""
-    rank = Window.partitionBy("window_key", "modality").orderBy("ts_us", "ord")
-    d = streams.where("modality <> 'activity'").withColumn("window_key", F.floor(F.col("ts_us") / (seconds * 1_000_000)))
-    d = d.withColumn("_rn", F.row_number().over(rank)).where(F.col("_rn") <= max_events)
+#: Sources of fused windows in their order, and the bounds of the correlation rules.
+FUSED_SOURCES = ("vision", "input", "network", "gamepad", "process")
+HIGH_SCORE, FEW_MOVES, BUSY_BYTES, FEW_STICKS, FEW_KEYS = 0.7, 5, 10_000, 3, 2
+
+
+def fused_windows(events: DataFrame, seconds: int = 1, max_events: int | None = 1000) -> DataFrame:
+    """A row for each tumbling window of events (source, ts_us, ord, type, score, flags, frame_count, bytes_sent, bytes_recv,
+    packets, process_name, cpu_percent, memory_mb) with any of the five sources; keys are times divided and cut toward zero. Of
+    every source, a window takes its first `max_events` in order of arrival (`ord`); null: all."""
+    d = events.where(F.col("source").isin(*FUSED_SOURCES)).withColumn("window_key", F.call_function("div", F.col("ts_us"), F.lit(seconds * 1_000_000)))
+    if max_events is not None:
+        rank = Window.partitionBy("window_key", "source").orderBy("ord")
+        d = d.withColumn("_rn", F.row_number().over(rank)).where(F.col("_rn") <= max_events)
     return correlated(aggregate_windows(d.groupBy("window_key")))
 
 
 def aggregate_windows(grouped) -> DataFrame:
-    """The aggregates of a window; the same for batches and streams."""
-    of = lambda m: F.col("modality") == m
-    return grouped.agg(
-        F.count_if(of("vision")).alias("vision_events"), F.max(F.when(of("vision"), F.col("score"))).alias("vision_score"), F.count_if(of("input")).alias("inputs"), F.count_if(of("network")).alias("packets"),
-        F.round(F.sum(F.when(of("network"), F.col("score")).otherwise(0.0)), 6).alias("bytes"), F.count_if(of("gamepad")).alias("gamepad_events"), F.size(F.collect_set(F.when(of("process"), F.col("user_id")))).alias("processes"),
+    """The aggregates of a window; the same for batches and streams. Vision has the score and flags of its highest row, the
+    first on ties; a source that is absent has counts of 0 and null averages."""
+    of = {m: F.col("source") == m for m in FUSED_SOURCES}
+
+    def n(source: str, kind: str | None = None):
+        return F.count(F.when(of[source] & (F.col("type") == kind) if kind else of[source], 1))
+
+    def total(source: str, c: str):
+        return F.coalesce(F.sum(F.when(of[source], F.col(c))), F.lit(0))
+
+    def mean(c: str):
+        return F.avg(F.when(of["process"], F.coalesce(c, F.lit(0.0))))
+
+    score = F.coalesce("score", F.lit(0.0))
+    best = F.max_by(F.struct(score.alias("score"), F.coalesce("flags", F.array().cast("array<string>")).alias("flags")), F.when(of["vision"], F.struct(score, -F.col("ord"))))
+    out = grouped.agg(
+        n("vision").alias("vision_events"), best.alias("_best"), total("vision", "frame_count").alias("frame_count"),
+        n("input").alias("input_events"), n("input", "key_press").alias("key_presses"), n("input", "mouse_move").alias("mouse_moves"), n("input", "mouse_click").alias("mouse_clicks"),
+        n("network").alias("network_events"), total("network", "bytes_sent").alias("bytes_sent"), total("network", "bytes_recv").alias("bytes_recv"), total("network", "packets").alias("packets"),
+        n("gamepad").alias("gamepad_events"), n("gamepad", "stick").alias("stick_events"), n("gamepad", "button").alias("button_events"),
+        n("process").alias("process_events"), F.size(F.collect_set(F.when(of["process"], F.coalesce("process_name", F.lit(""))))).alias("unique_processes"), mean("cpu_percent").alias("cpu_avg"), mean("memory_mb").alias("memory_avg"),
     )
-
-
-def correlated(w: DataFrame, score: float = 0.7) -> DataFrame:
-    """Correlation flags of windows with two sources or more."""
-    present = sum(((F.col(c) > 0).cast("int") for c in ("vision_events", "inputs", "packets", "gamepad_events", "processes")), F.lit(0))
-    high = F.coalesce(F.col("vision_score") > score, F.lit(False))
-    rules = F.array_compact(F.array(F.when(high & (F.col("inputs") > 0) & (F.col("inputs") < 2), "AIM_LOCK_NO_INPUT"), F.when(high & (F.col("bytes") > 1.0), "MANIPULATION_STABLE_NETWORK"), F.when(high & (F.col("gamepad_events") > 0) & (F.col("gamepad_events") < 2), "AIM_WITHOUT_GAMEPAD")))
-    return w.withColumn("sources", present).withColumn("correlations", F.when(F.col("sources") >= 2, F.array_join(rules, ",")).otherwise(""))
+    return out.withColumns({"vision_score": F.col("_best.score"), "vision_flags": F.col("_best.flags")}).drop("_best")
+
+
+def correlated(w: DataFrame) -> DataFrame:
+    """Adds sources_present and correlations: rules over pairs of sources, each where both are there."""
+    here = {m: F.col(f"{m}_events") > 0 for m in FUSED_SOURCES}
+    high = F.col("vision_score") > HIGH_SCORE
+    flag = lambda x: F.array_contains("vision_flags", x)
+    rules = {
+        "AIM_LOCK_NO_INPUT": here["input"] & high & flag("AIM_RESISTANCE") & (F.col("mouse_moves") < FEW_MOVES),
+        "MANIPULATION_STABLE_NETWORK": here["network"] & high & (F.col("bytes_recv") > BUSY_BYTES),
+        "AIM_WITHOUT_GAMEPAD": here["gamepad"] & (F.col("stick_events") < FEW_STICKS) & (flag("AIM_RESISTANCE") | flag("CROSSHAIR_LOCK")),
+        "HITBOX_DRIFT_NO_REACTION": here["input"] & flag("HITBOX_DRIFT") & (F.col("key_presses") < FEW_KEYS),
+    }
+    present = F.array_compact(F.array(*[F.when(c, m) for m, c in here.items()]))
+    found = F.array_compact(F.array(*[F.when(here["vision"] & c, k) for k, c in rules.items()]))
+    return w.withColumn("sources_present", present).withColumn("correlations", found)

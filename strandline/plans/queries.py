@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import fusion, grid, query, stats, temporal, windows
 from ..sources.jsonl import with_timestamp
-from ..sources.tables import PROCESSES, frames, micros, processes, records, streams, table
+from ..sources.tables import PROCESSES, frames, micros, processes, records, sensor_events, streams, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,13 +157,26 @@ _add("network_top", lambda s, d: streams(s, d).where("modality = 'network'").gro
      "SELECT user_id, n FROM (SELECT user_id, count(*) AS n, min(ord) AS first FROM streams WHERE modality = 'network' GROUP BY 1) ORDER BY n DESC, first LIMIT 10", _STR)
 _add("timeline_stats", lambda s, d: streams(s, d).groupBy("modality").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.round(F.try_divide(F.count(F.lit(1)) * 1e6, F.max("ts_us") - F.min("ts_us")), 6).alias("per_second")),
      "SELECT modality, count(*) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us, round(count(*) * 1e6 / nullif(max(ts_us) - min(ts_us), 0), 6) AS per_second FROM streams GROUP BY 1", _STR)
-_FUSED = """f AS (SELECT ts_us // 3600000000 AS window_key, count_if(modality = 'vision') AS vision_events, max(CASE WHEN modality = 'vision' THEN score END) AS vision_score, count_if(modality = 'input') AS inputs, count_if(modality = 'network') AS packets,
-     round(sum(CASE WHEN modality = 'network' THEN score ELSE 0 END), 6) AS bytes, count_if(modality = 'gamepad') AS gamepad_events, count(DISTINCT CASE WHEN modality = 'process' THEN user_id END) AS processes
-     FROM (SELECT *, row_number() OVER (PARTITION BY ts_us // 3600000000, modality ORDER BY ts_us, ord) AS rn FROM streams WHERE modality <> 'activity') WHERE rn <= 1000 GROUP BY 1),
-     c AS (SELECT *, (vision_events > 0)::INT + (inputs > 0)::INT + (packets > 0)::INT + (gamepad_events > 0)::INT + (processes > 0)::INT AS sources FROM f)"""
-_add("fused_windows", lambda s, d: fusion.fused_windows(streams(s, d), 3600), """SELECT window_key, vision_events::BIGINT AS vision_events, vision_score, inputs::BIGINT AS inputs, packets::BIGINT AS packets, bytes, gamepad_events::BIGINT AS gamepad_events, processes::INT AS processes, sources,
-     CASE WHEN sources >= 2 THEN concat_ws(',', CASE WHEN vision_score > 0.7 AND inputs > 0 AND inputs < 2 THEN 'AIM_LOCK_NO_INPUT' END, CASE WHEN vision_score > 0.7 AND bytes > 1.0 THEN 'MANIPULATION_STABLE_NETWORK' END,
-     CASE WHEN vision_score > 0.7 AND gamepad_events > 0 AND gamepad_events < 2 THEN 'AIM_WITHOUT_GAMEPAD' END) ELSE '' END AS correlations FROM c""", _STR + ", " + _FUSED)
+_SEN = (
+    _REC
+    + """, sensed AS (SELECT CASE operator WHEN 'error' THEN 'vision' WHEN 'click' THEN 'input' WHEN 'view' THEN 'network' WHEN 'purchase' THEN 'gamepad' WHEN 'signup' THEN 'process' END AS source, ts_us // 3600000000 AS window_key, seq AS ord,
+    ['key_press', 'mouse_move', 'mouse_click'][seq % 3 + 1] AS key_type, ['stick', 'button'][seq % 2 + 1] AS pad_type, score, [['AIM_RESISTANCE', 'CROSSHAIR_LOCK', 'HITBOX_DRIFT'][seq % 3 + 1]] AS flags, floor(value)::BIGINT AS sent, 'p' || (user_id % 5) AS process_name, value, user_id FROM records),
+    kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY window_key, source ORDER BY ord) AS rn FROM sensed WHERE source IS NOT NULL) WHERE rn <= 1000),
+    fused AS (SELECT window_key, count_if(source = 'vision')::BIGINT AS vision_events, first(score ORDER BY score DESC, ord) FILTER (source = 'vision') AS vision_score, first(flags ORDER BY score DESC, ord) FILTER (source = 'vision') AS vf, (30 * count_if(source = 'vision'))::BIGINT AS frame_count,
+      count_if(source = 'input')::BIGINT AS input_events, count_if(source = 'input' AND key_type = 'key_press')::BIGINT AS key_presses, count_if(source = 'input' AND key_type = 'mouse_move')::BIGINT AS mouse_moves, count_if(source = 'input' AND key_type = 'mouse_click')::BIGINT AS mouse_clicks,
+      count_if(source = 'network')::BIGINT AS network_events, coalesce(sum(sent) FILTER (source = 'network'), 0)::BIGINT AS bytes_sent, coalesce(sum(100 * sent) FILTER (source = 'network'), 0)::BIGINT AS bytes_recv, count_if(source = 'network')::BIGINT AS packets,
+      count_if(source = 'gamepad')::BIGINT AS gamepad_events, count_if(source = 'gamepad' AND pad_type = 'stick')::BIGINT AS stick_events, count_if(source = 'gamepad' AND pad_type = 'button')::BIGINT AS button_events,
+      count_if(source = 'process')::BIGINT AS process_events, count(DISTINCT process_name) FILTER (source = 'process')::INT AS unique_processes, round(avg(value) FILTER (source = 'process'), 6) AS cpu_avg, round(avg(user_id) FILTER (source = 'process'), 6) AS memory_avg FROM kept GROUP BY 1)"""
+)
+_add("fused_windows", lambda s, d: _fused(fusion.fused_windows(sensor_events(s, d), 3600)), """SELECT * EXCLUDE (vf), array_to_string(vf, ',') AS vision_flags,
+     concat_ws(',', CASE WHEN vision_events > 0 THEN 'vision' END, CASE WHEN input_events > 0 THEN 'input' END, CASE WHEN network_events > 0 THEN 'network' END, CASE WHEN gamepad_events > 0 THEN 'gamepad' END, CASE WHEN process_events > 0 THEN 'process' END) AS sources_present,
+     concat_ws(',', CASE WHEN input_events > 0 AND vision_score > 0.7 AND list_contains(vf, 'AIM_RESISTANCE') AND mouse_moves < 5 THEN 'AIM_LOCK_NO_INPUT' END, CASE WHEN network_events > 0 AND vision_score > 0.7 AND bytes_recv > 10000 THEN 'MANIPULATION_STABLE_NETWORK' END,
+     CASE WHEN gamepad_events > 0 AND stick_events < 3 AND (list_contains(vf, 'AIM_RESISTANCE') OR list_contains(vf, 'CROSSHAIR_LOCK')) THEN 'AIM_WITHOUT_GAMEPAD' END, CASE WHEN input_events > 0 AND list_contains(vf, 'HITBOX_DRIFT') AND key_presses < 2 THEN 'HITBOX_DRIFT_NO_REACTION' END) AS correlations FROM fused""", _SEN)
+
+
+def _fused(w: DataFrame) -> DataFrame:
+    return w.withColumns({**{c: F.array_join(c, ",") for c in ("vision_flags", "sources_present", "correlations")}, **{c: F.round(c, 6) for c in ("cpu_avg", "memory_avg")}})
+
 
 # statistics
 _TEN = "w10 AS (SELECT ts_us // 600000000 * 600000000 AS start_us, count(*) AS n, max(score) AS peak FROM records GROUP BY 1)"

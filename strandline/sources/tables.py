@@ -46,6 +46,19 @@ def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(busy)
 
 
+def sensor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events of five sources with the payload that fused windows add up."""
+    r = records(spark, sf_dir)
+    source = F.create_map(*[F.lit(x) for kv in MODALITIES.items() for x in kv])[F.col("operator")]
+    kind = lambda *names: F.get(F.array(*[F.lit(x) for x in names]), (F.col("seq") % len(names)).cast("int"))
+    whole = F.floor("value")
+    return r.select(
+        source.alias("source"), "ts_us", F.col("seq").alias("ord"), F.when(source == "input", kind("key_press", "mouse_move", "mouse_click")).when(source == "gamepad", kind("stick", "button")).alias("type"), "score",
+        F.array(kind("AIM_RESISTANCE", "CROSSHAIR_LOCK", "HITBOX_DRIFT")).alias("flags"), F.lit(30).cast("long").alias("frame_count"), whole.alias("bytes_sent"), (100 * whole).alias("bytes_recv"), F.lit(1).cast("long").alias("packets"),
+        F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("process_name"), F.col("value").alias("cpu_percent"), F.col("user_id").cast("double").alias("memory_mb"),
+    )
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(window_id, frame_id, grid): 8 x 8 cells of 0 to 9 in row order, 30 frames a window."""
     cell = lambda x: F.greatest(F.least(F.floor((x.cast("double") + 0.25) / 0.05), F.lit(9)), F.lit(0)).cast("int")

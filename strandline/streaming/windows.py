@@ -10,19 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.fusion import correlated
+from ..operators.fusion import FUSED_SOURCES, aggregate_windows, correlated
 
 
 def fused(stream: DataFrame, seconds: int = 1, delay: str = "5 seconds", ts: str = "ts") -> DataFrame:
-    """Tumbling windows of (ts timestamp, modality, score, user_id) with the aggregates and flags of the batch form. Rows later
-    than the watermark are dropped; a window is emitted once, when the watermark has passed it."""
-    of = lambda m: F.col("modality") == m
-    g = stream.withWatermark(ts, delay).groupBy(F.window(ts, f"{seconds} seconds"))
-    out = g.agg(
-        F.sum(of("vision").cast("long")).alias("vision_events"), F.max(F.when(of("vision"), F.col("score"))).alias("vision_score"), F.sum(of("input").cast("long")).alias("inputs"), F.sum(of("network").cast("long")).alias("packets"),
-        F.round(F.sum(F.when(of("network"), F.col("score")).otherwise(0.0)), 6).alias("bytes"), F.sum(of("gamepad").cast("long")).alias("gamepad_events"), F.size(F.collect_set(F.when(of("process"), F.col("user_id")))).alias("processes"),
-    )
-    return correlated(out.select(F.floor(F.unix_micros("window.start") / (seconds * 1_000_000)).alias("window_key"), *[c for c in out.columns if c != "window"]))
+    """Tumbling windows of events (`ts` timestamp, and the columns of the batch form) with the aggregates and correlations of the
+    batch form, of all events. Rows later than the watermark are dropped; a window is emitted once, when it has passed."""
+    known = stream.where(F.col("source").isin(*FUSED_SOURCES))
+    out = aggregate_windows(known.withWatermark(ts, delay).groupBy(F.window(ts, f"{seconds} seconds")))
+    key = F.floor(F.unix_micros("window.start") / (seconds * 1_000_000)).alias("window_key")
+    return correlated(out.select(key, *[c for c in out.columns if c != "window"]))
 
 
 def first_seen(stream: DataFrame, key: str, ts: str = "ts", delay: str = "1 hour") -> DataFrame:

@@ -214,20 +214,53 @@ def test_binary_logs(spark, tmp_path):
     assert binary.read_records(spark, str(tmp_path / "empty.bin")).count() == binary.read_journal(spark, str(tmp_path / "empty.bin")).count() == 0
 
 
+SENSED = "ts_us long, ord long, source string, type string, score double, flags array<string>, frame_count long, bytes_sent long, bytes_recv long, packets long, process_name string, cpu_percent double, memory_mb double"
+
+
+def sensed(spark, rows):
+    """Events from (ts_us, source, other fields)."""
+    names = [c.split(" ")[0] for c in SENSED.split(", ")]
+    return spark.createDataFrame([tuple(({"ts_us": t, "ord": k, "source": m} | x).get(n) for n in names) for k, (t, m, x) in enumerate(rows)], SENSED)
+
+
+def test_fused_windows_follow_the_rules(spark):
+    vision = lambda s, *flags: ("vision", {"score": s, "flags": list(flags), "frame_count": 30})
+    inputs = lambda kind, n: [("input", {"type": kind})] * n
+    windows_ = [
+        [vision(0.71, "AIM_RESISTANCE"), vision(0.71, "X"), vision(None, "Y"), *inputs("mouse_move", 4), ("other", {})],
+        [vision(0.9, "AIM_RESISTANCE"), *inputs("mouse_move", 5)],
+        [vision(0.7, "AIM_RESISTANCE"), *inputs("key_press", 1)],
+        [vision(0.8), ("network", {"bytes_recv": 10_001, "packets": 2})],
+        [vision(0.8), ("network", {"bytes_recv": 10_000}), ("network", {})],
+        [vision(0.1, "CROSSHAIR_LOCK"), *[("gamepad", {"type": "stick"})] * 2, ("gamepad", {"type": "button"})],
+        [vision(0.1, "CROSSHAIR_LOCK"), *[("gamepad", {"type": "stick"})] * 3],
+        [vision(0.1, "HITBOX_DRIFT"), *inputs("key_press", 1)],
+        [vision(0.1, "HITBOX_DRIFT"), *inputs("key_press", 2)],
+        [vision(0.9, "AIM_RESISTANCE", "HITBOX_DRIFT")],
+        [("process", {"process_name": "a", "cpu_percent": 3.0}), ("process", {"process_name": "a"}), ("process", {})],
+    ]
+    rows = [(k * S + i, m, x) for k, w in enumerate(windows_) for i, (m, x) in enumerate(w)]
+    got = fusion.fused_windows(sensed(spark, rows)).orderBy("window_key").collect()
+    assert [r.correlations for r in got] == [["AIM_LOCK_NO_INPUT"], [], [], ["MANIPULATION_STABLE_NETWORK"], [], ["AIM_WITHOUT_GAMEPAD"], [], ["HITBOX_DRIFT_NO_REACTION"], [], [], []]
+    a, p = got[0], got[-1]
+    assert (a.vision_events, a.vision_score, a.vision_flags, a.frame_count, a.mouse_moves, a.sources_present) == (3, 0.71, ["AIM_RESISTANCE"], 90, 4, ["vision", "input"])
+    assert (p.process_events, p.unique_processes, p.cpu_avg, p.memory_avg, p.vision_score, p.bytes_recv) == (3, 2, 1.0, 0.0, None, 0)
+    assert fusion.fused_windows(sensed(spark, rows), max_events=2).orderBy("window_key").first().vision_events == 2
+    assert fusion.fused_windows(sensed(spark, rows).limit(0)).count() == 0
+
+
 def test_streams_agree_with_batches(spark, tmp_path):
     base = 1_700_000_000 * S
-    rows = [(base + k * 137_000, k, ["vision", "input", "network", "gamepad", "process"][k % 5], (k % 10) / 10, k % 7) for k in range(200)]
-    df = spark.createDataFrame(rows, "ts_us long, ord long, modality string, score double, user_id long")
-    end = spark.createDataFrame([(base + 3_600 * S, 999, "vision", 0.0, 0)], df.schema)
+    rows = [(base + k * 137_000, ["vision", "input", "network", "gamepad", "process", "other"][k % 6], {"type": ["key_press", "stick"][k % 2], "score": (k % 10) / 10, "flags": ["AIM_RESISTANCE"], "bytes_recv": k * 500, "process_name": f"p{k % 7}", "cpu_percent": float(k % 3)}) for k in range(200)]
+    df = sensed(spark, rows)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    end.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    sensed(spark, [(base + 3_600 * S, "vision", {})]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_micros("ts_us"))
     q = streaming.fused(stream).writeStream.format("memory").queryName("fused").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    want = sorted(tuple(r) for r in fusion.fused_windows(df, 1).collect())
-    cols = fusion.fused_windows(df, 1).columns
-    got = sorted(tuple(r) for r in spark.table("fused").select(*cols).collect())
-    assert [g[:4] for g in got] == [w[:4] for w in want] and [g[-1] for g in got] == [w[-1] for w in want]
+    batch = fusion.fused_windows(df).orderBy("window_key")
+    want = [tuple(r) for r in batch.collect()]
+    assert want and [tuple(r) for r in spark.table("fused").select(*batch.columns).orderBy("window_key").collect()] == want
 
 
 def test_time_buffer_and_drain_order(spark):
