@@ -20,6 +20,26 @@ def anchors(records: DataFrame, types: tuple[str, ...], confidence: float = 0.5,
     return found.unionByName(peaks).withColumn("_rn", F.row_number().over(one)).where("_rn = 1").select(F.col("seq").alias("anchor_id"), F.col("ts_us").alias("anchor_us"), "anchor_type", "score")
 
 
+#: Detectors whose results anchor a block above the confidence, the one that needs flags instead, and the name of peaks.
+SURE_ANCHORS, FLAGGED_ANCHOR, PEAK_ANCHOR = ("crosshair_lock", "death_event", "edge_entry"), "hit_registration", "eomm_peak"
+
+
+def window_anchors(windows: DataFrame, confidence: float = 0.5, peak: float = 0.7) -> DataFrame:
+    """As `anchors`, from whole detection windows (ord, ts_us, score, operator_results array of operator_name, confidence and
+    flags): the results of a window in their order, then its peak; null results, confidences and flags count as none."""
+
+    def kind(r):
+        sure = r["operator_name"].isin(*SURE_ANCHORS) & (r["confidence"] > confidence)
+        flagged = (r["operator_name"] == FLAGGED_ANCHOR) & (F.size(r["flags"]) > 0)
+        return F.when(sure | flagged, r["operator_name"])
+
+    peaks = F.array(F.when(F.col("score") > peak, PEAK_ANCHOR))
+    kinds = F.array_compact(F.concat(F.coalesce(F.transform("operator_results", kind), F.array().cast("array<string>")), peaks))
+    found = windows.select("ord", "ts_us", "score", F.posexplode(kinds).alias("pos", "anchor_type"))
+    one = Window.partitionBy(F.round(F.col("ts_us") / 1_000_000, 3)).orderBy("ord", "pos")
+    return found.withColumn("_rn", F.row_number().over(one)).where("_rn = 1").select(F.col("ord").alias("anchor_id"), F.col("ts_us").alias("anchor_us"), "anchor_type", "score")
+
+
 def slices(anchor: DataFrame, streams: DataFrame, step_us: int, tolerance_us: int) -> DataFrame:
     """(anchor_id, frame, modality, near_us, payload): the nearest event of each modality at each of 13 times; null: none."""
     times = anchor.select("anchor_id", F.explode(F.sequence(F.lit(-SLICES), F.lit(SLICES))).alias("frame"), "anchor_us")

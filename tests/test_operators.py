@@ -249,6 +249,20 @@ def test_fused_windows_follow_the_rules(spark):
     assert fusion.fused_windows(sensed(spark, rows).limit(0)).count() == 0
 
 
+def test_anchors_of_whole_windows(spark):
+    rows = [
+        (1, 1_000_100, 0.9, [("flicker", 0.9, ["F"]), ("hit_registration", 0.1, ["GHOST_HITS"]), ("death_event", 0.9, [])]),
+        (2, 1_000_200, 0.1, [("edge_entry", 0.9, None)]),
+        (3, 2_000_000, 0.71, [("crosshair_lock", 0.5, ["X"]), ("hit_registration", 0.9, []), ("hit_registration", 0.9, None)]),
+        (4, 3_000_000, None, None),
+        (5, 4_000_000, 0.7, [("death_event", None, []), None, ("crosshair_lock", 0.51, None)]),
+    ]
+    df = spark.createDataFrame(rows, "ord long, ts_us long, score double, operator_results array<struct<operator_name string, confidence double, flags array<string>>>")
+    got = fusion.window_anchors(df).orderBy("anchor_us").collect()
+    assert [(r.anchor_id, r.anchor_type) for r in got] == [(1, "hit_registration"), (3, "eomm_peak"), (5, "crosshair_lock")]
+    assert fusion.window_anchors(df.limit(0)).count() == 0
+
+
 def test_streams_agree_with_batches(spark, tmp_path):
     base = 1_700_000_000 * S
     rows = [(base + k * 137_000, ["vision", "input", "network", "gamepad", "process", "other"][k % 6], {"type": ["key_press", "stick"][k % 2], "score": (k % 10) / 10, "flags": ["AIM_RESISTANCE"], "bytes_recv": k * 500, "process_name": f"p{k % 7}", "cpu_percent": float(k % 3)}) for k in range(200)]
