@@ -88,13 +88,23 @@ def session_summaries(df: DataFrame) -> DataFrame:
     )
 
 
-def bursts(df: DataFrame, threshold: float, gap_us: int, least: int, partition_by: list[str] | None = None) -> DataFrame:
-    """Islands of anomalies in time order, at most gap_us apart, of `least` rows or more; global unless partition_by is given."""
-    order = Window.partitionBy(*(partition_by or [])).orderBy("ts_us", "seq")
-    hit = score_above(df, threshold)
-    new = F.when(F.col("ts_us") - F.lag("ts_us").over(order) <= gap_us, 0).otherwise(1)
-    hit = hit.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order))
-    out = hit.groupBy(*(partition_by or []), "_island").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count(F.lit(1)).alias("n"), F.max(score()).alias("peak"), F.array_join(F.array_sort(F.collect_set("operator")), ",").alias("operators"))
+def bursts(df: DataFrame, threshold: float, gap_us: int, least: int, partition_by: list[str] | None = None, bucket_us: int = 3_600_000_000) -> DataFrame:
+    """Islands of anomalies in time order, at most gap_us apart, of `least` rows or more; global unless partition_by is given.
+    Rows are ordered within buckets of time; only a row per bucket is ordered in one task, to carry islands over its ends."""
+    by = partition_by or []
+    place = [*by, "_bucket"]
+    rows, ends = Window.partitionBy(*place).orderBy("ts_us", "seq"), Window.partitionBy(*by).orderBy("_bucket")
+    hit = score_above(df, threshold).where("ts_us is not null").withColumn("_bucket", F.floor(F.col("ts_us") / bucket_us))
+    hit = hit.withColumn("_back", F.col("ts_us") - F.lag("ts_us").over(rows))
+    fresh = (F.col("_back") > gap_us).cast("long")
+    hit = hit.withColumn("_local", F.coalesce(F.sum(fresh).over(rows), F.lit(0)))
+    parts = hit.groupBy(*place, "_local").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count(F.lit(1)).alias("n"), F.max(score()).alias("peak"), F.collect_set("operator").alias("_ops"))
+    edges = parts.groupBy(*place).agg(F.min("start_us").alias("_first"), F.max("end_us").alias("_last"), F.max("_local").alias("_top"))
+    joined = F.coalesce(F.col("_first") - F.lag("_last").over(ends) <= gap_us, F.lit(False))
+    edges = edges.withColumn("_step", F.col("_top") + 1 - joined.cast("long")).withColumn("_base", F.sum("_step").over(ends) - F.col("_top"))
+    base = edges.select(*[F.col(c).alias(f"_at_{c}") for c in place], "_base")
+    whole = parts.join(base, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in place]).withColumn("_island", F.col("_base") + F.col("_local"))
+    out = whole.groupBy(*by, "_island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n").alias("n"), F.max("peak").alias("peak"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ops")))), ",").alias("operators"))
     return out.where(F.col("n") >= least).drop("_island")
 
 

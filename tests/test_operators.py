@@ -40,6 +40,25 @@ def test_bursts_join_at_the_gap(spark):
     assert [(r.start_us, r.end_us, r.n) for r in out] == [(0, 4 * S, 3)]
 
 
+@pytest.mark.parametrize("bucket", [1, 3, 10, 1_000])
+def test_bursts_pass_over_the_ends_of_buckets(spark, bucket):
+    times = {"a": [0, 1, 2, 2, 5, 9, 10, 11, 12, 13, 40, 42, 44], "b": [1, 2, 30, 31, 32, 33], None: [4, 5, 6]}
+    df = events(spark, [(100 * i + k, t, f"o{k % 2}", 0.8 + k / 100, s, []) for i, (s, ts) in enumerate(times.items()) for k, t in enumerate(ts)])
+
+    def islands(ts):
+        out = []
+        for t in sorted(ts):
+            if out and t - out[-1][-1] <= 2:
+                out[-1].append(t)
+            else:
+                out.append([t])
+        return [(x[0], x[-1], len(x)) for x in out if len(x) >= 3]
+
+    got = query.bursts(df, 0.75, 2, 3, ["session_id"], bucket).collect()
+    assert sorted((str(r.session_id), r.start_us, r.end_us, r.n) for r in got) == sorted((str(s), *x) for s, ts in times.items() for x in islands(ts))
+    assert sorted((r.start_us, r.end_us, r.n) for r in query.bursts(df, 0.75, 2, 3, None, bucket).collect()) == islands(sum(times.values(), []))
+
+
 def test_capsules_of_thirteen(spark):
     df = spark.createDataFrame([("v", k, k * 10_000) for k in range(13)], "source string, seq long, ts_us long")
     out = {r.seq: r for r in windows.capsules(df, "source").collect()}
