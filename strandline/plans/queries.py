@@ -135,7 +135,7 @@ def _anchors(s, d):
 
 
 def _slices(s, d):
-    return fusion.slices(_anchors(s, d).where("anchor_type = 'error'"), streams(s, d), 120_000_000, 300_000_000)
+    return fusion.slices(_anchors(s, d), streams(s, d), 120_000_000, 300_000_000)
 
 
 def _blocks(s, d):

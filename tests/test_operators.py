@@ -315,3 +315,15 @@ def test_entry_and_queries(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_every_anchor_gets_its_block(spark):
+    from strandline.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    kinds = {r.anchor_id: r.anchor_type for r in QUERIES["anchors"](spark, d).collect()}
+    assert set(kinds.values()) == {"error", "peak"}
+    assert sorted(r.anchor_id for r in QUERIES["block_scores"](spark, d).collect()) == sorted(kinds)
+    assert QUERIES["fusion_slices"](spark, d).count() == 78 * len(kinds)
+    assert {r.modality: r.slices for r in QUERIES["modality_coverage"](spark, d).collect()} == {m: 13 * len(kinds) for m in fusion.ALL_MODALITIES}
+    assert QUERIES["temporal_patterns"](spark, d).first().blocks == len(kinds)
