@@ -106,7 +106,7 @@ _add("capsule", _rec(lambda r: windows.capsules(r, "user_id").select("seq", F.ar
      max(ts_us) OVER w - min(ts_us) OVER w AS span_us FROM records WINDOW w AS (PARTITION BY user_id ORDER BY ts_us, seq ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)""", _REC)
 _add("cross_stream_capsule", lambda s, d: _cross(records(s, d)), """SELECT a.seq AS anchor_id, r.operator AS source, count(*) AS n, min(r.ts_us) AS first_us, max(r.ts_us) AS last_us
      FROM records a JOIN records r ON r.ts_us BETWEEN a.ts_us - 600000000 AND a.ts_us + 600000000 WHERE a.operator = 'error' AND a.score > 0.75 GROUP BY 1, 2""", _REC)
-_add("chain_events", lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "o_custkey", "l_shipdate").where("o_custkey < 200"),
+_add("chain_events", lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "o_custkey", "l_shipdate"),
      "SELECT o_orderkey, l_linenumber, o_custkey, l_shipdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 200")
 _add("chain_bounds", lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("events"), F.min("l_shipdate").alias("starts"), F.max("l_shipdate").alias("ends"), ((F.max(micros("l_shipdate")) - F.min(micros("l_shipdate"))) / 1_000_000).cast("long").alias("seconds")),
      "SELECT l_orderkey, count(*) AS events, min(l_shipdate) AS starts, max(l_shipdate) AS ends, ((max(epoch_us(l_shipdate)) - min(epoch_us(l_shipdate))) // 1000000)::BIGINT AS seconds FROM lineitem GROUP BY 1")

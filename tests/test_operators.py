@@ -327,3 +327,14 @@ def test_every_anchor_gets_its_block(spark):
     assert QUERIES["fusion_slices"](spark, d).count() == 78 * len(kinds)
     assert {r.modality: r.slices for r in QUERIES["modality_coverage"](spark, d).collect()} == {m: 13 * len(kinds) for m in fusion.ALL_MODALITIES}
     assert QUERIES["temporal_patterns"](spark, d).first().blocks == len(kinds)
+
+
+def test_chain_events_hold_every_chain_row(spark, tmp_path):
+    from strandline.plans.queries import QUERIES
+
+    customer = {1: 7, 2: 199, 3: 200, 4: 90_000, 5: 201}
+    rows = [(o, n, f"2024-01-0{n}") for o in (1, 2, 3, 4, 9) for n in (1, 2)]
+    spark.createDataFrame(list(customer.items()), "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["chain_events"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(o, n, customer[o], day) for o, n, day in rows if o in customer]
