@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, coded, pieces, word_count, words
+from .common import BATCH_ROWS, Scratch, coded, pieces, word_count, words
 
 SHINGLE, SIMILAR = 5, 0.8
 RADIUS, BLOCKS = 26, 8
@@ -56,9 +56,12 @@ def _signs(h: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """The items of one pass, by shingle size (five, or the whole of a shorter item)."""
+    """The items of one pass, by shingle size (five, or the whole of a shorter item).
 
-    def __init__(self, rows: list[tuple]):
+    df and items: how many items of the whole benchmark hold a shingle, by (size, shingle as a signed long), and how many there
+    are, by size; without them the rows are the whole benchmark."""
+
+    def __init__(self, rows: list[tuple], df: dict[tuple[int, int], int] | None = None, items: dict[int, int] | None = None):
         offsets, flat = words(pa.array([t for _, t in rows], pa.string()))
         h = _word_hashes(flat)
         self.sizes: dict[int, dict] = {}
@@ -72,10 +75,13 @@ class Items:
                 g["n"].append(len(own))
                 g["sh"].append(_rolled(own, size))
         for size, g in self.sizes.items():
-            df = Counter(x for s in g["sh"] for x in set(s.tolist()))
-            g["all"] = np.array(sorted(df), np.uint64)
-            g["rare"] = float(np.log1p(len(g["ids"])))
-            g["w"] = np.array([np.log1p(len(g["ids"]) / df[x]) for x in g["all"].tolist()])
+            held = Counter(x for s in g["sh"] for x in set(s.tolist()))
+            g["all"] = np.array(sorted(held), np.uint64)
+            if df is not None:
+                held = dict(zip(g["all"].tolist(), (df[size, x] for x in g["all"].view(np.int64).tolist()), strict=True))
+            total = len(g["ids"]) if items is None else items[size]
+            g["rare"] = float(np.log1p(total))
+            g["w"] = np.array([np.log1p(total / held[x]) for x in g["all"].tolist()])
             g["n"] = np.array(g["n"])
             g["count"] = [Counter(s.tolist()) for s in g["sh"]]
             of = dict(zip(g["all"].tolist(), g["w"].tolist(), strict=True))
@@ -159,24 +165,50 @@ class Items:
                         best[g["ids"][item]] = (float(same), start)
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pass, size, shingle): the distinct shingles of each item, and a null one for the item itself."""
+    for b in pieces(batches):
+        offsets, flat = words(b.column("text"))
+        h = _word_hashes(flat)
+        for k, part in enumerate(b.column("pass").to_pylist()):
+            own = h[offsets[k] : offsets[k + 1]]
+            if len(own):
+                size = min(SHINGLE, len(own))
+                sh = np.unique(_rolled(own, size)).view(np.int64)
+                n = len(sh) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part), pa.int32()), pa.array(np.full(n, size), pa.int32()), pa.array([*sh.tolist(), None], pa.int64())], ["pass", "size", "shingle"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, item_id, similarity, first_word): a row for every document and item with a window of 0.8 or more; the best
     window, the first of equal ones. Columns in `keep` come along.
 
     Null, empty and blank documents and items match nothing; an item under five words is one shingle. Repeated documents give
-    their rows again; of repeated item ids the more similar counts. No items or no documents give no rows."""
+    their rows again; of repeated item ids the more similar counts. No items or no documents give no rows. A benchmark of more
+    than PASS_WORDS words is looked for in passes: all rows of an item id are in one, and shingles weigh as in the whole."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     b = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"), word_count(item_text).alias("n"))
-    passes = int(-(-(b.agg(F.sum("n")).first()[0] or 0) // PASS_WORDS))
+    passes = max(1, int(-(-(b.agg(F.sum("n")).first()[0] or 0) // PASS_WORDS)))
+    b = b.withColumn("pass", F.pmod(F.xxhash64("item_id"), F.lit(passes)).cast("int"))
+    if passes > 1:
+        scratch = Scratch(spark, "leaks")
+        found = scratch.save(b.select("pass", "text").mapInArrow(_shingles, "pass int, size int, shingle long"))
+        count = found.groupBy("size", "shingle").agg(F.count(F.lit(1)).alias("df"))
+        weighed = scratch.save(found.where("shingle is not null").distinct().join(count, ["size", "shingle"]))
+        items = {r[0]: r[1] for r in count.where("shingle is null").select("size", "df").collect()}  # at most a row a size
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *(keep or []))
     kinds = dict(d.dtypes) | {"item_id": dict(b.dtypes)["item_id"]}
     cols = ["doc_id", *(keep or [])]
     out = None
-    for k in range(max(1, passes)):
-        rows = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, passes))) == k).select("item_id", "text").collect()  # about PASS_WORDS words
+    for k in range(passes):
+        rows = b.where(F.col("pass") == k).select("item_id", "text").collect()  # about PASS_WORDS words
         rows = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, r[0], r[1]))
-        held = spark.sparkContext.broadcast(rows)
+        known = (rows,)
+        if passes > 1:
+            df = {(r[0], r[1]): r[2] for r in weighed.where(F.col("pass") == k).select("size", "shingle", "df").collect()}  # of these words
+            known = (rows, df, items)
+        held = spark.sparkContext.broadcast(known)
         one = d.mapInArrow(_search(held, cols), ", ".join(f"`{c}` {kinds[c]}" for c in cols) + f", item_id {kinds['item_id']}, similarity double, first_word int")
         out = one if out is None else out.union(one)
     return out
@@ -184,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def _search(held, cols: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(held.value)
+        items = Items(*held.value)
         every = np.concatenate([g["all"] for g in items.sizes.values()]) if items.sizes else np.zeros(0, np.uint64)
         for b in pieces(batches):
             offsets, flat = words(b.column("text"))

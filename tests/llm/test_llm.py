@@ -236,6 +236,32 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0 and decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_passes_is_as_in_one(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    vocab = [f"w{k}" for k in range(400)]
+    shared = list(rng.choice(vocab, 14))
+    items, rows = [], []
+    for k in range(40):  # half of each is a passage that all items share, which weighs little
+        own = list(rng.choice(vocab, 16))
+        items.append((k, " ".join(own + shared)))
+        cut = own[: 16 - k % 8] + ["zzz"] * (k % 8)
+        rows.append((k, " ".join(["x", *cut, *shared, "y"])))
+        rows.append((100 + k, " ".join(["x", *own, *shared[: 14 - k % 10], "y"])))
+    items += [(3, " ".join(rng.choice(vocab, 20))), (7, items[7][1] + " more"), (90, "tiny item here"), (91, "tiny item too"), (None, items[9][1]), (92, "")]
+    rows += [(300, items[40][1]), (301, items[41][1]), (302, "a tiny item too")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        got = decontaminate.contaminated(docs(spark, rows), bench).collect()
+        return sorted(((r.doc_id, r.item_id, round(r.similarity, 9), r.first_word) for r in got), key=repr)
+
+    whole = found()
+    assert {(300, 3), (301, 7), (302, 91)} <= {x[:2] for x in whole}
+    for n in (600, 150):
+        monkeypatch.setattr(decontaminate, "PASS_WORDS", n)
+        assert found() == whole
+
+
 # 7 toxicity
 def test_toxicity_on_held_out_documents(spark):
     rng = np.random.default_rng(7)
