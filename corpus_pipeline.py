@@ -31,21 +31,30 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.select(docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds `_key`: id and 128 bits of the text, never null; null ids last. Only rows of one id and one text share it."""
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    return docs.withColumn("_key", own)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked fingerprints, the document with the smallest doc_id stays."""
-    groups = Scratch(spark, "groups").save(simhash.near_duplicates(docs))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """Of every group of linked fingerprints, the document with the smallest doc_id stays, one with a null id only if no other
+    is there. Of rows with that id in the group, one stays; other groups' rows with a null or the same id are not touched."""
+    keyed = _keyed(docs)
+    groups = Scratch(spark, "groups").save(simhash.near_duplicates(keyed, doc_id="_key"))
+    first = groups.where(F.col("doc_id") == F.col("component_id"))
     n = first.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
     keep = first.select(F.col("doc_id").alias("_keep")).distinct()
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if n[0] > n[1] else out
+    out = keyed.join(keep, F.col("_key") == F.col("_keep"), "left_semi")
+    return (out.dropDuplicates(["_key"]) if n[0] > n[1] else out).drop("_key")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold a benchmark item go; rows of a null or the same id with other texts stay."""
+    keyed = _keyed(docs)
+    found = decontaminate.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="_key")
     leaks = Scratch(spark, "leaks").save(found.select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    return keyed.join(leaks, F.col("_key") == F.col("_leak"), "left_anti").drop("_key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -420,3 +420,20 @@ def test_pipeline_stages(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd, d)
         assert out.count() > 0 and (name.startswith("mixing") or out.columns == odd.columns)
+
+
+def test_pipeline_keeps_clean_rows_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    rng = np.random.default_rng(11)
+    text = [" ".join(rng.choice([f"w{k}" for k in range(500)], 80)) for _ in range(7)]
+    near = docs(spark, [(None, text[0]), (None, text[1]), (None, text[1]), (1, text[2]), (None, text[2]), (5, text[3]), (5, text[4]), (5, text[2]), (6, text[5]), (6, text[5]), (None, text[6]), (7, text[6])])
+    got = corpus_pipeline.drop_near_duplicates(spark, near, d).collect()
+    want = [(None, text[0]), (None, text[1]), (1, text[2]), (5, text[3]), (5, text[4]), (6, text[5]), (7, text[6])]
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
+    leak = max((r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()), key=len)
+    held = f"{text[5]} {leak} {text[6]}"
+    rows = [(None, text[0]), (None, text[1]), (None, None), (3, text[2]), (3, text[3]), (3, text[3]), (4, text[4])]
+    got = corpus_pipeline.drop_contaminated(spark, docs(spark, [*rows, (None, held), (3, held), (8, held)]), d).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(rows, key=repr)
