@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,28 +15,53 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds at once.
 PIECE_BYTES = 12_000_000
-#: Rows of an Arrow batch; keeps a batch of ordinary documents near 10 MB.
-BATCH_ROWS = 4_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share. Where none is set, one of our own in local mode, and an error on a cluster,
+    whose machines would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Folders of scratch tables that results may still read.
+_held: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clear_scratch() -> None:
+    """Deletes all scratch tables of this process: call it once the results that read them are written. Also done at exit."""
+    while _held:
+        spark, path = _held.pop()
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+        except Exception as e:  # at exit the JVM may be gone
+            if not isinstance(e, OSError | AttributeError | RuntimeError) and type(e).__module__.partition(".")[0] not in ("py4j", "pyspark"):
+                raise
+
+
+atexit.register(clear_scratch)
+
+
 class Scratch:
-    """Tables written to the shared folder; drop() deletes those that no result reads any more."""
+    """Tables written to the shared folder; drop() deletes those that no result reads any more, clear_scratch() all."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        _held.append((spark, self.root))
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -46,11 +72,8 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, t._scratch)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -96,6 +119,32 @@ def partitions_for(rows: int, each: int = 200_000) -> int:
     return max(1, min(20_000, -(-rows // each)))
 
 
+def top_rows(df: DataFrame, k: int, count: str, key: str) -> DataFrame:
+    """The k rows of the highest `count` (a positive long); of rows alike, those whose `key` has the least hash.
+
+    The cut is found digit by digit over both, 16 bits each, so that at most 65,536 bins come to the driver at a time; rows that agree in
+    all digits come together."""
+    most = df.agg(F.max(count), F.count(F.lit(1))).first()
+    if most[1] <= k:
+        return df
+    hashed = F.xxhash64(F.lit(3), key)
+    digits = [F.shiftright(F.col(count), s).bitwiseAND(F.lit(0xFFFF)) for s in range((int(most[0]).bit_length() - 1) // 16 * 16, -1, -16)]
+    digits += [F.lit(0xFFFF) - F.shiftrightunsigned(hashed, s).bitwiseAND(F.lit(0xFFFF)) for s in (48, 32, 16, 0)]
+    taken, edge, need = F.lit(False), F.lit(True), k
+    for digit in digits:
+        bins = df.where(edge).groupBy(digit.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for d, n in sorted(map(tuple, bins), reverse=True):
+            if n > need:
+                taken, edge = taken | edge & (digit > d), edge & (digit == d)
+                break
+            need -= n
+        else:
+            return df.where(taken | edge)
+        if not need:
+            return df.where(taken)
+    return df.where(taken | edge)
+
+
 def dense_ids(keys: DataFrame, cols: list[str], name: str, scratch: Scratch) -> DataFrame:
     """Adds `name`: the place of each (distinct) key in their sorted order, from 0.
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, Scratch, coded, pieces, word_count, words
+from .common import Scratch, coded, pieces, word_count, words
 
 SHINGLE, SIMILAR = 5, 0.8
 RADIUS, BLOCKS = 26, 8
@@ -187,7 +187,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     their rows again; of repeated item ids the more similar counts. No items or no documents give no rows. A benchmark of more
     than PASS_WORDS words is looked for in passes: all rows of an item id are in one, and shingles weigh as in the whole."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     b = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"), word_count(item_text).alias("n"))
     passes = max(1, int(-(-(b.agg(F.sum("n")).first()[0] or 0) // PASS_WORDS)))
     b = b.withColumn("pass", F.pmod(F.xxhash64("item_id"), F.lit(passes)).cast("int"))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, Scratch, coded, pieces
+from .common import Scratch, coded, pieces
 
 MIN_LENGTH = 16
 #: The dictionary: words of four letters or more in the documents, from a count on that so many reach at most.
@@ -227,7 +227,6 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, doc_id: str = "doc_
     candidate or label are left out. Null and empty texts have no candidate; a null path is empty. Repeated rows give their
     rows again. Other columns are not read. An empty table gives no rows."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     kind = dict(docs.dtypes)[doc_id]
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), (F.col(path).cast("string") if path else F.lit("")).alias("path"))
     counts = d.select("text").mapInArrow(_letters, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))

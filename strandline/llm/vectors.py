@@ -140,7 +140,6 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     rows = rows.withColumn("valid", F.coalesce(F.expr(fine), F.lit(False)))
     classes = rows.where("valid").groupBy("label", F.col("v").alias("embedding")).agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("times"))
     classes = scratch.save(classes.withColumn("cls", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     picked = [np.array(r[0]) for r in classes.orderBy(F.xxhash64("cls")).limit(PIVOTS).select("embedding").collect()]
     by_dim: dict[int, np.ndarray] = {d: _unit(np.array([p for p in picked if len(p) == d])) for d in {len(p) for p in picked}}
 
@@ -162,7 +161,6 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     may = angle <= F.col("a.radius") + F.col("b.radius") + F.lit(float(np.arccos(threshold)) + 1e-6)
     pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.dim") == F.col("b.dim")) & (F.col("a.tile") <= F.col("b.tile")) & may).select(F.col("a.tile").alias("tile_a"), F.col("b.tile").alias("tile_b"))
     side = lambda s: tiles.select(F.col("tile").alias(f"tile_{s}"), *([F.col("dim")] if s == "a" else []), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "cls", "times", "data")])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     work = pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").repartition(F.col("tile_a"), F.col("tile_b"))
     found = scratch.save(work.mapInArrow(_pairs(kind, threshold), "cls long, links long, root long"))
     counts = found.groupBy("cls").agg(F.sum("links").alias("links"))

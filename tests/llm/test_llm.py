@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strandline.llm import decontaminate, licenses, lines, maxent, mixing, secrets, simhash, toxicity, urls, vectors
-from strandline.llm.common import Scratch, components, words
+from strandline.llm.common import Scratch, components, top_rows, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, held_out string, size string, score string"
 
@@ -48,7 +48,7 @@ def test_maxent_scores(spark):
     en, de = [f"w{k}" for k in range(40)], [f"ü{k}" for k in range(40)]
     rows = [(k, " ".join(rng.choice(en if k % 2 else de, 30))) for k in range(200)] + [(1000 + k, t) for k, t in enumerate(t for _, t in ODD)]
     rows = rows + [rows[3]]
-    got = maxent.score(docs(spark, rows), rounds=4).collect()
+    got = maxent.score(docs(spark, rows)).collect()
     assert len(got) == len(rows)
     c = Counter(x for i, t in rows if zlib.crc32(str(i).encode()) % 10 for x in [*toks(t), b""])
     n, v = sum(c.values()), len(c)
@@ -65,10 +65,98 @@ def test_maxent_scores(spark):
 def test_maxent_is_a_distribution(spark):
     d = docs(spark, [(k, t) for k, t in enumerate(["a b c a b", "b c d", "a a e"] * 5)])
     m = maxent.train(d, Scratch(spark, "t"), 3)
-    v, syms = m.vocabulary, np.arange(maxent.SYMBOLS)
-    p = 10 ** m.weights.log10(np.full(len(syms), maxent.BOS), np.full(len(syms), v.symbol[v.words.index("a")]), syms)
+    v, w = m.vocabulary, m.weights
+    syms = np.arange(w.shape.places)
+    p = 10 ** w.log10(w.key(np.full(len(syms), w.shape.places), np.full(len(syms), v.symbol[v.words.index("a")]), syms))
     assert math.isclose(p.sum(), 1, rel_tol=1e-5)
-    assert v.words[0] in ("a", "") and math.isclose(v.mass.sum(), maxent.TAILS * 0.1, rel_tol=1e-9)  # five words: no tail words
+    assert v.words[0] in ("a", "") and math.isclose(v.mass.sum(), v.tails * 0.1, rel_tol=1e-9)  # five words: no tail words
+
+
+def softmax(table, rows, width):
+    x = [sum(float(table[r][j]) for r in rows) for j in range(width)]
+    z = sum(math.exp(y) for y in x)
+    return [math.exp(y) / z for y in x]
+
+
+def slow_rows(shape, s2, s1, c):
+    """The rows of one context, by the module's description."""
+    k, n = shape.places + 1, shape.classes
+    pair = ((s2 * k + s1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 33
+    a = [0, 1 + s1, 1 + k + s2, 1 + 2 * k + pair % (maxent.PAIRS_A * k)]
+    b = [c, n + (s1 * n + c) % (maxent.LAST_B * k), n + maxent.LAST_B * k + (s2 * n + c) % (maxent.SKIP_B * k)]
+    return a, b
+
+
+def test_maxent_gradient_and_score_match_brute_force(spark):
+    rng = np.random.default_rng(21)
+    lex = [f"w{k}" for k in range(60)]
+    chain = lambda n: " ".join(lex[int(x)] for x in np.cumsum(rng.integers(0, 4, n)) % 60)  # noqa: E731  the next word depends on the last
+    rows = [(k, chain(25)) for k in range(120)]
+    m = maxent.train(docs(spark, [r for r in rows if zlib.crc32(str(r[0]).encode()) % 10]), Scratch(spark, "t"), 3)
+    v, w = m.vocabulary, m.weights
+    c = Counter(x for i, t in rows if zlib.crc32(str(i).encode()) % 10 for x in [*t.split(), ""])
+    own = {x: int(v.symbol[k]) for k, x in enumerate(v.words) if v.symbol[k] >= 0}
+    assert sorted(own, key=lambda x: (-c[x], x)) == sorted(c, key=lambda x: (-c[x], x))[: len(own)]
+
+    def walk(text):  # (last but one, last, symbol, share in its tail)
+        last = [w.shape.places] * 2
+        for x in [*text.split(), ""]:
+            if x in own:
+                s, share = own[x], 1.0
+            else:
+                tail = int(maxent.suffix_of(pa.array([x]))[0]) % v.tails
+                mass = sum(n + 0.1 for y, n in c.items() if y not in own and int(maxent.suffix_of(pa.array([y]))[0]) % v.tails == tail) + 0.1
+                s, share = int(v.tail_symbol[tail]), (c[x] + 0.1) / mass
+            yield (*last, s, share)
+            last = [last[1], s]
+
+    for t, (x, shape) in enumerate(((w.a, (w.shape.rows_a, w.shape.classes)), (w.b, (w.shape.rows_b, w.shape.members)))):
+        assert x.shape == shape, t
+    sums = maxent.Sums(w, True)
+    expected, observed, loss = [np.zeros(w.a.shape), np.zeros(w.b.shape)], [np.zeros(w.a.shape), np.zeros(w.b.shape)], 0.0
+    seen = []
+    for _, text in rows[:15]:
+        part = list(walk(text))
+        seen += part
+        for s2, s1, s0, _ in part:
+            cls, mem = divmod(s0, w.shape.members)
+            for t, (table, r, true) in enumerate(zip((w.a, w.b), slow_rows(w.shape, s2, s1, cls), (cls, mem), strict=True)):
+                p = softmax(table, r, table.shape[1])
+                loss -= math.log(p[true])
+                for k in r:
+                    expected[t][k] += p
+                    observed[t][k, true] += 1
+    sums.add(*(np.array([x[k] for x in seen]) for k in range(3)))
+    assert math.isclose(sums.loss, loss, rel_tol=1e-4) and sums.tokens == len(seen)
+    for t in range(2):
+        assert np.allclose(sums.expected[t], expected[t], atol=1e-3) and np.allclose(sums.observed[t], observed[t])
+    assert all(a > b for a, b in zip(m.losses, m.losses[1:], strict=False)) and len(m.losses) == 3
+    got = {r.doc_id: r for r in maxent.score(docs(spark, rows)).collect()}
+    again = {r.doc_id: r for r in maxent.score(docs(spark, rows[::-1]).repartition(3)).collect()}
+    for i, text in rows[:20]:
+        want = 0.0
+        for s2, s1, s0, share in walk(text):
+            cls, mem = divmod(s0, w.shape.members)
+            a, b = slow_rows(w.shape, s2, s1, cls)
+            want += math.log10(softmax(w.a, a, w.shape.classes)[cls] * softmax(w.b, b, w.shape.members)[mem] * share)
+        assert math.isclose(got[i].score, want, rel_tol=1e-3) and math.isclose(got[i].score, again[i].score, rel_tol=1e-4)
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + len(held)
+
+
+def test_maxent_vocabulary_grows_and_ties_do_not_empty_it(spark):
+    few, many = (maxent.train(docs(spark, [(k, f"a{k} b{k} c{k}") for k in range(n)]), Scratch(spark, "t"), 1) for n in (40, 2_000))  # every word once
+    assert 0 < (few.vocabulary.symbol >= 0).sum() < (many.vocabulary.symbol >= 0).sum() and many.weights.b.size > few.weights.b.size
+
+
+def test_top_rows_cut_exactly(spark):
+    rows = [(f"w{k}", int(n)) for k, n in enumerate([5] * 50 + [70_000, 70_001, 1 << 40] + [1] * 30)]
+    df = spark.createDataFrame(rows, "word string, c long")
+    for k in (0, 1, 2, 3, 20, 53, 60, 83, 100):
+        got = [r.c for r in top_rows(df, k, "c", "word").collect()]
+        assert sorted(got, reverse=True) == sorted((c for _, c in rows), reverse=True)[:k], k
+    assert sorted(map(tuple, top_rows(df.repartition(5), 20, "c", "word").collect())) == sorted(map(tuple, top_rows(df, 20, "c", "word").collect()))
+    assert top_rows(df.limit(0), 3, "c", "word").count() == 0
 
 
 def test_maxent_without_rows(spark):
