@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, coded, dense_ids, pieces
+from .common import Scratch, coded, dense_ids, fresh, pieces
 
 MIN_WORDS = 50
 DOC = ["doc_id", "sha"]  # rows of one id and text are one document
@@ -132,7 +132,8 @@ def later_copies(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     kind = dict(docs.dtypes)["doc_id"]
     keyed = docs.select("doc_id", F.xxhash64("text").alias("sha"), "text")
     lines = scratch.save(keyed.mapInArrow(_lines, f"doc_id {kind}, sha long, place int, a long, b long, n int"))
-    twice = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    # what lines and runs are counted to is written before it is joined, so that a very frequent one's join can be dealt anew
+    twice = scratch.save(lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"))
     again = lines.join(twice, ["a", "b"], "left_semi")
     grouped = again.groupBy(*DOC).agg(F.sum("n").alias("words"), F.array_sort(F.collect_set(F.struct("place", "a", "b", "n"))).alias("lines")).where(F.col("words") >= min_words)
     held = scratch.save(grouped.select(*DOC, "lines").mapInArrow(_relevant(min_words), f"doc_id {kind}, sha long, place int, a long, b long, n int, most int"))
@@ -140,7 +141,7 @@ def later_copies(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     levels = int(longest).bit_length()
     ids = dense_ids(held.select("a", "b").distinct(), ["a", "b"], "r0", scratch)
     ranked = scratch.save(held.join(ids, ["a", "b"]).select(*DOC, "place", "n", "r0"))
-    scratch.drop(lines, held)
+    scratch.drop(lines, twice, held)
     for k in range(levels - 1):
         along = Window.partitionBy(*DOC).orderBy("place")
         far = 1 << k
@@ -157,6 +158,7 @@ def later_copies(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     scratch.drop(ranked)
     name = ["m", "ra", "rb"]
     first = runs.groupBy(*name).agg(F.min(F.struct("doc_id", "sha", "place")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    first = scratch.save(first)
     copies = runs.join(first, name).where(~F.col("first").eqNullSafe(F.struct("doc_id", "sha", "place")))
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
     start = F.when(own, F.greatest("place", F.col("first.place") + F.col("m"))).otherwise(F.col("place"))
@@ -170,19 +172,20 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
     A copy is later if its document has the larger doc_id (null first; then the hash of the text), or stands further down in
     one document; where copies overlap, the lines of the first stay. Rows of one id and text are one document, and
-    treated alike. Null, empty and short texts come back as they are; a text all of whose lines go becomes empty. A column
-    of `docs` named lines_before, lines_removed, _sha or _spans is replaced."""
+    treated alike. Null, empty and short texts come back as they are, long ones are read whole; a text all of whose lines go
+    becomes empty. A column of `docs` named lines_before or lines_removed is replaced; all others stay."""
     scratch = Scratch(docs.sparkSession, "lines")
-    base = docs.drop("lines_before", "lines_removed", "_sha", "_spans")
+    base = docs.drop("lines_before", "lines_removed")
     spans = scratch.save(later_copies(base.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), scratch, min_words))
     # one plan at every size: the spans grow with the corpus, so they are never broadcast
-    s = spans.select(F.col("doc_id").alias("_doc"), F.col("sha").alias("_sha_of"), F.col("spans").alias("_spans")).hint("merge")
-    d = base.withColumn("_sha", F.xxhash64(F.col(text).cast("string")))
-    d = d.join(s, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("_sha") == F.col("_sha_of")), "left")
+    of, sha, cut, own = fresh(base, "_doc", "_sha_of", "_spans", "_sha")
+    s = spans.select(F.col("doc_id").alias(of), F.col("sha").alias(sha), F.col("spans").alias(cut)).hint("merge")
+    d = base.withColumn(own, F.xxhash64(F.col(text).cast("string")))
+    d = d.join(s, F.col(doc_id).eqNullSafe(F.col(of)) & (F.col(own) == F.col(sha)), "left")
     split = F.split(F.col(text), "\n", -1)
-    kept = F.filter(split, lambda line, i: ~F.exists("_spans", lambda r: (i >= r["start"]) & (i < r["end"])))
-    gone = F.aggregate("_spans", F.lit(0), lambda acc, r: acc + r["end"] - r["start"])
-    touched = F.col("_spans").isNotNull()
+    kept = F.filter(split, lambda line, i: ~F.exists(cut, lambda r: (i >= r["start"]) & (i < r["end"])))
+    gone = F.aggregate(cut, F.lit(0), lambda acc, r: acc + r["end"] - r["start"])
+    touched = F.col(cut).isNotNull()
     d = d.withColumn("lines_before", F.when(F.col(text).isNull(), 0).otherwise(F.size(split)))
     d = d.withColumn("lines_removed", F.when(touched, gone).otherwise(0)).withColumn(text, F.when(touched, F.array_join(kept, "\n")).otherwise(F.col(text)))
-    return d.drop("_sha", "_doc", "_sha_of", "_spans")
+    return d.drop(of, sha, cut, own)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, coded, pieces, top_rows, words
 
 #: Words of their own for each unit of the cube root of the training tokens, and the share of tail symbols.
-GROWTH, TAIL_SHARE = 6.0, 8
+GROWTH, TAIL_SHARE = 5.0, 8
 #: Words whose counts every worker holds, at least all with a symbol of their own; the counts of all other words are joined.
 HEAD = 131_072
 #: Rows for each symbol: of hashed pairs in the first table, of last symbols and of last but ones in the second.
@@ -39,7 +39,7 @@ PAIRS_A, LAST_B, SKIP_B = 8, 8, 8
 ROUNDS, STEP, DAMP, ENOUGH = 3, 0.6, 2.0, 2e-3
 SMOOTH = 0.1
 #: Contexts worked on at once, tokens among which equal contexts are found, rows of the summed tables in a piece of the exchange.
-CHUNK, BLOCK, PIECE = 32_768, 3_000_000, 64
+CHUNK, BLOCK, PIECE = 16_384, 1_500_000, 64
 #: Repeats of a row up to which its counts are added one by one.
 FEW = 3
 
@@ -255,17 +255,20 @@ def _encoded(held):
 
 def _blocks(batches: Iterator[pa.RecordBatch], bos: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(last but one, last, symbol) of BLOCK tokens or more at once."""
-    held, n = [], 0
+    symbols, starts, n = [], [], 0
     for b in batches:
         for k in range(b.num_rows):
-            s0, first = (np.frombuffer(b.column(c)[k].as_buffer(), np.uint32).astype(np.int64) for c in ("symbols", "first"))
-            held.append((*context(first, s0, bos), s0))
+            s0, first = (np.frombuffer(b.column(c)[k].as_buffer(), np.uint32) for c in ("symbols", "first"))
+            symbols.append(s0)
+            starts.append(first.astype(np.int64) + n)
             n += len(s0)
             if n >= BLOCK:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                held, n = [], 0
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                s0 = np.concatenate(symbols).astype(np.int64)
+                yield (*context(np.concatenate(starts), s0, bos), s0)
+                symbols, starts, n = [], [], 0
+    if n:
+        s0 = np.concatenate(symbols).astype(np.int64)
+        yield (*context(np.concatenate(starts), s0, bos), s0)
 
 
 class Sums:

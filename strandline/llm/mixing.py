@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, word_count
+from .common import Scratch, repeated, words_in
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 STEPS = 12
@@ -78,19 +78,31 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """(doc_id, size, source_size, target, rate, copies, taken): a row for every row of `docs`, with the columns named in
     `keep` besides, but for those of these names. copies is 0, 1 or 2; taken is copies * size.
 
-    Null and empty texts have size 0, rate 1 and one copy, of no words. A null source is a source of its own. Rows that repeat
-    share their hash and so their rounding. Reruns agree, whatever the partitions. An empty table gives no rows."""
+    Null and empty texts have size 0, rate 1 and one copy, of no words; long ones are counted whole. A null source is a source of its
+    own. Rows alike in id, source, text and the kept columns draw evenly spaced numbers, so they share their copies out among
+    themselves. Reruns agree, whatever the partitions. An empty table gives no rows."""
     scratch = Scratch(docs.sparkSession, "mixing")
     keep = [c for c in keep or [] if c not in RESULT]
-    drawn = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.col(source)), F.lit(1 << 36)).cast("long")
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), drawn.alias("draw"), *[F.col(c).alias(f"_k_{c}") for c in keep or []])
-    small = scratch.save(base if not keep else base.select("source", "size", "draw"))
+    span = 1 << (BITS * LEVELS)
+    hashed = F.xxhash64(F.col(doc_id).cast("string"), F.col(doc_id).isNull(), F.col(source), F.col(text).cast("string"), *[F.col(c).cast("string") for c in keep])
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text).cast("string")).alias("size"), hashed.alias("h"), *[F.col(c).alias(f"_k_{c}") for c in keep])
+    sized = scratch.save(base if not keep else base.select("source", "size", "h"))
     if not keep:  # the texts are read once
-        base = small
+        base = sized
+    groups = sized.groupBy("source", "size", "h").agg(F.count(F.lit(1)).alias("times"))
+    turn = lambda j: F.pmod(F.col("h") + F.floor(F.col(j) * (span / F.col("times"))), F.lit(span)).cast("long")
+    small = scratch.save(repeated(groups, "times", "j").select("source", "size", turn("j").alias("draw")))
+    twice = scratch.save(groups.where("times > 1").select(F.col("h").alias("twice")).distinct())
+    if twice.isEmpty():
+        base = base.withColumn("draw", F.pmod("h", F.lit(span)).cast("long")).drop("h")
+    else:
+        cols = [c for c in base.columns if c != "h"]
+        once = base.join(twice, F.col("h") == F.col("twice"), "left_anti").select(*cols, F.pmod("h", F.lit(span)).cast("long").alias("draw"))
+        more = base.join(twice, F.col("h") == F.col("twice"), "left_semi").groupBy(*base.columns).agg(F.count(F.lit(1)).alias("times"))
+        base = once.unionByName(repeated(more, "times", "j").select(*cols, turn("j").alias("draw")))
     goal = scratch.save(targets(small, weights, share, most).coalesce(1))
     state = scratch.save(balance(small, goal, scratch).coalesce(1))
     # a copy more than floor(rate) where draw < fraction + shift: the place of a document is draw - fraction
-    span = 1 << (BITS * LEVELS)
     st = state.select(F.col("source").alias("s"), "source_size", "target", "mean", "a")
 
     def rated(d: DataFrame) -> DataFrame:
@@ -124,7 +136,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     nearest = after.groupBy("s", "need").agg(F.min(F.struct(F.abs(F.col("need") - F.col("size")).alias("gap"), "place", "size")).alias("best"))
     more = nearest.where(F.col("best.gap") < F.abs(F.col("need"))).select(F.col("s").alias("n"), F.col("best.place").alias("one_place"), F.col("best.size").alias("one_size"))
     cut = scratch.save(c.join(more, F.col("s").eqNullSafe(F.col("n")), "left").select("s", F.col("low").alias("shift"), "one_place", "one_size").coalesce(1))
-    scratch.drop(*[placed] if not keep else [small, placed])
+    scratch.drop(small, placed, *([sized] if keep else []))
     out = rated(base).join(cut.withColumnRenamed("s", "c"), F.col("source").eqNullSafe(F.col("c")), "left")
     below = F.coalesce(F.col("place") < F.col("shift"), F.lit(False)).cast("int")
     one = F.coalesce((F.col("place") == F.col("one_place")) & (F.col("size") == F.col("one_size")), F.lit(False)).cast("int")

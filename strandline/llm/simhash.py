@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, pieces
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
-GROUPS = 5
+#: Groups of references, with so many more for every eight times of fingerprints beyond 2 ** ENOUGH: longer keys, more of them.
+GROUPS, ENOUGH = 5, 26
 #: Extra references for the discard by maximum coordinate difference: fixed, dense bit patterns.
 DISCARD = [(0x9E3779B97F4A7C15 * (2 * k + 1)) & (1 << 64) - 1 for k in range(8)]
 #: Members up to which a key's fingerprints are compared pair by pair; larger ones go by shared neighbours, exactly.
@@ -102,17 +103,22 @@ def links(distinct: DataFrame, radius: int, groups: int, scratch: Scratch) -> Da
     return out.union(more).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
+def groups_for(fingerprints: int) -> int:
+    """Groups that keep the fingerprints sharing a key few; the links are the same for any number."""
+    return GROUPS + max(0, -(-(max(1, fingerprints).bit_length() - ENOUGH) // 3))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, groups: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id): one row a document; component_id is the smallest doc_id reachable by links of at most
     `radius` differing bits.
 
-    Null, empty and blank texts have fingerprint 0 and link like any other. Rows that repeat are rows of one component.
+    Null, empty and blank texts have fingerprint 0 and link like any other; long texts are read whole. Rows that repeat are rows of one component.
     Rows whose doc_id is null are fingerprinted and linked; component_id is null only if no other row is reachable.
     Other columns are not read. An empty table gives an empty result."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.save(fingerprints(docs, doc_id, text))
     first = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(first.select("fp"), radius, groups, scratch), scratch)
+    roots = components(links(first.select("fp"), radius, groups or groups_for(first.count()), scratch), scratch)
     placed = first.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     placed = scratch.save(placed)
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -243,8 +243,8 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_docs: int =
     """docs: doc_id, text; labels: doc_id, toxic. None if the training rows hold no instance of either kind."""
     spark = docs.sparkSession
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    bags = docs.where(~held_out(F.col("doc_id"))).join(known, "doc_id").withColumn("bag", F.xxhash64("text"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)  # so many rows at most
+    bags = docs.where(~held_out(F.col("doc_id"))).join(F.broadcast(known), "doc_id").withColumn("bag", F.xxhash64("text"))
     bags = scratch.save(bags.groupBy("bag").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")))
     total = bags.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     n_pos, n = int(total[0] or 0), int(total[1])
@@ -302,16 +302,18 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     Learns from labelled rows whose crc32(doc_id as text) mod 5 is not 0; of a document with several labels the highest
     counts, null and other labels do not. Null, blank and empty texts have no string, and get the score of none. Without
-    labels of both kinds, or without any instance that tells them apart, every score is 0. Repeated rows score alike. Other
-    columns are not read. An empty table gives no rows."""
+    labels of both kinds, or without any instance that tells them apart, every score is 0. Repeated rows score alike; long
+    texts are scored whole. Columns in `keep` named as the result's are left out; others are not read. An empty table gives
+    no rows."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     machine = train(d, labels, scratch)
     held = spark.sparkContext.broadcast(machine)
-    cols = list(dict.fromkeys(keep or []))
-    rows = docs.select(F.col(doc_id).alias("_doc"), held_out(F.col(doc_id)).alias("_held"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"_k{k}") for k, c in enumerate(cols)])
-    out_cols = ["_doc", "_held", *[f"_k{k}" for k in range(len(cols))]]
+    cols = [c for c in dict.fromkeys(keep or []) if c not in ("doc_id", "held_out", "score", "predicted")]
+    rows = docs.select(F.col(doc_id).alias("_doc"), held_out(F.col(doc_id)).alias("_held"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"_k{k}") for k, c in enumerate(cols) if c != text])
+    names = ["text" if c == text else f"_k{k}" for k, c in enumerate(cols)]  # the text is sent once
+    out_cols = ["_doc", "_held", *names]
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +323,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in out_cols], pa.array(p)], [*out_cols, "score"])
 
     out = rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in out_cols) + ", score double")
-    return out.select(F.col("_doc").alias("doc_id"), F.col("_held").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f"_k{k}").alias(c) for k, c in enumerate(cols) if c not in ("doc_id", "held_out", "score", "predicted")])
+    return out.select(F.col("_doc").alias("doc_id"), F.col("_held").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(n).alias(c) for n, c in zip(names, cols, strict=True)])
 
 
 __all__ = ["Machine", "altered", "fit_machine", "held_out", "kernel", "parts", "score", "train"]
