@@ -41,12 +41,39 @@ def window_anchors(windows: DataFrame, confidence: float = 0.5, peak: float = 0.
 
 
 def slices(anchor: DataFrame, streams: DataFrame, step_us: int, tolerance_us: int) -> DataFrame:
-    """(anchor_id, frame, modality, near_us, payload): the nearest event of each modality at each of 13 times; null: none."""
+    """(anchor_id, frame, modality, near_us, payload): the nearest event of each modality at each of 13 times; null: none. Vision of the
+    centre is the anchor's own event, whatever is near."""
     times = anchor.select("anchor_id", F.explode(F.sequence(F.lit(-SLICES), F.lit(SLICES))).alias("frame"), "anchor_us")
     probes = times.select(F.struct("anchor_id", "frame").alias("probe_id"), (F.col("anchor_us") + F.col("frame") * step_us).alias("ts_us"), F.explode(F.array(*[F.lit(m) for m in ALL_MODALITIES])).alias("modality"))
     candidates = streams.select("modality", "ts_us", "ord", F.struct("ord", "score").alias("payload"))
-    near = nearest_join(probes, candidates, tolerance_us, by=["modality"])
-    return near.select("probe_id.*", "modality", "near_us", "payload")
+    near = nearest_join(probes, candidates, tolerance_us, by=["modality"]).select("probe_id.*", "modality", "near_us", "payload")
+    kind = near.schema["payload"].dataType
+    own = anchor.select("anchor_id", F.lit(0).alias("frame"), F.lit("vision").alias("modality"), F.col("anchor_us").alias("near_us"), F.struct(F.col("anchor_id").alias("ord"), "score").cast(kind).alias("payload"))
+    return near.where("not (frame = 0 and modality = 'vision')").unionByName(own)
+
+
+def blocks(anchor: DataFrame, sliced: DataFrame) -> DataFrame:
+    """(block_id, anchor_id, anchor_us, anchor_type, frames): the 13 frames of each block in order, each with its time's nearest events by
+    modality; blocks are numbered by time. Numbers come from counts of days, so no task orders all anchors."""
+    event = F.when(F.col("near_us").isNotNull(), F.struct("modality", F.struct("near_us", "payload").alias("event")))  # collect_list leaves out nulls
+    each = sliced.groupBy("anchor_id", "frame").agg(F.map_from_entries(F.array_sort(F.collect_list(event))).alias("events"))
+    frames = each.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("frame", "events")), lambda a, b: a["frame"] - b["frame"]).alias("frames"))
+    day = F.floor(F.col("anchor_us") / 86_400_000_000)
+    placed = anchor.withColumn("_day", day).withColumn("_rn", F.row_number().over(Window.partitionBy("_day").orderBy("anchor_us", "anchor_id")))
+    days = placed.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
+    days = days.withColumn("_before", F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))).drop("_n")  # a row a day
+    number = F.col("_rn") - 1 + F.coalesce("_before", F.lit(0))
+    named = placed.join(days, "_day").select("anchor_id", "anchor_us", "anchor_type", F.format_string("block_%06d_%s", number.cast("long"), "anchor_type").alias("block_id"))
+    return named.join(frames, "anchor_id").select("block_id", "anchor_id", "anchor_us", "anchor_type", "frames")
+
+
+def alignment(sliced: DataFrame) -> DataFrame:
+    """(anchor_id, alignment, coverage): the part of a block's 13 slices that each modality fills, for those that fill any, and the mean of
+    all six."""
+    per = sliced.where("near_us is not null").groupBy("anchor_id", "modality").agg((F.count(F.lit(1)) / 13.0).alias("part"))
+    out = per.groupBy("anchor_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("modality", F.round("part", 6))))).alias("coverage"), F.sum("part").alias("_all"))
+    every = sliced.select("anchor_id").distinct().join(out, "anchor_id", "left")
+    return every.select("anchor_id", F.round(F.coalesce(F.col("_all"), F.lit(0.0)) / len(ALL_MODALITIES), 6).alias("alignment"), F.coalesce("coverage", F.create_map().cast("map<string,double>")).alias("coverage"))
 
 
 def block_scores(sliced: DataFrame) -> DataFrame:
@@ -55,7 +82,7 @@ def block_scores(sliced: DataFrame) -> DataFrame:
     pre, at, post = F.col("frame") < 0, F.col("frame") == 0, F.col("frame") > 0
     hands = F.col("modality").isin("gamepad", "input")
     flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    out = sliced.groupBy("anchor_id").agg(F.count_if(has).alias("filled"), flag(pre & hands & has).alias("pre_input"), flag(at & (F.col("modality") == "vision") & has).alias("at_vision"), flag(post & (F.col("modality") == "network") & has).alias("post_network"))
+    out = sliced.groupBy("anchor_id").agg(F.count_if(has).alias("filled"), flag(pre & hands & has).alias("pre_input"), flag(at & (F.col("modality") == "vision") & has).alias("at_vision"), flag(pre & (F.col("modality") == "network") & has).alias("pre_network"), flag(post & hands & has).alias("post_input"), flag(post & (F.col("modality") == "network") & has).alias("post_network"))
     whole = F.col("pre_input").cast("int") + F.col("at_vision").cast("int") + F.col("post_network").cast("int")
     return out.withColumn("alignment", F.round(F.col("filled") / 78.0, 6)).withColumn("coherence", F.round(whole / 3.0, 6)).withColumn("chain", F.col("pre_input") & F.col("post_network"))
 
@@ -67,14 +94,18 @@ def modality_coverage(sliced: DataFrame) -> DataFrame:
 
 def temporal_patterns(blocks: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
-    return blocks.agg(n.alias("blocks"), *[F.count_if(c).alias(c) for c in ("pre_input", "at_vision", "post_network", "chain")], F.round(F.try_divide(100.0 * F.count_if("chain"), n), 6).alias("chain_pct"))
+    flags = ("pre_input", "pre_network", "post_network", "post_input", "chain")
+    return blocks.agg(n.alias("blocks"), *[F.count_if(c).alias(c) for c in flags], *[F.round(F.try_divide(100.0 * F.count_if(c), n), 6).alias(f"{c}_pct") for c in flags])
 
 
 def block_anomalies(blocks: DataFrame, anchor: DataFrame) -> DataFrame:
-    """Blocks with an issue: a score over 0.7, an alignment under 0.1 or a coherence under 0.2."""
-    b = blocks.join(anchor.select("anchor_id", "score"), "anchor_id")
-    issues = F.array_compact(F.array(F.when(F.col("at_vision") & (F.col("score") > 0.7), "high_score"), F.when(F.col("alignment") < 0.1, "low_alignment"), F.when(F.col("coherence") < 0.2, "low_coherence")))
-    return b.select("anchor_id", F.array_join(issues, ",").alias("issues")).where("issues <> ''")
+    """Blocks with an issue: a score over 0.7, an alignment under 0.1 or a coherence under 0.2, each with its number."""
+    b = blocks.join(anchor.select("anchor_id", "anchor_us", "anchor_type", "score"), "anchor_id")
+    two = lambda c: F.bround(F.col(c).cast("decimal(20,10)"), 2).cast("decimal(20,2)").cast("string")
+    # fixed values: names of the issues
+    found = {"HIGH_EOMM_SCORE": (F.col("at_vision") & (F.col("score") > 0.7), "score"), "LOW_ALIGNMENT": (F.col("alignment") < 0.1, "alignment"), "LOW_COHERENCE": (F.col("coherence") < 0.2, "coherence")}
+    issues = F.array_compact(F.array(*[F.when(c, F.concat(F.lit(f"{k}:"), two(v))) for k, (c, v) in found.items()]))
+    return b.select("anchor_id", "anchor_us", "anchor_type", F.array_join(issues, ",").alias("issues")).where("issues <> ''")
 
 
 #: Sources of fused windows in their order, and the bounds of the correlation rules.

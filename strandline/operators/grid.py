@@ -1,170 +1,398 @@
-"""Detectors over windows of small integer grids (window_id, frame_id, grid: cells 0 to 9 in row order).
+"""Detectors over windows of small integer grids (window_id, frame_id, grid: cells 0 to 9 in row order; t_us where rates are asked).
 
-Cells of a frame stay one array: lag() brings the last frame's array, and array functions compare them, so a window costs one
-shuffle by window and no row per cell. Each detector gives a row for each window that it fires on.
+Cells of a frame stay one array: lag() brings the last frame's array and array functions compare the two, so a window costs one shuffle
+by window and no row per cell. A detector is what it measures of a frame, how frames add up to a window, and when the window fires;
+so one, several or all of them run over the same frames with one shuffle. Grids may have any height and width, given by a Shape.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SIDE = 8
+Region = Callable[[Column | int, Column | int], Column | bool]
+
+
+def everywhere(y, x):
+    return (y >= 0) & (x >= 0)
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Height and width of the grids."""
+
+    h: int = 8
+    w: int = 8
 
+    def size(self, region: Region) -> int:
+        return sum(bool(region(y, x)) for y in range(self.h) for x in range(self.w))
 
-def _region(keep) -> list[int]:
-    return [y * SIDE + x for y in range(SIDE) for x in range(SIDE) if keep(y, x)]
+    def _inside(self, region: Region, k: Column) -> Column:
+        return region(F.floor(k / self.w), k % self.w)
 
+    def count(self, grid: Column, region: Region, test: Callable[[Column], Column]) -> Column:
+        return F.size(F.filter(grid, lambda v, k: self._inside(region, k) & test(v)))
 
-def _cells(grid: Column | str, region: list[int]) -> Column:
-    g = F.col(grid) if isinstance(grid, str) else grid
-    return F.array(*[g[k] for k in region])
+    def share(self, grid: Column, region: Region, low: int, high: int) -> Column:
+        """Part of the region's cells from low to high; 0 of an empty region."""
+        n = self.size(region)
+        return self.count(grid, region, lambda v: v.between(low, high)) / n if n else F.lit(0.0)
 
+    def changed(self, grid: Column, last: Column, region: Region, least: int) -> Column:
+        """Part of the region's cells that changed by `least` or more; null for a first frame."""
+        n = self.size(region)
+        moved = F.zip_with(grid, last, lambda a, b: F.abs(a - b))
+        return F.when(last.isNotNull(), self.count(moved, region, lambda v: v >= least) / n if n else F.lit(0.0))
 
-def _share(cells: Column, low: int, high: int) -> Column:
-    return F.size(F.filter(cells, lambda v: (v >= low) & (v <= high))) / F.size(cells)
+    def centroid(self, grid: Column, region: Region, empty: tuple[int, int]) -> tuple[Column, Column]:
+        """(y, x) of the region, weighted by value; `empty` where it has no weight."""
 
+        def total(weigh) -> Column:
+            cells = F.transform(grid, lambda v, k: F.when(self._inside(region, k), v * weigh(F.floor(k / self.w), k % self.w)).otherwise(0).cast("double"))
+            return F.aggregate(cells, F.lit(0.0), lambda a, v: a + v)
 
-def _changed(grid: Column, last: Column, least: int) -> Column:
-    """Part of cells that changed by `least` or more; null for a first frame."""
-    return F.size(F.filter(F.zip_with(grid, last, lambda a, b: F.abs(a - b)), lambda d: d >= least)) / F.size(grid)
+        weight = total(lambda y, x: 1)
+        return tuple(F.when(weight > 0, total(axis) / weight).otherwise(float(e)) for axis, e in ((lambda y, x: y, empty[0]), (lambda y, x: x, empty[1])))
+
+    def step(self, grid: Column, last: Column, region: Region, empty: tuple[int, int]) -> Column:
+        """How far the centroid moved; null for a first frame."""
+        (y, x), (b, a) = self.centroid(grid, region, empty), self.centroid(last, region, empty)
+        return F.when(last.isNotNull(), F.sqrt((y - b) * (y - b) + (x - a) * (x - a)))
+
+    def circle(self, part: float) -> Region:
+        r, cy, cx = int(min(self.h, self.w) * part), self.h // 2, self.w // 2
+        return lambda y, x: (y - cy) * (y - cy) + (x - cx) * (x - cx) <= r * r
+
+    def edges(self, part: float, corners_twice: bool = False) -> dict[str, Region]:
+        """top, bottom, left and right; the corners are top's or bottom's, or of both sides with `corners_twice`."""
+        a, b = int(self.h * part), int(self.w * part)
+        inner = everywhere if corners_twice else lambda y, x: (y >= a) & (y < self.h - a)
+        return {"top": lambda y, x: y < a, "bottom": lambda y, x: y >= self.h - a, "left": lambda y, x: inner(y, x) & (x < b), "right": lambda y, x: inner(y, x) & (x >= self.w - b)}
+
+
+EIGHT = Shape()
 
 
 def with_last(frames: DataFrame) -> DataFrame:
+    """Adds the grids of the last frame and of the one before it, the frame's place in its window, and the window's frames."""
     w = Window.partitionBy("window_id").orderBy("frame_id")
-    return frames.withColumn("last", F.lag("grid").over(w)).withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("window_id")))
+    d = frames.withColumn("last", F.lag("grid").over(w)).withColumn("before", F.lag("grid", 2).over(w))
+    return d.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("window_id")))
+
+
+@dataclass
+class Detector:
+    """Names of `frame` and `total` are the detector's own; `out` holds columns of a window that fires, confidence and flags (an array)
+    among them. `until` names a boolean of the frame whose first true one ends the window."""
+
+    name: str
+    least: int
+    frame: dict[str, Column]
+    total: dict[str, Callable]
+    fires: Callable
+    out: dict[str, Callable]
+    until: str | None = None
+    texts: tuple[str, ...] = ("flags",)
+
+
+def _flags(**when: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(c, k) for k, c in when.items()]))
+
+
+def _measured(frames: DataFrame, detectors: list[Detector]) -> DataFrame:
+    """A row a window with the totals of all detectors, named detector_total, and `n`."""
+    d = with_last(frames)
+    for det in detectors:
+        d = d.withColumns({f"{det.name}_{k}": c for k, c in det.frame.items()})
+    for det in detectors:
+        if det.until:
+            end = F.min(F.when(F.col(f"{det.name}_{det.until}"), F.col("i"))).over(Window.partitionBy("window_id"))
+            d = d.withColumn(f"{det.name}_end", end)
+            past = F.col(f"{det.name}_end").isNotNull() & (F.col("i") > F.col(f"{det.name}_end"))
+            d = d.withColumns({f"{det.name}_{k}": F.when(~past, F.col(f"{det.name}_{k}")) for k in det.frame})
+    totals = [c(_names(det, det.frame)).alias(f"{det.name}__{k}") for det in detectors for k, c in det.total.items()]
+    return d.groupBy("window_id").agg(F.first("n").alias("n"), *totals)
+
+
+def _names(det: Detector, frame=()) -> Callable[[str], Column]:
+    """A look-up of the detector's names: of the frame's columns while these are added up, else of the totals."""
+    return lambda k: F.col(f"{det.name}_{k}") if k in frame else F.col(f"{det.name}__{k}")
+
+
+def _result(det: Detector) -> tuple[Column, dict[str, Column]]:
+    names = _names(det)
+    fires = (F.col("n") >= det.least) & det.fires(names)
+    return F.coalesce(fires, F.lit(False)), {k: c(names) for k, c in det.out.items()}
+
+
+def detect(frames: DataFrame, det: Detector, texts: bool = True) -> DataFrame:
+    """A row for each window that the detector fires on; arrays as comma-joined texts unless `texts` is false."""
+    fires, out = _result(det)
+    cols = [F.array_join(c, ",").alias(k) if texts and k in det.texts else F.round(c, 6).alias(k) if k not in det.texts + ("edge",) else c.alias(k) for k, c in out.items()]
+    return _measured(frames, [det]).where(fires).select("window_id", *cols)
 
 
-def flicker(frames: DataFrame, jump: int = 2, flips: int = 3, part: float = 0.05, full: float = 0.5) -> DataFrame:
+def run_all(frames: DataFrame, detectors: list[Detector]) -> DataFrame:
+    """(window_id, operator, confidence, flags): a row for each detector that fires on a window, all with one shuffle."""
+    found = []
+    for det in detectors:
+        fires, out = _result(det)
+        flags = out["flags"] if "flags" in out and "flags" in det.texts else F.array().cast("array<string>")
+        found.append(F.when(fires, F.struct(F.lit(det.name).alias("operator"), F.round(out["confidence"], 6).cast("double").alias("confidence"), flags.alias("flags"))))
+    return _measured(frames, detectors).select("window_id", F.explode(F.array_compact(F.array(*found))).alias("r")).select("window_id", "r.*")
+
+
+def fingerprint(frames: DataFrame, shape: Shape = EIGHT) -> DataFrame:
+    """One row a window: the confidences of five detectors, 0 where one is silent, the highest, and which fired, in their order."""
+    five = {"flicker": flicker_of(shape), "hud": hud_of(shape), "crosshair": crosshair_motion_of(shape), "flash": peripheral_flash_of(shape), "color": color_shift_of(shape)}
+    results = {k: _result(d) for k, d in five.items()}
+    score = {k: F.round(F.when(fires, out["confidence"]).otherwise(0.0), 6) for k, (fires, out) in results.items()}
+    fired = F.array_join(F.array_compact(F.array(*[F.when(results[k][0], five[k].name) for k in five])), ",")
+    out = _measured(frames, list(five.values())).select("window_id", *[c.alias(k) for k, c in score.items()], fired.alias("detections"))
+    return out.withColumn("overall", F.greatest(*five))
+
+
+def flicker_of(shape: Shape = EIGHT, jump: int = 2, flips: int = 3, part: float = 0.05, full: float = 0.5) -> Detector:
+    flip = F.when(F.col("last").isNotNull(), F.zip_with("grid", "last", lambda a, b: (F.abs(a - b) >= jump).cast("int")))
+    cells = shape.h * shape.w
+    zero = F.array_repeat(F.lit(0), cells)
+
+    def ratio(c) -> Column:  # flips per cell, added up over the frames of a window
+        each = F.aggregate(F.collect_list(c("flip")), zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+        return F.size(F.filter(each, lambda v: v >= flips)) / cells
+
+    return Detector("flicker", 3, {"flip": flip}, {"ratio": ratio}, lambda c: c("ratio") > part, {"ratio": lambda c: c("ratio"), "confidence": lambda c: F.least(F.lit(1.0), c("ratio") / full)})
+
+
+def flicker(frames: DataFrame, jump: int = 2, flips: int = 3, part: float = 0.05, full: float = 0.5, shape: Shape = EIGHT) -> DataFrame:
     """Windows of three frames or more where over `part` of the cells jump `flips` times or more."""
-    d = with_last(frames).where("n >= 3 and last is not null")
-    moved = d.select("window_id", F.posexplode(F.zip_with("grid", "last", lambda a, b: (F.abs(a - b) >= jump).cast("int"))).alias("cell", "flip"))
-    each = moved.groupBy("window_id", "cell").agg(F.sum("flip").alias("flips"))
-    out = each.groupBy("window_id").agg((F.count_if(F.col("flips") >= flips) / F.count(F.lit(1))).alias("ratio"))
-    return out.where(F.col("ratio") > part).select("window_id", F.round("ratio", 6).alias("ratio"), F.round(F.least(F.lit(1.0), F.col("ratio") / full), 6).alias("confidence"))
+    return detect(frames, flicker_of(shape, jump, flips, part, full))
 
 
-def hud_stability(frames: DataFrame, regions: dict[str, list[int]] | None = None, alert: float = 0.02, full: float = 0.1) -> DataFrame:
-    """Windows of which some region changes in over `alert` of the comparisons of its cells."""
-    regions = regions or {"bottom": _region(lambda y, x: y >= 7), "top": _region(lambda y, x: y < 1)}
-    d = with_last(frames).where("last is not null")
-    rates = [F.avg(_changed(_cells("grid", r), _cells("last", r), 1)).alias(n) for n, r in sorted(regions.items())]
-    out = d.groupBy("window_id").agg(*rates).withColumn("most", F.greatest(*sorted(regions)) if len(regions) > 1 else F.col(next(iter(regions))))
-    return out.where(F.col("most") > alert).select("window_id", F.round("most", 6).alias("instability"), F.round(F.least(F.lit(1.0), F.col("most") / full), 6).alias("confidence"), F.array_join(F.array_compact(F.array(*[F.when(F.col(n) > alert, n) for n in sorted(regions)])), ",").alias("unstable"))
+def flicker_base(frames: DataFrame, shape: Shape = EIGHT) -> DataFrame:
+    """The plain variant: full confidence at a tenth of the cells."""
+    return flicker(frames, full=0.1, shape=shape)
 
 
-def peripheral_flash(frames: DataFrame, jump: int = 3, alert: float = 0.03) -> DataFrame:
-    """The edge of the brightest flash: largest part of an edge's cells that jump, over all frames; corners are top's or bottom's."""
-    edges = {"top": _region(lambda y, x: y == 0), "bottom": _region(lambda y, x: y == 7), "left": _region(lambda y, x: x == 0 and 0 < y < 7), "right": _region(lambda y, x: x == 7 and 0 < y < 7)}
-    d = with_last(frames).where("last is not null").groupBy("window_id").agg(*[F.max(_changed(_cells("grid", r), _cells("last", r), jump)).alias(n) for n, r in edges.items()])
-    most = F.greatest(*edges)
-    edge = F.lit("right")
-    for n in ("left", "bottom", "top"):
-        edge = F.when(F.col(n) == most, n).otherwise(edge)
-    return d.where(most > alert).select("window_id", F.round(most, 6).alias("flash"), edge.alias("edge"), F.round(F.least(F.lit(1.0), most / alert), 6).alias("confidence"))
+def hud_of(shape: Shape = EIGHT, regions: dict[str, Region] | None = None, alert: float = 0.02) -> Detector:
+    regions = regions or {"bottom": lambda y, x: y >= shape.h - max(1, shape.h // 8), "top": lambda y, x: y < max(1, shape.h // 8)}
+    names = [n for n in sorted(regions) if shape.size(regions[n])]
+    rate = {n: shape.changed(F.col("grid"), F.col("last"), regions[n], 1) for n in names}
+    most = lambda c: F.greatest(*[c(n) for n in names]) if len(names) > 1 else c(names[0])
+    mean = lambda n: lambda c: F.avg(F.col(f"hud_stability_{n}"))
+    out = {"instability": most, "confidence": lambda c: F.least(F.lit(1.0), most(c) / (5 * alert)), "unstable": lambda c: _flags(**{n: c(n) > alert for n in names})}
+    return Detector("hud_stability", 2, rate, {n: mean(n) for n in names}, lambda c: most(c) > alert, out, texts=("unstable",))
 
 
-def _histogram(grid: Column) -> Column:
-    def count(b: int) -> Column:
-        return F.size(F.filter(grid, lambda v: v == b)) / F.size(grid)
+def region(shape: Shape, top: float, height: float, left: float | None = None, width: float | None = None) -> Region:
+    """A bar, or a rectangle, by parts of the frame."""
+    y0, y1 = int(top * shape.h), min(shape.h, int((top + height) * shape.h))
+    if left is None:
+        return lambda y, x: (y >= y0) & (y < y1)
+    x0, x1 = int(left * shape.w), min(shape.w, int((left + width) * shape.w))
+    return lambda y, x: (y >= y0) & (y < y1) & (x >= x0) & (x < x1)
 
-    return F.array(*[count(b) for b in range(10)])
 
+def hud_stability(frames: DataFrame, regions: dict[str, Region] | None = None, alert: float = 0.02, shape: Shape = EIGHT) -> DataFrame:
+    """Windows of which some region changes in over `alert` of the comparisons of its cells."""
+    return detect(frames, hud_of(shape, regions, alert))
 
-def color_shift(frames: DataFrame, alert: float = 0.3) -> DataFrame:
-    """Earth mover's distance between the mean histograms of the first n // 2 frames and the rest, for 10 frames or more."""
-    d = with_last(frames).where("n >= 10").withColumn("h", _histogram(F.col("grid"))).withColumn("early", F.col("i") < F.floor(F.col("n") / 2))
-    means = [F.avg(F.when(F.col("early") == e, F.col("h")[b])).alias(f"{'ab'[k]}{b}") for k, e in enumerate((True, False)) for b in range(10)]
-    m = d.groupBy("window_id").agg(*means)
-    total, upto = F.lit(0.0), F.lit(0.0)
-    for b in range(10):
-        upto = upto + F.col(f"a{b}") - F.col(f"b{b}")
-        total = total + F.abs(upto)
-    return m.withColumn("emd", total).where(F.col("emd") > alert).select("window_id", F.round("emd", 6).alias("emd"), F.round(F.least(F.lit(1.0), F.col("emd") / alert), 6).alias("confidence"))
 
+def peripheral_flash_of(shape: Shape = EIGHT, edge: float = 0.15, jump: int = 3, alert: float = 0.03) -> Detector:
+    edges = shape.edges(edge)
+    size = {n: shape.size(r) for n, r in edges.items()}
+    per = {n: shape.changed(F.col("grid"), F.col("last"), r, jump) for n, r in edges.items()}
+    mean = lambda n: lambda c: F.avg(F.col(f"peripheral_flash_{n}"))  # noqa: E731  all frames have as many cells
+    most = lambda c: F.greatest(*[c(n) for n in edges])
 
-def _centroid(grid: Column, region: list[int]) -> tuple[Column, Column]:
-    """(x, y) of the region weighted by value; of a region without weight, half its number of cells."""
-    total = sum((grid[k] for k in region), F.lit(0))
-    half = F.lit(len(region) / 2.0)
-    axis = lambda f: F.when(total > 0, sum((grid[k] * f(k) for k in region), F.lit(0)) / total).otherwise(half)
-    return axis(lambda k: k % SIDE), axis(lambda k: k // SIDE)
+    def which(c) -> Column:
+        out = F.lit("right")
+        for n in ("left", "bottom", "top"):
+            out = F.when(c(n) == most(c), n).otherwise(out)
+        return out
 
+    whole = lambda c: sum((c(n) * size[n] for n in edges), F.lit(0.0)) / max(1, sum(size.values()))
+    out = {"flash": most, "overall": whole, "edge": which, "confidence": lambda c: F.least(F.lit(1.0), most(c) / alert)}
+    return Detector("peripheral_flash", 2, per, {n: mean(n) for n in edges}, lambda c: most(c) > alert, out, texts=())
 
-def crosshair_motion(frames: DataFrame, smooth: float = 0.95, snap: float = 0.1, far: float = 5.0) -> DataFrame:
-    """Motion of the centre's weight: smoothness 1 / (1 + variance), snaps over `far`, stutters; five frames or more."""
-    centre = _region(lambda y, x: 3 <= y <= 4 and 3 <= x <= 4)
-    x, y = _centroid(F.col("grid"), centre)
-    w = Window.partitionBy("window_id").orderBy("frame_id")
-    d = with_last(frames).where("n >= 5").withColumn("x", x).withColumn("y", y)
-    d = d.withColumn("step", F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))).where("step is not null")
-    d = d.withColumn("before", F.lag("step").over(w))
-    stutter = (F.col("step") > 0.5) & (F.col("before") > 0.5) & (F.abs(F.col("step") - F.col("before")) > 1)
-    g = d.groupBy("window_id").agg((1 / (1 + F.var_pop("step"))).alias("smoothness"), (F.count_if(F.col("step") > far) / F.count(F.lit(1))).alias("snap_ratio"), (F.count_if(stutter) / F.greatest(F.lit(1), F.count(F.lit(1)) - 1)).alias("stutter_ratio"))
-    confidence = F.greatest(F.when(F.col("smoothness") > smooth, (F.col("smoothness") - smooth) / (1 - smooth)).otherwise(0.0), F.when(F.col("snap_ratio") > snap, F.least(F.lit(1.0), 5 * F.col("snap_ratio"))).otherwise(0.0))
-    return g.select("window_id", *[F.round(c, 6).alias(c) for c in ("smoothness", "snap_ratio", "stutter_ratio")], F.round(confidence, 6).alias("confidence"), ((F.col("smoothness") > smooth) | (F.col("snap_ratio") > snap)).alias("suspicious"))
-
-
-def crosshair_lock(frames: DataFrame) -> DataFrame:
-    """Resistance of the aim on target against off it, over windows of five frames with three or more on target."""
-    centre = _region(lambda y, x: (y - 4) ** 2 + (x - 4) ** 2 <= 1)
-    x, y = _centroid(F.col("grid"), list(range(SIDE * SIDE)))
-    w = Window.partitionBy("window_id").orderBy("frame_id")
-    d = with_last(frames).where("n >= 5").withColumn("on", _share(_cells("grid", centre), 5, 9) > 0.2).withColumn("x", x).withColumn("y", y)
-    d = d.withColumn("hit", _share(_cells("grid", centre), 9, 9) > 0.1)
-    d = d.withColumn("step", F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)))
-    g = d.groupBy("window_id").agg(F.count_if("on").alias("on_target"), F.count_if(F.col("on") & F.col("hit")).alias("hits"), F.count("step").alias("moves"), F.avg(F.when(F.col("on"), F.col("step"))).alias("m_on"), F.avg(F.when(~F.col("on"), F.col("step"))).alias("m_off"))
-    r = F.when((F.col("moves") >= 5) & (F.col("m_off") > 0), F.col("m_on") / F.col("m_off"))
-    resist = F.coalesce(F.when(r < 0.7, (0.7 - r) / 0.7).when(r > 1, F.least(F.lit(1.0), r - 1)), F.lit(0.0))
-    share = F.col("hits") / F.col("on_target")
-    odd = F.when((F.col("on_target") > 5) & (share < 0.2), (0.2 - share) / 0.2).when((F.col("on_target") > 5) & (share > 0.6), (share - 0.6) / 0.4).otherwise(0.0)
-    confidence = F.greatest(resist, odd)
-    flags = F.array_join(F.array_compact(F.array(F.when(confidence > 0.3, "AIM_RESISTANCE"), F.when(confidence > 0.5, "HITBOX_DRIFT"))), ",")
-    return g.where("on_target >= 3").select("window_id", "on_target", F.round(resist, 6).alias("resistance"), F.round(confidence, 6).alias("confidence"), flags.alias("flags"))
-
-
-def hit_registration(frames: DataFrame) -> DataFrame:
-    """Markers without blood or flinch in the frame or the two after it: their number, ratio and flags."""
-    centre = _region(lambda y, x: 3 <= y <= 4 and 3 <= x <= 4)
-    outer = [k for k in range(SIDE * SIDE) if k not in centre]
-    w = Window.partitionBy("window_id").orderBy("frame_id")
-    d = with_last(frames).where("n >= 5")
-    d = d.withColumn("marker", _share(_cells("grid", centre), 9, 9) > 0.05)
-    seen = (_share(F.col("grid"), 7, 8) > 0.02) | F.coalesce(_changed(_cells("grid", outer), _cells("last", outer), 5) > 0.1, F.lit(False))
-    d = d.withColumn("confirmed", F.max(seen.cast("int")).over(w.rowsBetween(0, 2)) == 1)
-    g = d.groupBy("window_id").agg(F.count_if("marker").alias("markers"), F.count_if(F.col("marker") & ~F.col("confirmed")).alias("ghosts"))
-    ratio = F.col("ghosts") / F.col("markers")
-    return g.where("markers > 0").select("window_id", "markers", "ghosts", F.round(ratio, 6).alias("ghost_ratio"), F.round(F.greatest(F.lit(0.0), (ratio - 0.3) / 0.7), 6).alias("confidence"), F.array_join(F.array_compact(F.array(F.when(ratio > 0.3, "GHOST_HITS"), F.when(ratio > 0.5, "DAMAGE_SUPPRESSION"))), ",").alias("flags"))
-
-
-def death_event(frames: DataFrame) -> DataFrame:
-    """Frames from the first damage on an edge to the death frame (variance of cells under 2), or to the last one."""
-    edges = [_region(lambda y, x: y == 0), _region(lambda y, x: y == 7), _region(lambda y, x: x == 0), _region(lambda y, x: x == 7)]
-    hurt = F.greatest(*[_share(_cells("grid", r), 7, 8) for r in edges]) > 0.05
-    mean = F.aggregate("grid", F.lit(0.0), lambda a, v: a + v) / 64
-    var = F.aggregate("grid", F.lit(0.0), lambda a, v: a + v * v) / 64 - mean * mean
-    d = with_last(frames).where("n >= 5").withColumn("hurt", hurt).withColumn("dead", var < 2)
-    d = d.withColumn("end", F.min(F.when(F.col("dead"), F.col("i"))).over(Window.partitionBy("window_id")))
-    g = d.where(F.col("end").isNull() | (F.col("i") <= F.col("end"))).groupBy("window_id").agg(F.count_if("hurt").alias("damage_frames"), F.min(F.when(F.col("hurt"), F.col("i"))).alias("first"), F.max("i").alias("last_i"), F.bool_or("dead").alias("died"))
-    took = F.col("last_i") - F.col("first")
-    return g.where("damage_frames > 0").select("window_id", "damage_frames", took.alias("frames_to_death"), "died", F.round(F.when(F.col("damage_frames") > 10, F.least(F.lit(1.0), F.col("damage_frames") / 20)).otherwise(0.0), 6).alias("confidence"))
-
-
-def edge_entry(frames: DataFrame) -> DataFrame:
-    """Entries of enemy cells (5 to 9) over an edge by direction: rear is the top, front the bottom."""
-    edges = {"rear": _region(lambda y, x: y == 0), "front": _region(lambda y, x: y == 7), "left": _region(lambda y, x: x == 0 and 0 < y < 7), "right": _region(lambda y, x: x == 7 and 0 < y < 7)}
-    d = with_last(frames).where("n >= 3 and last is not null")
-    g = d.groupBy("window_id").agg(*[F.count_if(_share(_cells("grid", r), 5, 9) - _share(_cells("last", r), 5, 9) > 0.05).alias(n) for n, r in edges.items()])
-    total = sum((F.col(n) for n in edges), F.lit(0))
-    rear = F.col("rear") / total
-    return g.where(total > 0).select("window_id", total.alias("entries"), *edges, F.round(F.greatest(F.lit(0.0), (rear - 0.4) / 0.6), 6).alias("confidence"), F.when(rear > 0.4, "SPAWN_PRESSURE").otherwise("").alias("flags"))
-
-
-def fingerprint(frames: DataFrame) -> DataFrame:
-    """One row a window with the confidences of five detectors, 0 where one is silent, and the highest."""
-    out = frames.select("window_id").distinct()
-    for name, f in (("flicker", flicker), ("hud", hud_stability), ("crosshair", crosshair_motion), ("flash", peripheral_flash), ("color", color_shift)):
-        out = out.join(f(frames).select("window_id", F.col("confidence").alias(name)), "window_id", "left")
-    names = ["flicker", "hud", "crosshair", "flash", "color"]
-    out = out.select("window_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
-    return out.withColumn("overall", F.greatest(*names))
+
+def peripheral_flash(frames: DataFrame, edge: float = 0.15, jump: int = 3, alert: float = 0.03, shape: Shape = EIGHT) -> DataFrame:
+    """Windows where over `alert` of an edge's comparisons, over all frames, are jumps; the edge with most, the first of top, bottom,
+    left and right on ties; corners are top's or bottom's."""
+    return detect(frames, peripheral_flash_of(shape, edge, jump, alert))
+
+
+def _histogram(grid: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(9)), lambda b: F.size(F.filter(grid, lambda v: v == b)) / F.size(grid))
+
+
+def _moved(a: list[Column], b: list[Column]) -> Column:
+    """Earth mover's distance of two histograms."""
+    total, upto = F.lit(0.0), F.lit(0.0)
+    for p, q in zip(a, b, strict=True):
+        upto = upto + p - q
+        total = total + F.abs(upto)
+    return total
+
+
+def color_shift_of(shape: Shape = EIGHT, alert: float = 0.3) -> Detector:
+    h, last = _histogram(F.col("grid")), _histogram(F.col("last"))
+    frame = {"h": h, "early": F.col("i") < F.floor(F.col("n") / 2), "step": F.when(F.col("last").isNotNull(), _moved([h[b] for b in range(10)], [last[b] for b in range(10)]))}
+    half = lambda early, b: lambda c: F.avg(F.when(c("early") == early, c("h")[b]))
+    total = {f"{'ab'[k]}{b}": half(e, b) for k, e in enumerate((True, False)) for b in range(10)}
+    total |= {"mean_step": lambda c: F.avg(c("step")), "max_step": lambda c: F.max(c("step"))}
+    emd = lambda c: _moved([c(f"a{b}") for b in range(10)], [c(f"b{b}") for b in range(10)])
+    out = {"emd": emd, "mean_frame_emd": lambda c: c("mean_step"), "max_frame_emd": lambda c: c("max_step"), "confidence": lambda c: F.least(F.lit(1.0), emd(c) / alert)}
+    return Detector("color_shift", 10, frame, total, lambda c: emd(c) > alert, out, texts=())
+
+
+def color_shift(frames: DataFrame, alert: float = 0.3, shape: Shape = EIGHT) -> DataFrame:
+    """Earth mover's distance between the mean histograms of the first n // 2 frames and the rest, for 10 frames or more; and the mean
+    and highest distance between neighbouring frames."""
+    return detect(frames, color_shift_of(shape, alert))
+
+
+def crosshair_motion_of(shape: Shape = EIGHT, smooth: float = 0.95, snap: float = 0.1, far: float = 5.0) -> Detector:
+    centre = region(shape, 0.35, 0.30, 0.35, 0.30)
+    half = shape.size(centre) // 2
+    frame = {"step": shape.step(F.col("grid"), F.col("last"), centre, (half, half)), "past": shape.step(F.col("last"), F.col("before"), centre, (half, half))}
+    turn = lambda c: (c("step") > 0.5) & (c("past") > 0.5) & (F.abs(c("step") - c("past")) > 1)
+    total = {"variance": lambda c: F.var_pop(c("step")), "snaps": lambda c: F.count_if(c("step") > far), "m": lambda c: F.count(c("step")), "turns": lambda c: F.count_if(turn(c)), "mean": lambda c: F.avg(c("step"))}
+    smoothness, snaps = (lambda c: 1 / (1 + c("variance"))), (lambda c: c("snaps") / c("m"))
+    confidence = lambda c: F.greatest(F.when(smoothness(c) > smooth, (smoothness(c) - smooth) / (1 - smooth)).otherwise(0.0), F.when(snaps(c) > snap, F.least(F.lit(1.0), 5 * snaps(c))).otherwise(0.0))
+    out = {"smoothness": smoothness, "snap_score": snaps, "stutter_score": lambda c: c("turns") / F.greatest(F.lit(1), c("m") - 1), "mean_motion": lambda c: c("mean"), "snap_count": lambda c: c("snaps"), "confidence": confidence}
+    return Detector("crosshair_motion", 5, frame, total, lambda c: (smoothness(c) > smooth) | (snaps(c) > snap), out, texts=())
+
+
+def crosshair_motion(frames: DataFrame, smooth: float = 0.95, snap: float = 0.1, far: float = 5.0, shape: Shape = EIGHT) -> DataFrame:
+    """Windows of five frames or more in which the weight of the frame's middle moves too smoothly (1 / (1 + variance) over `smooth`) or
+    snaps (steps over `far`, in over `snap` of them)."""
+    return detect(frames, crosshair_motion_of(shape, smooth, snap, far))
+
+
+def crosshair_lock_of(shape: Shape = EIGHT, radius: float = 0.05, enemy: tuple[int, int] = (5, 9), marker: int = 9) -> Detector:
+    aim = shape.circle(radius)
+    frame = {
+        "on": shape.share(F.col("grid"), aim, *enemy) > 0.2, "hit": shape.share(F.col("grid"), aim, marker, marker) > 0.1,
+        "step": shape.step(F.col("grid"), F.col("last"), everywhere, (shape.h // 2, shape.w // 2)),
+    }
+    total = {
+        "frames": lambda c: F.count(F.lit(1)), "on_n": lambda c: F.count_if(c("on")), "hits": lambda c: F.count_if(c("hit")), "moves": lambda c: F.count(c("step")),
+        "m_on": lambda c: F.avg(F.when(c("on"), c("step"))), "m_off": lambda c: F.avg(F.when(~c("on"), c("step"))), "m_all": lambda c: F.avg(c("step")),
+    }
+
+    def resistance(c) -> Column:
+        r = F.when((c("moves") >= 5) & (c("m_off") > 0), c("m_on") / c("m_off"))
+        return F.coalesce(F.when(r < 0.7, (0.7 - r) / 0.7).when(r > 1, F.least(F.lit(1.0), r - 1)), F.lit(0.0))
+
+    def drift(c) -> Column:
+        e = c("hits") / c("on_n")
+        return F.when((c("on_n") > 5) & (e < 0.2), (0.2 - e) / 0.2).when((c("on_n") > 5) & (e > 0.6), (e - 0.6) / 0.4).otherwise(0.0)
+
+    out = {
+        "on_target": lambda c: c("on_n"), "hits": lambda c: c("hits"), "intersection": lambda c: c("on_n") / c("frames"), "efficiency": lambda c: c("hits") / c("on_n"), "resistance": resistance,
+        "mean_motion": lambda c: F.coalesce(c("m_all"), F.lit(0.0)), "confidence": lambda c: F.least(F.lit(1.0), F.greatest(resistance(c), drift(c))), "flags": lambda c: _flags(AIM_RESISTANCE=resistance(c) > 0.3, HITBOX_DRIFT=drift(c) > 0.5),
+    }
+    return Detector("crosshair_lock", 5, frame, total, lambda c: c("on_n") >= 3, out)
+
+
+def crosshair_lock(frames: DataFrame, shape: Shape = EIGHT, **bounds) -> DataFrame:
+    """Windows of five frames or more with three or more on target: how the frame's motion slows on target against off it, and the hit
+    markers of all frames for each frame on target. AIM_RESISTANCE follows the one, HITBOX_DRIFT the other."""
+    return detect(frames, crosshair_lock_of(shape, **bounds))
+
+
+def hit_registration_of(shape: Shape = EIGHT, marker: int = 9, blood: tuple[int, int] = (7, 8), ghost: float = 0.3) -> Detector:
+    centre, middle = shape.circle(0.15), shape.circle(0.2)
+    outer = lambda y, x: middle(y, x) == False  # noqa: E712, E731  of columns and numbers alike
+
+    def confirm(grid: Column, last: Column) -> Column:
+        return (shape.share(grid, everywhere, *blood) > 0.02) | F.coalesce(shape.changed(grid, last, outer, 1) > 0.1, F.lit(False))
+
+    frame = {"marker": shape.share(F.col("grid"), centre, marker, marker) > 0.05, "confirm": confirm(F.col("grid"), F.col("last"))}
+    # the frames of a window in order, as bits: a marker is confirmed in its frame or the two after it
+    rows = lambda c: F.array_sort(F.collect_list(F.struct("i", c("marker").alias("m"), c("confirm").alias("d"))))
+    ghosts = lambda c: F.size(F.filter(c("rows"), lambda r: r["m"] & ~F.exists(F.slice(c("rows"), r["i"] + 1, 3), lambda s: s["d"])))
+    total = {"rows": rows, "markers": lambda c: F.count_if(c("marker")), "confirms": lambda c: F.count_if(c("confirm")), "first": lambda c: F.min(F.when(c("marker"), F.col("i"))), "final": lambda c: F.max(F.when(c("marker"), F.col("i")))}
+    ratio = lambda c: ghosts(c) / c("markers")
+    out = {
+        "markers": lambda c: c("markers"), "ghosts": ghosts, "ghost_ratio": ratio, "mean_gap": lambda c: F.when(c("markers") > 1, (c("final") - c("first")) / (c("markers") - 1)).otherwise(0.0), "confirmed_frames": lambda c: c("confirms"),
+        "confidence": lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (ratio(c) - ghost) / (1 - ghost))), "flags": lambda c: _flags(GHOST_HITS=ratio(c) > ghost, DAMAGE_SUPPRESSION=ratio(c) > 0.5),
+    }
+    return Detector("hit_registration", 5, frame, total, lambda c: c("markers") > 0, out)
+
+
+def hit_registration(frames: DataFrame, shape: Shape = EIGHT, **bounds) -> DataFrame:
+    """Windows of five frames or more with hit markers: those without blood, or a change of the outer cells, in their frame or the two
+    after it, and the mean gap between markers."""
+    return detect(frames, hit_registration_of(shape, **bounds))
+
+
+def death_event_of(shape: Shape = EIGHT, blood: tuple[int, int] = (7, 8), edge: float = 0.1, corner: float = 0.1, screen: int = 9, shaken: float = 0.1) -> Detector:
+    sides = shape.edges(edge, corners_twice=True)
+    c = int(min(shape.h, shape.w) * corner)
+    corners = lambda y, x: ((y < c) | (y >= shape.h - c)) & ((x < c) | (x >= shape.w - c))
+    mean = lambda power: F.aggregate(F.col("grid"), F.lit(0.0), lambda a, v: a + (v if power == 1 else v * v)) / F.size("grid")
+    shake = F.aggregate(F.zip_with("grid", "last", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, v: a + v) / (9.0 * shape.h * shape.w)
+    frame = {
+        "hurt": F.greatest(*[shape.share(F.col("grid"), r, *blood) for r in sides.values()]) > 0.05,
+        "shake": F.when(F.col("last").isNotNull() & (shake > shaken), shake),
+        "dead": (mean(2) - mean(1) * mean(1) < 2.0) | (shape.count(F.col("grid"), corners, lambda v: v == screen) > c * c * 0.1),
+    }
+    total = {
+        "damage": lambda q: F.count_if(q("hurt")), "first": lambda q: F.min(F.when(q("hurt"), F.col("i"))), "death": lambda q: F.min(F.when(q("dead"), F.col("i"))),
+        "flinches": lambda q: F.count(q("shake")), "strength": lambda q: F.avg(q("shake")),
+    }
+    many = lambda q: q("flinches") > 10
+    out = {
+        "damage_frames": lambda q: q("damage"), "first_hit": lambda q: q("first"), "death_frame": lambda q: q("death"), "frames_to_death": lambda q: q("death") - q("first"), "flinches": lambda q: q("flinches"),
+        "flinch_strength": lambda q: F.coalesce(q("strength"), F.lit(0.0)), "confidence": lambda q: F.when(many(q), F.least(F.lit(1.0), q("flinches") / 20)).otherwise(0.0), "flags": lambda q: _flags(INCOMING_DAMAGE_SPIKE=many(q)),
+    }
+    return Detector("death_event", 5, frame, total, lambda q: q("damage") > 0, out, until="dead")
+
+
+def death_event(frames: DataFrame, shape: Shape = EIGHT, **bounds) -> DataFrame:
+    """Windows of five frames or more with damage on an edge, up to the death screen (cells alike, or marks in the corners): frames from the
+    first damage to it, null without one, and flinches, of which more than 10 make the confidence."""
+    return detect(frames, death_event_of(shape, **bounds))
+
+
+def edge_entry_of(shape: Shape = EIGHT, edge: float = 0.15, enemy: tuple[int, int] = (5, 9), entry: float = 0.05, rear: float = 0.4, rate: float = 3.0) -> Detector:
+    zones = dict(zip(("rear", "front", "left", "right"), shape.edges(edge).values(), strict=True))
+    grew = {n: F.coalesce(F.when(F.col("last").isNotNull(), shape.share(F.col("grid"), r, *enemy) - shape.share(F.col("last"), r, *enemy) > entry), F.lit(False)).cast("int") for n, r in zones.items()}
+    frame = grew | {"any": sum(grew.values(), F.lit(0))}
+    total = {n: (lambda m: lambda c: F.sum(c(m)))(n) for n in zones} | {
+        "all": lambda c: F.sum(c("any")), "first": lambda c: F.min(F.when(c("any") > 0, F.col("i"))), "final": lambda c: F.max(F.when(c("any") > 0, F.col("i"))),
+        "seconds": lambda c: (F.max("t_us") - F.min("t_us")) / 1e6,
+    }
+    part = lambda c: F.col("edge_entry__rear") / c("all")
+    speed = lambda c: F.when(c("seconds") > 0, c("all") / c("seconds")).otherwise(0.0)
+    gap = lambda c: F.when(c("all") > 1, (c("final") - c("first")) / (c("all") - 1)).otherwise(0.0)
+    close = lambda c: (gap(c) < 5) & (c("all") > 3)
+    confidence = lambda c: F.least(F.lit(1.0), F.greatest(F.when(part(c) > rear, (part(c) - rear) / (1 - rear)).otherwise(0.0), F.when(speed(c) > rate, F.least(F.lit(1.0), (speed(c) - rate) / rate)).otherwise(0.0), F.when(close(c), 0.5).otherwise(0.0)))
+    out = {
+        "entries": lambda c: c("all"), "rear": lambda c: c("rear"), "front": lambda c: c("front"), "side": lambda c: c("left") + c("right"), "rate": speed, "mean_gap": gap, "clustered": lambda c: close(c).cast("int"),
+        "confidence": confidence, "flags": lambda c: _flags(SPAWN_PRESSURE=part(c) > rear, SPAWN_BIAS=speed(c) > rate),
+    }
+    return Detector("edge_entry", 3, frame, total, lambda c: c("all") > 0, out)
+
+
+def edge_entry(frames: DataFrame, shape: Shape = EIGHT, **bounds) -> DataFrame:
+    """Windows of three frames or more (with t_us) in which enemy cells enter over an edge: entries by direction (rear is the top, front
+    the bottom), their rate a second, the mean gap in frames and whether they cluster."""
+    return detect(frames, edge_entry_of(shape, **bounds))
+
+
+def all_detectors(shape: Shape = EIGHT) -> list[Detector]:
+    return [f(shape) for f in (flicker_of, hud_of, crosshair_motion_of, peripheral_flash_of, color_shift_of, crosshair_lock_of, hit_registration_of, death_event_of, edge_entry_of)]
+
+
+def count_windows(frames: DataFrame, size: int = 30, by: str = "source", order: str = "frame_id") -> DataFrame:
+    """Cuts each source's frames into windows of `size` in their order; an unfinished last one is left out. Adds window_id and frame_id."""
+    w = Window.partitionBy(by).orderBy(order)
+    d = frames.withColumn("_at", F.row_number().over(w) - 1).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(by)))
+    d = d.where(F.col("_at") < F.floor(F.col("_all") / size) * size)
+    return d.withColumn("window_id", F.floor(F.col("_at") / size)).withColumn("frame_id", F.col("_at") % size).drop("_at", "_all")

@@ -16,8 +16,15 @@ REQUIRED = {
     "process": ("timestamp", "pid", "process_name"),
     "gamepad": ("timestamp", "event"),
 }
-#: File patterns of each modality, in a session folder or one below it.
-PATTERNS = {"vision": ("truevision_*.jsonl",), "activity": ("*activity*.jsonl",), "input": ("*input*.jsonl",), "gamepad": ("gamepad_*.jsonl",), "network": ("network_*.jsonl",), "process": ("process_*.jsonl",)}
+#: File patterns of each modality, and the folder below the logs that holds them if it is there.
+PATTERNS = {
+    "vision": ("truevision_events.jsonl", "truevision_live_*.jsonl", "truevision_smoke_*.jsonl"),
+    "activity": ("user_activity_*.jsonl", "activity_events.jsonl", "activity_*.jsonl"),
+    "gamepad": ("gamepad_stream_*.jsonl", "gamepad_events.jsonl", "gamepad_*.jsonl"),
+    "input": ("input_activity_*.jsonl", "input_events.jsonl", "input_*.jsonl"),
+    "network": ("telemetry_*.jsonl", "network_capture_*.jsonl", "network_events.jsonl", "network_*.jsonl"),
+    "process": ("process_activity_*.jsonl", "process_events.jsonl", "process_*.jsonl"),
+}
 _BOM = "\ufeff"
 
 
@@ -36,9 +43,43 @@ def event_micros(line: Column, keys: tuple[str, ...] = TIME_KEYS) -> Column:
     return F.coalesce(*found)
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The files of a glob pattern, sorted by name, in any file system that Spark reads; none is no error."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [] if f.isFile())
+
+
+def discover(spark: SparkSession, session: str, logs: str | None = None) -> dict[str, list[str]]:
+    """The files of each modality: vision in the session folder, the others in their own folder below the logs, or in the logs themselves
+    where that is not there (without logs, the session folder). A file that two patterns match is listed once, under the first."""
+    base, out = logs or session, {}
+    sc = spark.sparkContext
+    for modality, patterns in PATTERNS.items():
+        folder = session if modality == "vision" else base
+        if modality != "vision":
+            own = sc._jvm.org.apache.hadoop.fs.Path(f"{base}/{modality}")
+            folder = f"{base}/{modality}" if own.getFileSystem(sc._jsc.hadoopConfiguration()).exists(own) else base
+        out[modality] = list(dict.fromkeys(f for p in patterns for f in matching(spark, f"{folder}/{p}")))
+    return out
+
+
+def read_streams(spark: SparkSession, session: str, logs: str | None = None) -> DataFrame:
+    """(modality, event_us, path, line): the well-formed lines of all discovered files; files and lines that are not there give no rows."""
+    out = spark.createDataFrame([], "modality string, event_us long, path string, line string")
+    for modality, files in discover(spark, session, logs).items():
+        if files:
+            one = read_lines(spark, files).where("trim(line) <> ''").where(F.get_json_object("line", "$").isNotNull())
+            out = out.unionByName(one.select(F.lit(modality).alias("modality"), event_micros(F.col("line")).alias("event_us"), "path", "line"))
+    return out
+
+
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, line): the lines of all files, each file once, without byte-order marks."""
-    each = list(dict.fromkeys([paths] if isinstance(paths, str) else paths))
+    """(path, line): the lines of all files, each file once, without byte-order marks; files that are not there are empty."""
+    each = [p for p in dict.fromkeys([paths] if isinstance(paths, str) else paths) if matching(spark, p) or matching(spark, f"{p}/*")]
+    if not each:
+        return spark.createDataFrame([], "path string, line string")
     raw = spark.read.text(each)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", f"^{_BOM}", "").alias("line"))
 
@@ -63,11 +104,12 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType
 
 
 def merged_timeline(spark: SparkSession, files: dict[str, str]) -> DataFrame:
-    """(source, event_us, path, line): all files in one order: time (missing: 0), the order of the files, then the line's place."""
-    out = None
+    """(source, event_us, path, line): all files in one order: time (missing: 0), the order of the files, then the line's place. Files that are
+    not there are left out."""
+    out = spark.createDataFrame([], "source string, event_us long, _file int, _at long, path string, line string")
     for k, (source, path) in enumerate(files.items()):
         one = read_lines(spark, path).where("trim(line) <> ''").select(F.coalesce(F.get_json_object("line", "$.source"), F.lit(source)).alias("source"), F.coalesce(event_micros(F.col("line")), F.lit(0)).alias("event_us"), F.lit(k).alias("_file"), F.monotonically_increasing_id().alias("_at"), "path", "line")
-        out = one if out is None else out.unionByName(one)
+        out = out.unionByName(one)
     return out.orderBy("event_us", "_file", "_at").drop("_file", "_at")
 
 
@@ -81,6 +123,36 @@ def canonical(columns: list[str]) -> Column:
     return F.to_json(F.struct(*sorted(columns)))
 
 
+def write_chained(df: DataFrame, path: str, writer: str, order: list[str], columns: list[str], ts: str) -> None:
+    """Appends rows as JSON lines with sorted keys and `_sha`, the link sha256(previous link + canonical row), a chain per writer from 64
+    zeros, filed under the writer and the day that turns at 00:01 in New York."""
+    from ..operators.windows import chained
+
+    links = chained(df.select(writer, *order, canonical(columns).alias("_row")), writer, order, "_row").drop("_row")
+    rows = df.select(writer, *order, day_key(F.col(ts)).alias("day"), *[F.col(c).alias(f"_k_{c}") for c in columns]).join(links, [writer, *order])
+    line = F.to_json(F.struct(*[F.col("_sha" if c == "_sha" else f"_k_{c}").alias(c) for c in sorted([*columns, "_sha"])]))
+    placed = rows.select(writer, "day", *order, line.alias("value")).repartition(writer, "day").sortWithinPartitions(writer, "day", *order)
+    placed.select(writer, "day", "value").write.mode("append").partitionBy(writer, "day").text(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """Writes a nested report (one row, column `report`) as one text file."""
+    df.select(F.col("report").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def tail(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
+    """A stream of (path, line) of files that come into a folder; each file is read once, whole, by its name: a log is tailed by the files it is
+    cut into, and what was read is in the query's checkpoint."""
+    raw = spark.readStream.format("text").option("pathGlobFilter", pattern).load(folder)
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", f"^{_BOM}", "").alias("line")).where("trim(line) <> ''")
+
+
+def poll_events(lines: DataFrame) -> DataFrame:
+    """(path, event_type, line) of lines polled from files (batch or stream): an `input_event` each, and `input_failed` for a malformed one."""
+    ok = F.get_json_object("line", "$").isNotNull()
+    return lines.select("path", F.when(ok, "input_event").otherwise("input_failed").alias("event_type"), "line")
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 

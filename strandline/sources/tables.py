@@ -59,10 +59,14 @@ def sensor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(window_id, frame_id, grid): 8 x 8 cells of 0 to 9 in row order, 30 frames a window."""
+def frames(spark: SparkSession, sf_dir: str, scale: int = 1) -> DataFrame:
+    """(window_id, frame_id, t_us, grid): 8 x 8 cells of 0 to 9 in row order, each shown `scale` times either way; 30 frames a window
+    and a second."""
     cell = lambda x: F.greatest(F.least(F.floor((x.cast("double") + 0.25) / 0.05), F.lit(9)), F.lit(0)).cast("int")
-    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 30).alias("window_id"), (F.col("vec_id") % 30).alias("frame_id"), F.transform("embedding", cell).alias("grid"))
+    small = F.transform("embedding", cell)
+    side = 8 * scale
+    wide = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.get(small, (F.floor(F.floor(k / side) / scale) * 8 + F.floor(k % side / scale)).cast("int")))
+    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 30).alias("window_id"), (F.col("vec_id") % 30).alias("frame_id"), F.floor(F.col("vec_id") * 1_000_000 / 30).alias("t_us"), (wide if scale > 1 else small).alias("grid"))
 
 
 #: The processes that events stand for, dealt by user: name, parent, account, path, command.

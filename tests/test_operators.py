@@ -5,11 +5,13 @@ import statistics
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import scalar
-from strandline.operators import fusion, grid, query, screen, stats, temporal, windows
+from strandline.operators import events as made
+from strandline.operators import fusion, grid, query, reports, screen, stats, temporal, windows
 from strandline.sources import binary, jsonl
 from strandline.streaming import windows as streaming
 
@@ -96,7 +98,7 @@ def test_welford_rejects_outliers(spark):
 
 def test_dead_band_follows_the_last_emitted(spark):
     df = spark.createDataFrame([("g", k, v) for k, v in enumerate([0.0, 0.6, 0.9, 1.2, 2.5])], "g string, k long, v double")
-    assert windows.dead_band(df, "g", ["k"], "v", 1.0).first().emitted == 3
+    assert windows.dead_band(df, "g", ["k"], "v", 1.0).count() == 3
 
 
 def test_hash_chain_and_verification(spark):
@@ -337,4 +339,203 @@ def test_chain_events_hold_every_chain_row(spark, tmp_path):
     spark.createDataFrame(list(customer.items()), "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = QUERIES["chain_events"](spark, str(tmp_path)).collect()
-    assert sorted(map(tuple, got)) == [(o, n, customer[o], day) for o, n, day in rows if o in customer]
+    assert sorted(map(tuple, got)) == [(o, n, n, customer[o], day) for o, n, day in rows if o in customer]
+
+
+def nearest_by_hand(probes, cands, tolerance, strict):
+    out = []
+    for pid, by, t in probes:
+        own = sorted((c for c in cands if c[0] == by), key=lambda c: (c[1], c[2]))
+        before, after = [c for c in own if c[1] < t], [c for c in own if c[1] >= t]
+        near = [(abs(c[1] - t), k, c) for k, c in enumerate(before[-1:] + [c for c in after if c[1] == after[0][1]][:1])]
+        best = min(near, default=None)
+        ok = best is not None and (best[0] < tolerance if strict else best[0] <= tolerance)
+        out.append((pid, best[2][1] if ok else None, best[2][3] if ok else None))
+    return out
+
+
+@pytest.mark.parametrize("strict", [True, False])
+@pytest.mark.parametrize("parts", [1, 4, 7])
+def test_nearest_join_over_buckets(spark, strict, parts):
+    rng = np.random.default_rng(parts)
+    probes = [(k, "ab"[k % 2], int(t)) for k, t in enumerate(rng.integers(-200, 2_000, 150))]
+    cands = [("abc"[int(rng.integers(3))], int(t), k, f"p{k}") for k, t in enumerate(rng.integers(-300, 2_000, 70))]
+    cands += [("a", 500, 900, "x"), ("a", 500, 901, "y"), ("b", 777, 902, "z")]
+    probes += [(1000, "a", 500), (1001, "a", 501), (1002, "a", 499), (1003, "c", 5_000)]
+    for tolerance in (0, 1, 30, 400):
+        got = temporal.nearest_join(spark.createDataFrame(probes, "probe_id long, m string, ts_us long"), spark.createDataFrame(cands, "m string, ts_us long, ord long, payload string"), tolerance, by=["m"], strict=strict, parts=parts)
+        assert sorted(((r.probe_id, r.near_us, r.payload) for r in got.collect()), key=repr) == sorted(nearest_by_hand(probes, cands, tolerance, strict), key=repr)
+
+
+def test_nearest_join_in_one_hot_bucket(spark):
+    n = 100_000
+    p = spark.range(n).select(F.col("id").alias("probe_id"), (F.col("id") * 2 + 1).alias("ts_us"))
+    c = spark.range(n).select((F.col("id") * 2).alias("ts_us"), F.col("id").alias("ord"), F.col("id").alias("payload"))
+    got = temporal.nearest_join(p, c, 10**9)  # all in one bucket; a quadratic plan does not end
+    assert got.agg(F.count_if(F.col("payload") == F.col("probe_id"))).first()[0] == n
+
+
+def by_hand(frames, h, w, t):
+    """The six detectors of a window of frames (h x w lists), by their rules."""
+    n, cells = len(frames), [(y, x) for y in range(h) for x in range(w)]
+    out = {}
+    part = lambda g, where, test: sum(test(g[y][x]) for y, x in where) / len(where) if where else 0.0
+
+    def mass(g, where, empty):
+        s = sum(g[y][x] for y, x in where)
+        return tuple(sum(p[k] * g[p[0]][p[1]] for p in where) / s if s else empty[k] for k in (0, 1))
+
+    steps = lambda where, empty: [math.dist(mass(a, where, empty), mass(b, where, empty)) for a, b in zip(frames, frames[1:], strict=False)]
+    ring = lambda p: [(y, x) for y, x in cells if (y - h // 2) ** 2 + (x - w // 2) ** 2 <= int(min(h, w) * p) ** 2]
+    if n >= 5:
+        mid = [(y, x) for y, x in cells if int(0.35 * h) <= y < int((0.35 + 0.30) * h) and int(0.35 * w) <= x < int((0.35 + 0.30) * w)]
+        d = steps(mid, (len(mid) // 2,) * 2)
+        smooth, snap = 1 / (1 + statistics.pvariance(d)), sum(x > 5 for x in d) / len(d)
+        if smooth > 0.95 or snap > 0.1:
+            out["crosshair_motion"] = (max((smooth - 0.95) / 0.05 if smooth > 0.95 else 0, min(1, 5 * snap) if snap > 0.1 else 0), [])
+        aim = ring(0.05)
+        on, hit = [part(g, aim, lambda v: v >= 5) > 0.2 for g in frames], [part(g, aim, lambda v: v == 9) > 0.1 for g in frames]
+        if sum(on) >= 3:
+            d = steps(cells, (h // 2, w // 2))
+            a, b = [x for x, o in zip(d, on[1:], strict=True) if o], [x for x, o in zip(d, on[1:], strict=True) if not o]
+            r = statistics.mean(a) / statistics.mean(b) if len(d) >= 5 and a and b and statistics.mean(b) > 0 else 1.0
+            slow = (0.7 - r) / 0.7 if r < 0.7 else min(1, r - 1) if r > 1 else 0.0
+            e = sum(hit) / sum(on)
+            drift = 0 if sum(on) <= 5 else (0.2 - e) / 0.2 if e < 0.2 else (e - 0.6) / 0.4 if e > 0.6 else 0
+            out["crosshair_lock"] = (min(1, max(slow, drift)), [f for f, c in (("AIM_RESISTANCE", slow > 0.3), ("HITBOX_DRIFT", drift > 0.5)) if c])
+        core, outer = ring(0.15), [p for p in cells if p not in ring(0.2)]
+        mark = [part(g, core, lambda v: v == 9) > 0.05 for g in frames]
+        sure = [part(g, cells, lambda v: v in (7, 8)) > 0.02 or k > 0 and sum(g[y][x] != frames[k - 1][y][x] for y, x in outer) / len(outer) > 0.1 for k, g in enumerate(frames)]
+        if any(mark):
+            ghost = sum(m and not any(sure[k : k + 3]) for k, m in enumerate(mark)) / sum(mark)
+            out["hit_registration"] = (max(0, (ghost - 0.3) / 0.7), [f for f, c in (("GHOST_HITS", ghost > 0.3), ("DAMAGE_SUPPRESSION", ghost > 0.5)) if c])
+        eh, ew, c = int(h * 0.1), int(w * 0.1), int(min(h, w) * 0.1)
+        sides = [[p for p in cells if p[0] < eh], [p for p in cells if p[0] >= h - eh], [p for p in cells if p[1] < ew], [p for p in cells if p[1] >= w - ew]]
+        corner = [(y, x) for y, x in cells if (y < c or y >= h - c) and (x < c or x >= w - c)]
+        hurt = flinch = 0
+        for k, g in enumerate(frames):
+            hurt += max(part(g, s, lambda v: v in (7, 8)) for s in sides) > 0.05
+            flinch += k > 0 and sum(abs(g[y][x] - frames[k - 1][y][x]) for y, x in cells) / (9 * h * w) > 0.1
+            if statistics.pvariance([g[y][x] for y, x in cells]) < 2 or sum(g[y][x] == 9 for y, x in corner) > 0.1 * c * c:
+                break
+        if hurt:
+            out["death_event"] = (min(1, flinch / 20) if flinch > 10 else 0, ["INCOMING_DAMAGE_SPIKE"] if flinch > 10 else [])
+    a, b = int(h * 0.15), int(w * 0.15)
+    zone = {"rear": lambda y, x: y < a, "front": lambda y, x: y >= h - a, "left": lambda y, x: a <= y < h - a and x < b, "right": lambda y, x: a <= y < h - a and x >= w - b}
+    zone = {k: [p for p in cells if f(*p)] for k, f in zone.items()}
+    jumps = {k: sum(abs(g[y][x] - f[y][x]) >= 3 for f, g in zip(frames, frames[1:], strict=False) for y, x in z) / (len(z) * (n - 1)) for k, z in zone.items()}
+    if max(jumps.values()) > 0.03:
+        out["peripheral_flash"] = (1.0, [])
+    came = [(k, z) for k in range(1, n) for z, p in zone.items() if part(frames[k], p, lambda v: v >= 5) - part(frames[k - 1], p, lambda v: v >= 5) > 0.05]
+    if n >= 3 and came:
+        rear, rate = sum(z == "rear" for _, z in came) / len(came), len(came) / (t[-1] - t[0])
+        near = len(came) > 3 and (came[-1][0] - came[0][0]) / (len(came) - 1) < 5
+        out["edge_entry"] = (min(1, max((rear - 0.4) / 0.6 if rear > 0.4 else 0, min(1, (rate - 3) / 3) if rate > 3 else 0, 0.5 if near else 0)), [f for f, c in (("SPAWN_PRESSURE", rear > 0.4), ("SPAWN_BIAS", rate > 3)) if c])
+    return out
+
+
+def test_detectors_follow_their_rules_on_any_shape(spark):
+    for h, w in ((20, 28), (8, 8)):
+        rng = np.random.default_rng(h)
+        windows_, rows = {}, []
+        for k in range(24):
+            n = (4, 6, 30)[k % 3]
+            g = rng.integers(0, 7, (n, h, w))
+            if k % 4 == 1:
+                g[1:] = g[0]  # a still scene
+            if k % 4 == 2:
+                g = np.cumsum(rng.integers(-1, 2, (n, h, w)) * (rng.random((n, h, w)) < 0.05), axis=0) + g[0]
+            g[:, h // 2, w // 2] = np.where(rng.random(n) < 0.6, 9, 1)
+            if k % 4 == 1:
+                g[:, h // 2, w // 2 - 1] = g[:, h // 2, w // 2]
+            if k % 5 == 0:
+                g[:, : max(1, h // 10)] = np.where(rng.random((n, 1, 1)) < 0.5, 8, 2)
+            if k % 6 == 5:
+                g[n // 2 :, :2, :2] = 9  # corners of a death screen
+            g = np.clip(g, 0, 9)
+            t = [f * (0.05 if k % 2 else 1.0) for f in range(n)]
+            windows_[k] = by_hand(g.tolist(), h, w, t)
+            rows += [(k, f, int(t[f] * S), [int(v) for v in g[f].ravel()]) for f in range(n)]
+        df = spark.createDataFrame(rows, "window_id long, frame_id long, t_us long, grid array<int>")
+        shape = grid.Shape(h, w)
+        got: dict = {}
+        for r in grid.run_all(df, grid.all_detectors(shape)).collect():
+            if r.operator not in ("flicker", "hud_stability", "color_shift"):
+                got.setdefault(r.window_id, {})[r.operator] = (round(r.confidence, 5), list(r.flags))
+        want = {k: {o: (round(c, 5), f) for o, (c, f) in v.items()} for k, v in windows_.items() if v}
+        assert got == want
+        seen = {f for v in want.values() for _, fs in v.values() for f in fs}
+        if h == 20:
+            assert seen == {"AIM_RESISTANCE", "HITBOX_DRIFT", "GHOST_HITS", "DAMAGE_SUPPRESSION", "INCOMING_DAMAGE_SPIKE", "SPAWN_PRESSURE", "SPAWN_BIAS"}
+
+
+def test_count_windows_leave_out_the_unfinished(spark):
+    df = spark.range(100).select(F.lit("cam").alias("source"), F.col("id").alias("frame_id"))
+    got = grid.count_windows(df).groupBy("window_id").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 30), (1, 30), (2, 30)]
+
+
+def test_discovery_and_missing_files(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "logs" / "network").mkdir(parents=True)
+    (tmp_path / "s" / "truevision_live_1.jsonl").write_text('{"ts": 1.5}\nnot json\n')
+    (tmp_path / "logs" / "network" / "network_capture_1.jsonl").write_text('{"Timestamp": "2025-01-01T00:00:00Z"}\n')
+    (tmp_path / "logs" / "input_events.jsonl").write_text('{"timestamp": 3}\n\n')
+    found = jsonl.discover(spark, f"{tmp_path}/s", f"{tmp_path}/logs")
+    assert {k: len(v) for k, v in found.items()} == {"vision": 1, "activity": 0, "gamepad": 0, "input": 1, "network": 1, "process": 0}
+    got = jsonl.read_streams(spark, f"{tmp_path}/s", f"{tmp_path}/logs").collect()
+    assert sorted((r.modality, r.event_us) for r in got) == [("input", 3 * S), ("network", 1735689600 * S), ("vision", 1_500_000)]
+    assert jsonl.read_lines(spark, f"{tmp_path}/nothing.jsonl").count() == 0
+    merged = jsonl.merged_timeline(spark, {"a": f"{tmp_path}/logs/input_events.jsonl", "b": f"{tmp_path}/none.jsonl"})
+    assert [(r.source, r.event_us) for r in merged.collect()] == [("a", 3 * S)]
+
+
+def test_chained_writer_links_every_row(spark, tmp_path):
+    rows = [("w1", k, 10 - k, f"t{k}", 1_700_000_000 * S + k) for k in range(6)] + [("w2", 0, 1, "é", 1_700_000_000 * S)]
+    df = spark.createDataFrame(rows, "w string, k long, b long, a string, us long").withColumn("ts", F.timestamp_micros("us"))
+    jsonl.write_chained(df, f"{tmp_path}/out", "w", ["k"], ["a", "b"], "ts")
+    for w in ("w1", "w2"):
+        link = "0" * 64
+        for r in spark.read.text(f"{tmp_path}/out/w={w}").orderBy("value").collect() if w == "w2" else sorted(spark.read.text(f"{tmp_path}/out/w={w}").collect(), key=lambda r: json.loads(r.value)["a"]):
+            o = json.loads(r.value)
+            payload = json.dumps({"a": o["a"], "b": o["b"]}, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
+            link = hashlib.sha256((link + payload).encode()).hexdigest()
+            assert o["_sha"] == link and r.value.startswith('{"_sha":')
+
+
+def test_pulses_throttles_and_spares(spark):
+    rows = [("w", k, k * 1000, 10) for k in range(300)] + [("v", 0, 0, 600_000), ("v", 1, 5, 1), ("v", 2, 400_000, 1), ("v", 3, 400_001, 1)]
+    got = windows.pulse_numbers(spark.createDataFrame(rows, "w string, k long, t long, size long"), "w", ["k"], "t", "size").collect()
+    pulses = {(r.w, r.k): r.pulse_id for r in got}
+    assert [pulses["v", k] for k in range(4)] == [1, 2, 2, 3]  # full by bytes; by time on the row that comes late
+    assert [pulses["w", k] for k in (0, 127, 128, 255, 256)] == [1, 1, 2, 2, 3]
+    warn = spark.createDataFrame([("d", t, s) for t, s in ((0, "low"), (5, "low"), (6, "high"), (7, "low"), (12, "low"), (20, "low"))], "g string, t long, s string")
+    assert [(r.t, r.s) for r in windows.throttled(warn, "g", "t", "s", 10).orderBy("t").collect()] == [(0, "low"), (6, "high"), (7, "low"), (20, "low")]
+    spare = spark.createDataFrame([("g", k, t) for k, t in enumerate((100, 50, 140, 85, 90))], "g string, k long, t long").withColumn("t", F.col("t") * S)
+    held = [r.k for r in windows.mirrored(spare, "g", ["k"], "t", 30.0).orderBy("k").collect()]
+    assert held == [2, 3, 4]
+    assert [r.k for r in windows.mirrored(spare, "g", ["k"], "t", 1e6, cap=2).orderBy("k").collect()] == [0, 1]
+
+
+def test_baselines_and_gaps(spark):
+    df = spark.createDataFrame([("g", k, float(v)) for k, v in enumerate((1, 2, 3, 2, 1, 50, 2))], "g string, k long, v double")
+    got = {r.k: (r.z, r.accepted) for r in windows.baseline_scores(df, "g", ["k"], "v").collect()}
+    assert got[0] == (0.0, True) and got[1] == (0.0, True) and not got[5][1] and got[6][1]
+    assert reports.gaps(df, "g", "k").first().mean_gap == 1.0
+
+
+def test_records_of_events(spark):
+    rows = [(5 * S, "pad", ["x"]), (2 * S, "key", None), (7200 * S, "pad", [])]
+    df = spark.createDataFrame(rows, "ts_us long, source_id string, tags array<string>").withColumn("metadata", F.lit(None).cast("map<string,string>"))
+    got = made.created(df, ["source_id"]).orderBy("counter").collect()
+    assert [(r.event_id, r.ts_us) for r in got] == [("evt_00000001", 2 * S), ("evt_00000002", 5 * S), ("evt_00000003", 7200 * S)] and got[0].tags == [] and got[0].metadata == {}
+    rec = made.as_records(made.created(df, ["source_id"])).orderBy("seq").first()
+    assert (rec.task_id, rec.success, rec.engine_id, rec.pulse_id) == ("key", True, "event_pipeline_v1", 1) and 0 <= rec.worker_id < 256
+    late = made.monotone_guard(spark.createDataFrame([("a", 1, 5), ("a", 2, 4), ("a", 3, 6)], "s string, k long, ts_us long"), "s", ["k"]).orderBy("k").collect()
+    assert [r.late for r in late] == [False, True, False]
+
+
+def test_nested_report(spark):
+    df = events(spark, [(1, 0, "a", 0.5, "s", ["X"]), (2, S, "b", 0.75, "s", ["X", "Y"])])
+    got = json.loads(reports.as_report({"bands": reports.score_bands(df), "flags": query.flag_frequency(df)}).first().report)
+    assert got["flags"] == [{"flag": "X", "n": 2}, {"flag": "Y", "n": 1}] and len(got["bands"]) == 2
