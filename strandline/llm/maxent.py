@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, coded, pieces, top_rows, words
 
 #: Words of their own for each unit of the cube root of the training tokens, and the share of tail symbols.
-GROWTH, TAIL_SHARE = 5.0, 8
+GROWTH, TAIL_SHARE = 4.0, 8
 #: Words whose counts every worker holds, at least all with a symbol of their own; the counts of all other words are joined.
 HEAD = 131_072
 #: Rows for each symbol: of hashed pairs in the first table, of last symbols and of last but ones in the second.
@@ -40,6 +40,8 @@ ROUNDS, STEP, DAMP, ENOUGH = 3, 0.6, 2.0, 2e-3
 SMOOTH = 0.1
 #: Contexts worked on at once, tokens among which equal contexts are found, rows of the summed tables in a piece of the exchange.
 CHUNK, BLOCK, PIECE = 16_384, 1_500_000, 64
+#: Bytes of text that are encoded or scored at once.
+TEXT = 4_000_000
 #: Repeats of a row up to which its counts are added one by one.
 FEW = 3
 
@@ -246,7 +248,7 @@ def _encoded(held):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(held.value)
-        for b in pieces(batches):
+        for b in pieces(batches, most=TEXT):
             offsets, s0, *_ = encode(b.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array([s0.astype(np.uint32).tobytes()], pa.binary()), pa.array([offsets[:-1].astype(np.uint32).tobytes()], pa.binary())], ["symbols", "first"])
 
@@ -383,6 +385,7 @@ def train(docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> Model:
         losses.append(loss / n)
         w = stepped(w, observed, tables[:2])
         now.unpersist()
+        del rows, tables
         if len(losses) > 1 and losses[-2] - losses[-1] < ENOUGH:
             break
     scratch.drop(encoded)
@@ -397,7 +400,7 @@ def _score(held):
         encode, row = Encoder(v), TaskContext.get().partitionId() << 40
         logs = np.log10(v.counts + SMOOTH) if len(v.counts) else np.zeros(1)
         mass = np.log10(v.mass)
-        for b in pieces(batches):
+        for b in pieces(batches, most=TEXT):
             offsets, s0, place, tail, in_tail, codes, distinct = encode(b.column("text"))
             keys, back = np.unique(w.key(*context(offsets[:-1], s0, w.shape.places), s0), return_inverse=True)
             p = w.log10(keys)[back]
