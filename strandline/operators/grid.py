@@ -13,28 +13,34 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Region = Callable[[Column | int, Column | int], Column | bool]
+Region = Callable[[int, int], bool]
 
 
-def everywhere(y, x):
-    return (y >= 0) & (x >= 0)
+def everywhere(y: int, x: int) -> bool:
+    return True
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Height and width of the grids."""
+    """Height and width of the grids. A region's cells are looked up by their numbers, which are constants of the plan."""
 
     h: int = 8
     w: int = 8
 
+    def numbers(self, region: Region) -> list[int]:
+        return [y * self.w + x for y in range(self.h) for x in range(self.w) if region(y, x)]
+
     def size(self, region: Region) -> int:
-        return sum(bool(region(y, x)) for y in range(self.h) for x in range(self.w))
+        return len(self.numbers(region))
 
-    def _inside(self, region: Region, k: Column) -> Column:
-        return region(F.floor(k / self.w), k % self.w)
+    def cells(self, grid: Column, region: Region) -> Column:
+        numbers = self.numbers(region)
+        if len(numbers) == self.h * self.w:
+            return grid
+        return F.transform(F.lit(numbers), lambda k: F.get(grid, k)) if numbers else F.slice(grid, 1, 0)
 
     def count(self, grid: Column, region: Region, test: Callable[[Column], Column]) -> Column:
-        return F.size(F.filter(grid, lambda v, k: self._inside(region, k) & test(v)))
+        return F.size(F.filter(self.cells(grid, region), test))
 
     def share(self, grid: Column, region: Region, low: int, high: int) -> Column:
         """Part of the region's cells from low to high; 0 of an empty region."""
@@ -44,18 +50,17 @@ class Shape:
     def changed(self, grid: Column, last: Column, region: Region, least: int) -> Column:
         """Part of the region's cells that changed by `least` or more; null for a first frame."""
         n = self.size(region)
-        moved = F.zip_with(grid, last, lambda a, b: F.abs(a - b))
-        return F.when(last.isNotNull(), self.count(moved, region, lambda v: v >= least) / n if n else F.lit(0.0))
+        moved = F.zip_with(self.cells(grid, region), self.cells(last, region), lambda a, b: F.abs(a - b) >= least)
+        return F.when(last.isNotNull(), F.size(F.filter(moved, lambda v: v)) / n if n else F.lit(0.0))
 
     def centroid(self, grid: Column, region: Region, empty: tuple[int, int]) -> tuple[Column, Column]:
         """(y, x) of the region, weighted by value; `empty` where it has no weight."""
-
-        def total(weigh) -> Column:
-            cells = F.transform(grid, lambda v, k: F.when(self._inside(region, k), v * weigh(F.floor(k / self.w), k % self.w)).otherwise(0).cast("double"))
-            return F.aggregate(cells, F.lit(0.0), lambda a, v: a + v)
-
-        weight = total(lambda y, x: 1)
-        return tuple(F.when(weight > 0, total(axis) / weight).otherwise(float(e)) for axis, e in ((lambda y, x: y, empty[0]), (lambda y, x: x, empty[1])))
+        numbers, cells = self.numbers(region), self.cells(grid, region)
+        add = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+        weight = add(cells)
+        along = lambda axis: F.zip_with(cells, F.lit(axis), lambda v, k: v * k)
+        axes = [k // self.w for k in numbers], [k % self.w for k in numbers]
+        return tuple(F.when(weight > 0, add(along(axis)) / weight).otherwise(float(e)) if axis else F.lit(float(e)) for axis, e in zip(axes, empty, strict=True))
 
     def step(self, grid: Column, last: Column, region: Region, empty: tuple[int, int]) -> Column:
         """How far the centroid moved; null for a first frame."""
@@ -69,8 +74,8 @@ class Shape:
     def edges(self, part: float, corners_twice: bool = False) -> dict[str, Region]:
         """top, bottom, left and right; the corners are top's or bottom's, or of both sides with `corners_twice`."""
         a, b = int(self.h * part), int(self.w * part)
-        inner = everywhere if corners_twice else lambda y, x: (y >= a) & (y < self.h - a)
-        return {"top": lambda y, x: y < a, "bottom": lambda y, x: y >= self.h - a, "left": lambda y, x: inner(y, x) & (x < b), "right": lambda y, x: inner(y, x) & (x >= self.w - b)}
+        inner = everywhere if corners_twice else lambda y, x: a <= y < self.h - a
+        return {"top": lambda y, x: y < a, "bottom": lambda y, x: y >= self.h - a, "left": lambda y, x: inner(y, x) and x < b, "right": lambda y, x: inner(y, x) and x >= self.w - b}
 
 
 EIGHT = Shape()
@@ -191,9 +196,9 @@ def region(shape: Shape, top: float, height: float, left: float | None = None, w
     """A bar, or a rectangle, by parts of the frame."""
     y0, y1 = int(top * shape.h), min(shape.h, int((top + height) * shape.h))
     if left is None:
-        return lambda y, x: (y >= y0) & (y < y1)
+        return lambda y, x: y0 <= y < y1
     x0, x1 = int(left * shape.w), min(shape.w, int((left + width) * shape.w))
-    return lambda y, x: (y >= y0) & (y < y1) & (x >= x0) & (x < x1)
+    return lambda y, x: y0 <= y < y1 and x0 <= x < x1
 
 
 def hud_stability(frames: DataFrame, regions: dict[str, Region] | None = None, alert: float = 0.02, shape: Shape = EIGHT) -> DataFrame:
@@ -307,7 +312,7 @@ def crosshair_lock(frames: DataFrame, shape: Shape = EIGHT, **bounds) -> DataFra
 
 def hit_registration_of(shape: Shape = EIGHT, marker: int = 9, blood: tuple[int, int] = (7, 8), ghost: float = 0.3) -> Detector:
     centre, middle = shape.circle(0.15), shape.circle(0.2)
-    outer = lambda y, x: middle(y, x) == False  # noqa: E712, E731  of columns and numbers alike
+    outer = lambda y, x: not middle(y, x)
 
     def confirm(grid: Column, last: Column) -> Column:
         return (shape.share(grid, everywhere, *blood) > 0.02) | F.coalesce(shape.changed(grid, last, outer, 1) > 0.1, F.lit(False))
@@ -334,7 +339,7 @@ def hit_registration(frames: DataFrame, shape: Shape = EIGHT, **bounds) -> DataF
 def death_event_of(shape: Shape = EIGHT, blood: tuple[int, int] = (7, 8), edge: float = 0.1, corner: float = 0.1, screen: int = 9, shaken: float = 0.1) -> Detector:
     sides = shape.edges(edge, corners_twice=True)
     c = int(min(shape.h, shape.w) * corner)
-    corners = lambda y, x: ((y < c) | (y >= shape.h - c)) & ((x < c) | (x >= shape.w - c))
+    corners = lambda y, x: (y < c or y >= shape.h - c) and (x < c or x >= shape.w - c)
     mean = lambda power: F.aggregate(F.col("grid"), F.lit(0.0), lambda a, v: a + (v if power == 1 else v * v)) / F.size("grid")
     shake = F.aggregate(F.zip_with("grid", "last", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, v: a + v) / (9.0 * shape.h * shape.w)
     frame = {

@@ -50,6 +50,36 @@ def last_n_minutes(df: DataFrame, now_us: Column | int, minutes: float, threshol
     return out if threshold is None else score_above(out, threshold)
 
 
+def manipulation_since(df: DataFrame, now_us: Column | int, minutes: float) -> DataFrame:
+    """Rows over 0.5 of the last minutes, with no bound above: rows of the future count."""
+    now = F.lit(now_us) if isinstance(now_us, int) else now_us
+    return score_above(df.filter(F.col("ts_us") >= now - int(minutes * 60_000_000)), 0.5)
+
+
+def success_only(df: DataFrame) -> DataFrame:
+    return df.filter("success")
+
+
+def failures_only(df: DataFrame) -> DataFrame:
+    return df.filter("not success")
+
+
+def events_in_range(df: DataFrame, start: Column | int, end: Column | int, source: str | None = None, tags: list[str] | None = None) -> DataFrame:
+    """Events from start to end, both inclusive, of a source, with all of the tags, in order of time, then of insertion."""
+    out = time_range(df, start, end)
+    out = out if source is None else out.filter(F.col("operator") == source)
+    out = with_all_tags(out, tags) if tags else out
+    return out.orderBy("ts_us", "seq")
+
+
+def event_by_id(df: DataFrame, event_id: int, key: str = "seq") -> DataFrame:
+    return df.filter(F.col(key) == event_id)
+
+
+def count(df: DataFrame) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("n"))
+
+
 def time_series(df: DataFrame) -> DataFrame:
     return df.select("ts_us", score().alias("score"))
 
@@ -88,26 +118,44 @@ def session_summaries(df: DataFrame) -> DataFrame:
     )
 
 
-def bursts(df: DataFrame, threshold: float, gap_us: int, least: int, partition_by: list[str] | None = None, bucket_us: int = 3_600_000_000) -> DataFrame:
-    """Islands of anomalies in time order, at most gap_us apart, of `least` rows or more; global unless partition_by is given.
-    Rows are ordered within buckets of time; only a row per bucket is ordered in one task, to carry islands over its ends."""
+def bursts(df: DataFrame, threshold: float, gap_us: int, least: int, partition_by: list[str] | None = None, bucket_us: int = 3_600_000_000, record_order: bool = False, bucket_rows: int = 100_000) -> DataFrame:
+    """Islands of anomalies, each at most gap_us after the one before it, of `least` rows or more; in time order, or in the order of records
+    (`seq`), where a step back in time is no gap. Global unless partition_by is given.
+
+    Rows are ordered within buckets of time, or of records; only a row per bucket is ordered in one task, to carry islands over its ends."""
     by = partition_by or []
     place = [*by, "_bucket"]
-    rows, ends = Window.partitionBy(*place).orderBy("ts_us", "seq"), Window.partitionBy(*by).orderBy("_bucket")
-    hit = score_above(df, threshold).where("ts_us is not null").withColumn("_bucket", F.floor(F.col("ts_us") / bucket_us))
+    order = ["seq"] if record_order else ["ts_us", "seq"]
+    rows, ends = Window.partitionBy(*place).orderBy(*order), Window.partitionBy(*by).orderBy("_bucket")
+    bucket = F.floor(F.col("seq") / bucket_rows) if record_order else F.floor(F.col("ts_us") / bucket_us)
+    hit = score_above(df, threshold).where("ts_us is not null").withColumn("_bucket", bucket)
     hit = hit.withColumn("_back", F.col("ts_us") - F.lag("ts_us").over(rows))
     fresh = (F.col("_back") > gap_us).cast("long")
-    hit = hit.withColumn("_local", F.coalesce(F.sum(fresh).over(rows), F.lit(0)))
-    parts = hit.groupBy(*place, "_local").agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.count(F.lit(1)).alias("n"), F.max(score()).alias("peak"), F.collect_set("operator").alias("_ops"))
-    edges = parts.groupBy(*place).agg(F.min("start_us").alias("_first"), F.max("end_us").alias("_last"), F.max("_local").alias("_top"))
-    joined = F.coalesce(F.col("_first") - F.lag("_last").over(ends) <= gap_us, F.lit(False))
+    hit = hit.withColumn("_local", F.coalesce(F.sum(fresh).over(rows), F.lit(0))).withColumn("_o", F.struct(*order))
+    parts = hit.groupBy(*place, "_local").agg(F.min(F.struct("_o", "ts_us")).alias("_a"), F.max(F.struct("_o", "ts_us")).alias("_z"), F.count(F.lit(1)).alias("n"), F.max(score()).alias("peak"), F.collect_set("operator").alias("_ops"))
+    edges = parts.groupBy(*place).agg(F.min("_a").alias("_first"), F.max("_z").alias("_last"), F.max("_local").alias("_top"))
+    joined = F.coalesce(F.col("_first.ts_us") - F.lag("_last.ts_us").over(ends) <= gap_us, F.lit(False))
     edges = edges.withColumn("_step", F.col("_top") + 1 - joined.cast("long")).withColumn("_base", F.sum("_step").over(ends) - F.col("_top"))
     base = edges.select(*[F.col(c).alias(f"_at_{c}") for c in place], "_base")
     whole = parts.join(base, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in place]).withColumn("_island", F.col("_base") + F.col("_local"))
-    out = whole.groupBy(*by, "_island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n").alias("n"), F.max("peak").alias("peak"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ops")))), ",").alias("operators"))
+    out = whole.groupBy(*by, "_island").agg(F.min("_a")["ts_us"].alias("start_us"), F.max("_z")["ts_us"].alias("end_us"), F.sum("n").alias("n"), F.max("peak").alias("peak"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_ops")))), ",").alias("operators"))
     return out.where(F.col("n") >= least).drop("_island")
 
 
+def session_summary(df: DataFrame, session_id: str) -> DataFrame:
+    """The summary of one session; a row of zeros where it has no window."""
+    one = session_summaries(df.filter(F.col("session_id") == session_id))
+    asked = df.sparkSession.range(1).select(F.lit(session_id).alias("_id"))
+    out = asked.join(one, F.col("_id") == F.col("session_id"), "left").drop("session_id").withColumnRenamed("_id", "session_id")
+    return out.na.fill(0).na.fill("")
+
+
+def all_sessions(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """All summaries in the order in which the sessions were first seen."""
+    first = df.groupBy("session_id").agg(F.min("seq").alias("first_seq"))
+    return limited(session_summaries(df).join(first, "session_id").orderBy("first_seq"), limit)
+
+
 def top_k(df: DataFrame, k: int, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 

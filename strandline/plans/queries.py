@@ -72,6 +72,15 @@ _add("score_above", _rec(lambda r: query.score_above(r, 0.75).select(*_FULL)), f
 _add("score_below", _rec(lambda r: query.score_below(r, 0.1).select(*_FULL)), f"SELECT {_FULL_SQL} FROM records WHERE coalesce(score, 0) <= 0.1", _REC)
 _add("success_split", _rec(query.success_split), "SELECT count(*) AS n, count_if(success)::BIGINT AS ok, count_if(NOT success)::BIGINT AS failed, round(100.0 * count_if(success) / count(*), 6) AS ok_pct FROM records", _REC)
 _add("by_session", _rec(lambda r: query.where(r, "session_id = 'S7'").select(*_FULL)), f"SELECT {_FULL_SQL} FROM records WHERE session_id = 'S7'", _REC)
+_add("success_only", _rec(lambda r: query.success_only(r).select(*_FULL)), f"SELECT {_FULL_SQL} FROM records WHERE success", _REC)
+_add("failures_only", _rec(lambda r: query.failures_only(r).select(*_FULL)), f"SELECT {_FULL_SQL} FROM records WHERE NOT success", _REC)
+_add("record_count", _rec(query.count), "SELECT count(*) AS n FROM records", _REC)
+_add("event_by_id", _rec(lambda r: query.event_by_id(r, 77).select(*_FULL)), f"SELECT {_FULL_SQL} FROM records WHERE seq = 77", _REC)
+_add("manipulation_since", lambda s, d: _since(records(s, d)), f"SELECT {_FULL_SQL} FROM records, (SELECT max(ts_us) AS hi FROM records) WHERE ts_us >= hi - 3600000000 - 1800000000 AND score > 0.5", _REC)
+_add("events_in_range", lambda s, d: _ranged(records(s, d)), f"SELECT {_FULL_SQL} FROM records, (SELECT min(ts_us) AS lo FROM records) WHERE ts_us BETWEEN lo AND lo + 86400000000 AND operator = 'error' AND list_has_all(flags, ['error', 'HIGH'])", _REC)
+_SUM = "session_id, count(*) AS n, round(avg(score), 6) AS avg_score, max(score) AS max_score, count_if(score > 0.5)::BIGINT AS manipulated, count_if(score > 0.75)::BIGINT AS high_confidence, round(100.0 * count_if(score > 0.5) / count(*), 6) AS manipulation_rate, round(100.0 * count_if(score > 0.75) / count(*), 6) AS high_rate"
+_add("session_summary", _rec(lambda r: query.session_summary(r, "S7").drop("operators").unionByName(query.session_summary(r, "none").drop("operators"))), f"SELECT {_SUM} FROM records WHERE session_id = 'S7' GROUP BY 1 UNION ALL SELECT 'none', 0, 0, 0, 0, 0, 0, 0", _REC)
+_add("first_sessions", _rec(lambda r: query.all_sessions(r, 5).drop("operators")), f"SELECT {_SUM}, min(seq) AS first_seq FROM records GROUP BY 1 ORDER BY first_seq LIMIT 5", _REC)
 _add("by_pulse", _rec(lambda r: query.where(r, F.col("pulse_id") == 3).select(*_FULL)), f"SELECT {_FULL_SQL} FROM records WHERE pulse_id = 3", _REC)
 _add("extract_series", _rec(query.time_series), "SELECT ts_us, coalesce(score, 0) AS score FROM records", _REC)
 _add("events_all_tags", _rec(lambda r: query.with_all_tags(r, ["error", "HIGH"]).select(*_FULL)), f"SELECT {_FULL_SQL} FROM records WHERE list_has_all(flags, ['error', 'HIGH'])", _REC)
@@ -90,6 +99,16 @@ def _time_range(r: DataFrame) -> DataFrame:
     return query.time_range(r.crossJoin(F.broadcast(lo)), F.col("lo") + 86_400_000_000, F.col("lo") + 2 * 86_400_000_000).select(*_FULL)  # one row
 
 
+def _since(r: DataFrame) -> DataFrame:
+    hi = r.agg(F.max("ts_us").alias("hi"))
+    return query.manipulation_since(r.crossJoin(F.broadcast(hi)), F.col("hi") - 1_800_000_000, 60).select(*_FULL)  # one row
+
+
+def _ranged(r: DataFrame) -> DataFrame:
+    lo = r.agg(F.min("ts_us").alias("lo"))
+    return query.events_in_range(r.crossJoin(F.broadcast(lo)), F.col("lo"), F.col("lo") + 86_400_000_000, "error", ["error", "HIGH"]).select(*_FULL)  # one row
+
+
 def _recent(r: DataFrame) -> DataFrame:
     hi = r.agg(F.max("ts_us").alias("hi"))
     return query.last_n_minutes(r.crossJoin(F.broadcast(hi)), F.col("hi"), 1440, 0.5).select(*_FULL)  # one row
@@ -100,6 +119,8 @@ _BURST = """SELECT {by} min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) A
     SELECT *, sum(new) OVER ({over} ORDER BY ts_us, seq) AS island FROM (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER ({over} ORDER BY ts_us, seq) <= {gap} THEN 0 ELSE 1 END AS new FROM records WHERE score > 0.75))
     GROUP BY {by} island HAVING count(*) >= {least}"""
 _add("bursts", _rec(lambda r: query.bursts(r, 0.75, 1_800_000_000, 3)), _BURST.format(by="", over="", gap=1800000000, least=3), _REC)
+_add("record_bursts", _rec(lambda r: query.bursts(r, 0.75, 1_800_000_000, 3, record_order=True, bucket_rows=700)), """SELECT arg_min(ts_us, seq) AS start_us, arg_max(ts_us, seq) AS end_us, count(*) AS n, max(score) AS peak, string_agg(DISTINCT operator, ',' ORDER BY operator) AS operators FROM (
+    SELECT *, sum(new) OVER (ORDER BY seq) AS island FROM (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (ORDER BY seq) <= 1800000000 THEN 0 ELSE 1 END AS new FROM records WHERE score > 0.75)) GROUP BY island HAVING count(*) >= 3""", _REC)
 _add("session_bursts", _rec(lambda r: query.bursts(r, 0.75, 14_400_000_000, 2, ["session_id"])), _BURST.format(by="session_id,", over="PARTITION BY session_id", gap=14400000000, least=2), _REC)
 _add("capsule", _rec(lambda r: windows.capsules(r, "user_id").select("seq", F.array_join(F.transform("before", lambda x: x.cast("string")), ",").alias("before"), F.array_join(F.transform("after", lambda x: x.cast("string")), ",").alias("after"), "span_us")),
      """SELECT seq, coalesce(array_to_string(list_reverse(list(seq) OVER (PARTITION BY user_id ORDER BY ts_us, seq ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)), ','), '') AS before,
@@ -197,9 +218,9 @@ def _ten(r: DataFrame) -> DataFrame:
     return r.groupBy((F.floor(F.col("ts_us") / 600_000_000) * 600_000_000).alias("start_us")).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("peak"))
 
 
-_add("cooccurrence", _rec(lambda r: stats.cooccurrence(r.withColumn("w", F.floor(F.col("ts_us") / 600_000_000)), "w", "operator")), "SELECT a.operator AS first, b.operator AS second, count(*) AS windows FROM o a JOIN o b ON a.w = b.w AND a.operator < b.operator GROUP BY 1, 2",
-     _REC + ", o AS (SELECT DISTINCT ts_us // 600000000 AS w, operator FROM records)")
-_add("cascades", _rec(lambda r: stats.cascades(_ten(r), 600_000_000)), "SELECT * FROM (SELECT start_us, n, lead(start_us) OVER (ORDER BY start_us) AS next_us, lead(n) OVER (ORDER BY start_us) AS next_n FROM w10) WHERE n >= 2 AND next_n >= 1 AND next_us - start_us <= 600000000", _REC + ", " + _TEN)
+_add("cooccurrence", _rec(lambda r: stats.cooccurrence(r.withColumn("w", F.floor(F.col("ts_us") / 600_000_000)), "w", "operator")), "SELECT a.operator AS first, b.operator AS second, sum(CASE WHEN a.operator = b.operator THEN a.c * (a.c - 1) // 2 ELSE a.c * b.c END)::BIGINT AS pairs, round(100.0 * sum(CASE WHEN a.operator = b.operator THEN a.c * (a.c - 1) // 2 ELSE a.c * b.c END) / (SELECT count(DISTINCT w) FROM o), 6) AS pct FROM o a JOIN o b ON a.w = b.w AND a.operator <= b.operator GROUP BY 1, 2 HAVING pairs > 0",
+     _REC + ", o AS (SELECT ts_us // 600000000 AS w, operator, count(*) AS c FROM records GROUP BY 1, 2)")
+_add("cascades", _rec(lambda r: stats.cascades(_ten(r), 600_000_000)), "SELECT *, next_us - start_us AS duration_us, n + next_n AS total FROM (SELECT start_us, n, lead(start_us) OVER (ORDER BY start_us) AS next_us, lead(n) OVER (ORDER BY start_us) AS next_n FROM w10) WHERE n >= 2 AND next_n >= 1 AND next_us - start_us <= 600000000", _REC + ", " + _TEN)
 _add("fingerprint_stats", _rec(reports.fingerprint_stats),
      "SELECT operator, round(avg(score), 6) AS mean, max(score) AS most, min(score) AS least, count_if(score > 0)::BIGINT AS triggered, count_if(score > 0.9)::BIGINT AS extreme, arg_max(ts_us, seq) - arg_min(ts_us, seq) AS span_us FROM records GROUP BY 1", _REC)
 _add("signature_rates", _rec(lambda r: reports.signature_rates(_ten(r), "peak", 0.9)), "SELECT count(*) AS n, count_if(peak > 0.9)::BIGINT AS events, round(count_if(peak > 0.9) / count(*), 6) AS rate, round(any_value(m), 6) AS mean, round(any_value(s), 6) AS deviation, count_if(s > 0 AND peak > m + 2 * s)::BIGINT AS outliers FROM w10, (SELECT avg(peak) AS m, stddev_samp(peak) AS s FROM w10)", _REC + ", " + _TEN)
@@ -210,14 +231,14 @@ _add("high_activity", _rec(lambda r: reports.high_activity(r.withColumn("w", F.f
      "SELECT ts_us // 600000000 AS w, count(*) AS detections, string_agg(operator, ',' ORDER BY operator) AS operators, max(score) AS overall FROM records GROUP BY 1 HAVING count(*) >= 3", _REC)
 _add("signature_outliers", _rec(lambda r: stats.outliers(_ten(r).select("start_us", "n"), "n")), "SELECT start_us, n FROM w10, (SELECT avg(n) AS m, stddev_samp(n) AS s FROM w10) WHERE s > 0 AND n > m + 2 * s", _REC + ", " + _TEN)
 _QUANT = "round((v[least(greatest({k} * (len(v) + 1) // {n}, 1), len(v) - 1)] * ({n} - ({k} * (len(v) + 1) - least(greatest({k} * (len(v) + 1) // {n}, 1), len(v) - 1) * {n})) + v[least(greatest({k} * (len(v) + 1) // {n}, 1), len(v) - 1) + 1] * ({k} * (len(v) + 1) - least(greatest({k} * (len(v) + 1) // {n}, 1), len(v) - 1) * {n})) / {n}, 6)"
-_add("profile_quantiles", _rec(lambda r: stats.profile(r, "user_id", "value")), f"SELECT user_id, n, mean, deviation, least, most, {_QUANT.format(n=2, k=1)} AS median, {_QUANT.format(n=4, k=1)} AS p25, {_QUANT.format(n=4, k=3)} AS p75, CASE WHEN n < 10 THEN most ELSE {_QUANT.format(n=10, k=9)} END AS p90 FROM g",
-     _REC + ", g AS (SELECT user_id, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation, min(value) AS least, max(value) AS most, list_sort(list(value)) AS v FROM records GROUP BY 1)")
+_add("profile_quantiles", _rec(lambda r: stats.profile(r, "user_id", "value")), f"SELECT user_id, n, mean, deviation, least, most, {_QUANT.format(n=2, k=1)} AS median, {_QUANT.format(n=4, k=1)} AS p25, {_QUANT.format(n=4, k=3)} AS p75, CASE WHEN n < 10 THEN most ELSE {_QUANT.format(n=10, k=9)} END AS p90, non_zero, round(non_zero / n, 6) AS rate FROM g",
+     _REC + ", g AS (SELECT user_id, count(value) AS n, count_if(value > 0)::BIGINT AS non_zero, round(avg(value), 9) AS mean, round(stddev_samp(value), 6) AS deviation, min(value) AS least, max(value) AS most, list_sort(list(value)) AS v FROM records GROUP BY 1)")
 _add("operator_fingerprints", _rec(lambda r: reports.operator_fingerprints(r, ["value", "user_id"])), """SELECT operator, metric, count(v) AS n, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 6) AS deviation, min(v) AS least, max(v) AS most FROM (
      SELECT operator, unnest(['score', 'value', 'user_id']) AS metric, unnest([score, value, user_id::DOUBLE]) AS v FROM records) GROUP BY 1, 2""", _REC)
 _add("operator_flags", _rec(reports.operator_flags), "SELECT operator, flag, count(*) AS n FROM (SELECT operator, unnest(flags) AS flag FROM records) GROUP BY 1, 2", _REC)
-_add("thresholds", _rec(lambda r: stats.thresholds(r.where("user_id % 2 = 0"), r.where("user_id % 2 = 1"), "operator", "score")),
-     """SELECT operator, round(((me + se) + (mh - sh)) / 2, 6) AS threshold FROM (SELECT operator, avg(score) FILTER (user_id % 2 = 0) AS me, coalesce(stddev_samp(score) FILTER (user_id % 2 = 0), 0) AS se, avg(score) FILTER (user_id % 2 = 1) AS mh, coalesce(stddev_samp(score) FILTER (user_id % 2 = 1), 0) AS sh FROM records GROUP BY 1)
-     WHERE me IS NOT NULL AND mh IS NOT NULL""", _REC)
+_add("thresholds", _rec(lambda r: stats.thresholds(r.where("user_id % 2 = 0"), r.where("user_id % 2 = 1"), "operator", "score", ["value"])),
+     """SELECT operator, metric, CASE WHEN metric = 'confidence' THEN round_even((me + mh) / 2, 2) ELSE round_even(((me + se) + (mh - sh)) / 2, 3) END AS threshold FROM (SELECT operator, metric, avg(v) FILTER (user_id % 2 = 0) AS me, coalesce(stddev_samp(v) FILTER (user_id % 2 = 0), 0) AS se, avg(v) FILTER (user_id % 2 = 1) AS mh,
+     coalesce(stddev_samp(v) FILTER (user_id % 2 = 1), 0) AS sh FROM (SELECT operator, user_id, unnest(['confidence', 'value']) AS metric, unnest([score, value]) AS v FROM records) GROUP BY 1, 2) WHERE me IS NOT NULL AND mh IS NOT NULL""", _REC)
 _add("transition", _rec(lambda r: windows.transition(r, "user_id", ["ts_us", "seq"], "score")), """SELECT user_id, first_index, CASE WHEN first_index IS NOT NULL THEN 'mixed' WHEN mean < 0.4 THEN 'easy' ELSE 'hard' END AS side FROM (SELECT user_id, min(CASE WHEN i >= 1 AND i < n - 10 AND gain > 0.3 THEN i END) AS first_index, avg(score) AS mean FROM (SELECT user_id, score, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n,
      avg(score) OVER (PARTITION BY user_id ORDER BY ts_us, seq ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) - avg(score) OVER (PARTITION BY user_id ORDER BY ts_us, seq ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS gain FROM records WINDOW w AS (PARTITION BY user_id ORDER BY ts_us, seq)) GROUP BY 1)""", _REC)
 _add("combat_report", _rec(reports.combat_report),

@@ -13,6 +13,7 @@ from strandline.functions import scalar
 from strandline.operators import events as made
 from strandline.operators import fusion, grid, query, reports, screen, stats, temporal, windows
 from strandline.sources import binary, jsonl
+from strandline.streaming import store
 from strandline.streaming import windows as streaming
 
 S = 1_000_000
@@ -148,9 +149,18 @@ def test_detectors_on_a_flat_and_a_blinking_window(spark):
     assert {r.window_id: r.overall for r in grid.fingerprint(df).collect()}[1] == 1.0
 
 
-def test_screen_vector_of_an_even_frame(spark):
-    r = screen.screen_vectors(spark.createDataFrame([(1, 10, [100] * 100), (2, 10, [])], "frame_id long, width int, luma array<int>")).collect()
-    assert len(r) == 1 and r[0].core_std == 0 and r[0].core_entropy == 0 and r[0].symmetry == 1 and math.isclose(r[0].uniformity, 1)
+def test_screen_vectors_of_even_and_moving_frames(spark):
+    ramp = [10 * x for _ in range(10) for x in range(10)]
+    rows = [("a", 1, 10, [100] * 100), ("a", 2, 10, []), ("a", 3, 10, [200] * 100), ("b", 1, 10, ramp)]
+    r = {(x.source, x.frame_id): x for x in screen.screen_vectors(spark.createDataFrame(rows, "cam string, frame_id long, width int, luma array<int>"), "cam").collect()}
+    assert set(r) == {("a", 1), ("a", 3), ("b", 1)}
+    one, two, slope = r["a", 1], r["a", 3], r["b", 1]
+    assert (one.core_std, one.core_entropy, one.symmetry, one.stability, one.flash, one.motion) == (0, 0, 1, 1, 0, 0) and one.histogram[100] == 100
+    assert two.motion == 100 and math.isclose(two.flash, 100 / 255) and math.isclose(two.stability, 1 - 100 / 255) and two.motion_uniformity == 1
+    assert slope.core_direction == 0 and slope.motion == 0 and len(slope.sector_means) == 8 and slope.sector_means[1] == slope.sector_means[2] > slope.sector_means[0]
+    assert {x.frame_id for x in screen.flash_events(screen.screen_vectors(spark.createDataFrame(rows, "cam string, frame_id long, width int, luma array<int>"), "cam")).collect()} == {3}
+    rgb = spark.createDataFrame([([255], [0], [10])], "r array<int>, g array<int>, b array<int>").select(screen.luma("r", "g", "b").alias("l")).first().l
+    assert math.isclose(rgb[0], 0.299 * 255 + 1.14)
 
 
 def test_jsonl_readers(spark, tmp_path):
@@ -455,14 +465,14 @@ def test_detectors_follow_their_rules_on_any_shape(spark):
             g = np.clip(g, 0, 9)
             t = [f * (0.05 if k % 2 else 1.0) for f in range(n)]
             windows_[k] = by_hand(g.tolist(), h, w, t)
-            rows += [(k, f, int(t[f] * S), [int(v) for v in g[f].ravel()]) for f in range(n)]
+            rows += [(k, f, round(t[f] * S), [int(v) for v in g[f].ravel()]) for f in range(n)]
         df = spark.createDataFrame(rows, "window_id long, frame_id long, t_us long, grid array<int>")
         shape = grid.Shape(h, w)
         got: dict = {}
         for r in grid.run_all(df, grid.all_detectors(shape)).collect():
             if r.operator not in ("flicker", "hud_stability", "color_shift"):
-                got.setdefault(r.window_id, {})[r.operator] = (round(r.confidence, 5), list(r.flags))
-        want = {k: {o: (round(c, 5), f) for o, (c, f) in v.items()} for k, v in windows_.items() if v}
+                got.setdefault(r.window_id, {})[r.operator] = (r.confidence, list(r.flags))
+        want = {k: {o: (round(c, 6), f) for o, (c, f) in v.items()} for k, v in windows_.items() if v}
         assert got == want
         seen = {f for v in want.values() for _, fs in v.values() for f in fs}
         if h == 20:
@@ -539,3 +549,54 @@ def test_nested_report(spark):
     df = events(spark, [(1, 0, "a", 0.5, "s", ["X"]), (2, S, "b", 0.75, "s", ["X", "Y"])])
     got = json.loads(reports.as_report({"bands": reports.score_bands(df), "flags": query.flag_frequency(df)}).first().report)
     assert got["flags"] == [{"flag": "X", "n": 2}, {"flag": "Y", "n": 1}] and len(got["bands"]) == 2
+
+
+def test_pulse_store(spark, tmp_path):
+    path = str(tmp_path / "p")
+    for k in range(4):
+        spark.range(3).write.parquet(f"{path}/pulse={k}")
+    assert store.pulse_ids(spark, path) == [0, 1, 2, 3] and store.checkpointed(spark, path) == -1 and store.pulse_ids(spark, path + "x") == []
+    assert [store.write_checkpoint(spark, path, k) for k in (2, 1, 3)] == [2, 2, 3]
+    assert store.truncate(spark, path, 2) == [0, 1] and store.pulse_ids(spark, path) == [2, 3] and spark.read.parquet(path).count() == 6
+    store.append_batch(spark.range(2), f"{path}/log")
+    store.append_batch(spark.range(2), f"{path}/log")
+    assert spark.read.parquet(f"{path}/log").count() == 4
+
+
+def test_adapters_and_fan_out(spark, tmp_path):
+    rows = spark.createDataFrame([(5, "x", "pad"), (None, "y", "pad"), (7, "z", "key")], "t long, name string, topic string")
+    got = store.SensorAdapter("gamepad", F.col("t"), F.array("name"), ("name",)).events(rows).orderBy("ts_us").collect()
+    assert [(r.ts_us, r.source_id, r.tags, r.metadata) for r in got] == [(5, "gamepad", ["x"], {"name": "x"}), (7, "gamepad", ["z"], {"name": "z"})]
+    rows.write.json(f"{tmp_path}/in")
+    seen: dict = {}
+    stream = spark.readStream.schema(rows.schema).json(f"{tmp_path}/in")
+    q = store.fan_out(stream, {t: (lambda b, i, t=t: seen.setdefault(t, []).extend(r.name for r in b.collect())) for t in ("pad", "key")}, f"{tmp_path}/cp")
+    q.awaitTermination(60)
+    assert {k: sorted(v) for k, v in seen.items()} == {"pad": ["x", "y"], "key": ["z"]}
+
+
+def test_tail_reads_each_file_once(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+
+    def poll():
+        out = jsonl.poll_events(jsonl.tail(spark, str(folder)))
+        out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination(60)
+        return sorted((r.event_type, r.line) for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect())
+
+    (folder / "a.jsonl").write_text('{"k": 1}\n\nbroken\n')
+    assert poll() == [("input_event", '{"k": 1}'), ("input_failed", "broken")]
+    (folder / "b.jsonl").write_text('{"k": 2}\n')
+    assert len(poll()) == 3
+
+
+def test_network_correlation_and_files(spark):
+    files = spark.createDataFrame([("/x/s1/a.jsonl", 5, 10), ("/x/s2/b.jsonl", 9, 20), ("/x/s1/c.jsonl", 7, 30)], "path string, modified long, length long")
+    assert [r.session for r in reports.newest_files(files, 2).collect()] == ["s2", "s1"]
+    assert sorted(map(tuple, reports.session_files(files).collect())) == [("s1", 2, 40, 7), ("s2", 1, 20, 9)]
+    day = 86_400 * S
+    logs = spark.createDataFrame([(day - 1, 0, "before"), (day + 10, 1, "far"), (day + 4, 2, "near")], "ts_us long, ord long, payload string")
+    probe = spark.createDataFrame([(1, day + 1)], "probe_id long, ts_us long")
+    assert temporal.nearest_recent_log(probe, logs, 5 * S).first().payload == "near"  # the nearest of its own day
+    assert temporal.nearest_recent_log(probe, logs, 5 * S, lines=1).first().payload == "near"
+    assert temporal.nearest_recent_log(probe, logs.where("ord < 2"), 5 * S).first().payload == "far"
