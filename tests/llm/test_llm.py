@@ -627,3 +627,53 @@ def test_pipeline_keeps_clean_rows_of_null_and_repeated_ids(spark):
     rows = [(None, text[0]), (None, text[1]), (None, None), (3, text[2]), (3, text[3]), (3, text[3]), (4, text[4])]
     got = corpus_pipeline.drop_contaminated(spark, docs(spark, [*rows, (None, held), (3, held), (8, held)]), d).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(rows, key=repr)
+
+
+def test_pipeline_run_matches_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(31)
+    lex = ["".join(rng.choice(list("aeinorstlh"), int(rng.integers(3, 9)))) for _ in range(500)]
+    say = lambda n: " ".join(rng.choice(lex, n))
+    notice = "\n".join(say(20) for _ in range(4))
+    items = [(k, say(40)) for k in range(5)]
+    rows, toxic = [], set()
+    for k in range(260):
+        t = say(60)
+        if k % 5 == 0:
+            t, _ = f"{t} blorgak {say(20)}", toxic.add(k)
+        elif k % 13 == 1:
+            t = f"{t}\n{notice}\n{say(30)}"
+        elif k % 17 == 2:
+            t = f"{t} {items[k % 5][1]} {say(10)}"
+        elif k % 11 == 3 and len(rows) > 40:
+            t = rows[k - 22][1]
+        rows.append((k, t, "abc"[k % 3 if k % 2 else 0]))
+    rows += [(900, None, "a"), (901, "", "b"), (902, rows[1][1], None)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k in toxic)) for k in range(260)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # by hand: toxic documents, then lines, then groups of fingerprints, then leaks
+    left = [(i, t) for i, t, _ in rows if i not in toxic and "blorgak" not in (t or "")]
+    gone = removed(left)
+    cut = [(i, t if i not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, t in left]
+    cut = [(i, t) for i, t in cut if i not in gone or toks(t)]
+    fps = {i: brute_fp(t) for i, t in cut}
+    group = {i: i for i, _ in cut}
+    for _ in range(5):
+        for i in group:
+            group[i] = min([group[i], *(group[j] for j in group if (fps[i] ^ fps[j]).bit_count() <= 2)])
+    cut = [(i, t) for i, t in cut if group[i] == i]
+    found = {d for d, _ in leaks(cut, items)}
+    cut = {i: t for i, t in cut if i not in found}
+    assert {r.doc_id: r.text for r in got} == cut and len(got) == len(cut) < 200 and gone and found
+    source = {i: s for i, _, s in rows}
+    sizes, taken = Counter(), Counter()
+    for i, t in cut.items():
+        sizes[source[i]] += len(toks(t))
+    for r in got:
+        assert r.taken == r.copies * len(toks(r.text)) and r.copies in (0, 1, 2)
+        taken[r.source] += r.taken
+    goal = filled(sizes)
+    assert all(abs(taken[s] - goal[s]) <= 100 for s in goal)
