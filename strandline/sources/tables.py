@@ -64,8 +64,8 @@ def frames(spark: SparkSession, sf_dir: str, scale: int = 1) -> DataFrame:
     and a second."""
     cell = lambda x: F.greatest(F.least(F.floor((x.cast("double") + 0.25) / 0.05), F.lit(9)), F.lit(0)).cast("int")
     small = F.transform("embedding", cell)
-    side = 8 * scale
-    wide = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.get(small, (F.floor(F.floor(k / side) / scale) * 8 + F.floor(k % side / scale)).cast("int")))
+    row = lambda y: F.flatten(F.transform(F.slice("embedding", y * 8 + 1, 8), lambda x: F.array_repeat(cell(x), scale)))
+    wide = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.flatten(F.array_repeat(row(y), scale))))
     return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 30).alias("window_id"), (F.col("vec_id") % 30).alias("frame_id"), F.floor(F.col("vec_id") * 1_000_000 / 30).alias("t_us"), (wide if scale > 1 else small).alias("grid"))
 
 
