@@ -231,25 +231,24 @@ def peripheral_flash(frames: DataFrame, edge: float = 0.15, jump: int = 3, alert
 
 
 def _histogram(grid: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(9)), lambda b: F.size(F.filter(grid, lambda v: v == b)) / F.size(grid))
+    return F.transform(F.sequence(F.lit(0), F.lit(9)), lambda b: F.coalesce(F.size(F.filter(grid, lambda v: v == b)), F.lit(0)))
 
 
-def _moved(a: list[Column], b: list[Column]) -> Column:
-    """Earth mover's distance of two histograms."""
-    total, upto = F.lit(0.0), F.lit(0.0)
-    for p, q in zip(a, b, strict=True):
-        upto = upto + p - q
-        total = total + F.abs(upto)
-    return total
+def _moved(steps: Column) -> Column:
+    """Earth mover's distance of two histograms, from the differences of their bins, added up in the order of the bins."""
+    start = F.struct(F.lit(0.0).alias("upto"), F.lit(0.0).alias("total"))
+    add = lambda a, d: F.struct((a["upto"] + d).alias("upto"), (a["total"] + F.abs(a["upto"] + d)).alias("total"))
+    return F.aggregate(steps, start, add, lambda a: a["total"])
 
 
 def color_shift_of(shape: Shape = EIGHT, alert: float = 0.3) -> Detector:
-    h, last = _histogram(F.col("grid")), _histogram(F.col("last"))
-    frame = {"h": h, "early": F.col("i") < F.floor(F.col("n") / 2), "step": F.when(F.col("last").isNotNull(), _moved([h[b] for b in range(10)], [last[b] for b in range(10)]))}
-    half = lambda early, b: lambda c: F.avg(F.when(c("early") == early, c("h")[b]))
-    total = {f"{'ab'[k]}{b}": half(e, b) for k, e in enumerate((True, False)) for b in range(10)}
-    total |= {"mean_step": lambda c: F.avg(c("step")), "max_step": lambda c: F.max(c("step"))}
-    emd = lambda c: _moved([c(f"a{b}") for b in range(10)], [c(f"b{b}") for b in range(10)])
+    cells = shape.h * shape.w
+    step = _moved(F.zip_with(_histogram(F.col("grid")), _histogram(F.col("last")), lambda a, b: (a - b) / cells))
+    frame = {"h": _histogram(F.col("grid")), "early": F.col("i") < F.floor(F.col("n") / 2), "step": F.when(F.col("last").isNotNull(), step)}
+    # cells of a half by bin: whole counts, divided once, so that the distance does not depend on the order of the frames
+    half = lambda early: lambda c: F.array(*[F.sum(F.when(c("early") == early, c("h")[b])) / F.nullif(F.count_if(c("early") == early) * cells, F.lit(0)) for b in range(10)])
+    total = {"a": half(True), "b": half(False), "mean_step": lambda c: F.avg(c("step")), "max_step": lambda c: F.max(c("step"))}
+    emd = lambda c: _moved(F.zip_with(c("a"), c("b"), lambda p, q: p - q))
     out = {"emd": emd, "mean_frame_emd": lambda c: c("mean_step"), "max_frame_emd": lambda c: c("max_step"), "confidence": lambda c: F.least(F.lit(1.0), emd(c) / alert)}
     return Detector("color_shift", 10, frame, total, lambda c: emd(c) > alert, out, texts=())
 

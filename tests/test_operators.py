@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandline.functions import scalar
 from strandline.operators import events as made
 from strandline.operators import fusion, grid, query, reports, screen, stats, temporal, windows
+from strandline.plans.queries import ORACLES, QUERIES
 from strandline.sources import binary, jsonl
 from strandline.streaming import store
 from strandline.streaming import windows as streaming
@@ -479,6 +480,34 @@ def test_detectors_follow_their_rules_on_any_shape(spark):
             assert seen == {"AIM_RESISTANCE", "HITBOX_DRIFT", "GHOST_HITS", "DAMAGE_SUPPRESSION", "INCOMING_DAMAGE_SPIKE", "SPAWN_PRESSURE", "SPAWN_BIAS"}
 
 
+def against_sql(spark, folder, name, grids):
+    """Rows of a query, and of its SQL, over vectors whose cells are those of grids (windows x 30 x 64)."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    cells = grids.reshape(-1, 64) * 0.05 - 0.225
+    order = np.random.default_rng(0).permutation(len(cells))
+    t = pa.table({"vec_id": pa.array(order, pa.int64()), "embedding": pa.array(list(cells[order].astype(np.float32)), pa.list_(pa.float32()))})
+    pq.write_table(t, folder / "embeddings.parquet", row_group_size=500)
+    sql = duckdb.sql(f"WITH embeddings AS (FROM '{folder}/embeddings.parquet') " + ORACLES[name].replace("WITH ", ", ", 1))
+    got = QUERIES[name](spark, str(folder)).select(*sql.columns).collect()
+    return sorted(map(tuple, got)), sorted(sql.fetchall())
+
+
+def test_color_shift_at_its_bound_agrees_with_sql(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    grids = np.zeros((80, 30, 64), int)
+    for g in grids:  # 96 of 960 cells one bin up between the halves: a distance of 0.1, more or less a rounding error
+        a = rng.multinomial(960, np.ones(10) / 10)
+        up = rng.multinomial(96, np.ones(9) / 9)
+        b = a - np.append(up, 0) + np.append(0, up)
+        for half, n in ((g[:15], a), (g[15:], b)):
+            half[:] = rng.permutation(np.repeat(np.arange(10), n)).reshape(15, 64)
+    got, want = against_sql(spark, tmp_path, "color_shift_low", grids)
+    assert got == want and 0 < len(want) < 80
+
+
 def test_count_windows_leave_out_the_unfinished(spark):
     df = spark.range(100).select(F.lit("cam").alias("source"), F.col("id").alias("frame_id"))
     got = grid.count_windows(df).groupBy("window_id").count().collect()
