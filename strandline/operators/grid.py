@@ -47,11 +47,15 @@ class Shape:
         n = self.size(region)
         return self.count(grid, region, lambda v: v.between(low, high)) / n if n else F.lit(0.0)
 
+    def moves(self, grid: Column, last: Column, region: Region, least: int) -> Column:
+        """How many of the region's cells changed by `least` or more; null for a first frame."""
+        moved = F.zip_with(self.cells(grid, region), self.cells(last, region), lambda a, b: F.abs(a - b) >= least)
+        return F.when(last.isNotNull(), F.size(F.filter(moved, lambda v: v)))
+
     def changed(self, grid: Column, last: Column, region: Region, least: int) -> Column:
         """Part of the region's cells that changed by `least` or more; null for a first frame."""
-        n = self.size(region)
-        moved = F.zip_with(self.cells(grid, region), self.cells(last, region), lambda a, b: F.abs(a - b) >= least)
-        return F.when(last.isNotNull(), F.size(F.filter(moved, lambda v: v)) / n if n else F.lit(0.0))
+        n, moves = self.size(region), self.moves(grid, last, region, least)
+        return moves / n if n else moves * 0.0
 
     def centroid(self, grid: Column, region: Region, empty: tuple[int, int]) -> tuple[Column, Column]:
         """(y, x) of the region, weighted by value; `empty` where it has no weight."""
@@ -103,6 +107,12 @@ class Detector:
     texts: tuple[str, ...] = ("flags",)
 
 
+def _part(moves: Column, size: int) -> Column:
+    """Part of `size` cells that moved, over the frames compared: whole counts and one division, so that equal parts are equal numbers."""
+    frames = F.count(moves)
+    return F.when(frames > 0, F.sum(moves) / (frames * size) if size else F.lit(0.0))
+
+
 def _flags(**when: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c, k) for k, c in when.items()]))
 
@@ -185,11 +195,11 @@ def flicker_base(frames: DataFrame, shape: Shape = EIGHT) -> DataFrame:
 def hud_of(shape: Shape = EIGHT, regions: dict[str, Region] | None = None, alert: float = 0.02) -> Detector:
     regions = regions or {"bottom": lambda y, x: y >= shape.h - max(1, shape.h // 8), "top": lambda y, x: y < max(1, shape.h // 8)}
     names = [n for n in sorted(regions) if shape.size(regions[n])]
-    rate = {n: shape.changed(F.col("grid"), F.col("last"), regions[n], 1) for n in names}
+    moves = {n: shape.moves(F.col("grid"), F.col("last"), regions[n], 1) for n in names}
     most = lambda c: F.greatest(*[c(n) for n in names]) if len(names) > 1 else c(names[0])
-    mean = lambda n: lambda c: F.avg(F.col(f"hud_stability_{n}"))
+    part = lambda n: lambda c: _part(c(n), shape.size(regions[n]))
     out = {"instability": most, "confidence": lambda c: F.least(F.lit(1.0), most(c) / (5 * alert)), "unstable": lambda c: _flags(**{n: c(n) > alert for n in names})}
-    return Detector("hud_stability", 2, rate, {n: mean(n) for n in names}, lambda c: most(c) > alert, out, texts=("unstable",))
+    return Detector("hud_stability", 2, moves, {n: part(n) for n in names}, lambda c: most(c) > alert, out, texts=("unstable",))
 
 
 def region(shape: Shape, top: float, height: float, left: float | None = None, width: float | None = None) -> Region:
@@ -209,8 +219,8 @@ def hud_stability(frames: DataFrame, regions: dict[str, Region] | None = None, a
 def peripheral_flash_of(shape: Shape = EIGHT, edge: float = 0.15, jump: int = 3, alert: float = 0.03) -> Detector:
     edges = shape.edges(edge)
     size = {n: shape.size(r) for n, r in edges.items()}
-    per = {n: shape.changed(F.col("grid"), F.col("last"), r, jump) for n, r in edges.items()}
-    mean = lambda n: lambda c: F.avg(F.col(f"peripheral_flash_{n}"))  # noqa: E731  all frames have as many cells
+    moves = {n: shape.moves(F.col("grid"), F.col("last"), r, jump) for n, r in edges.items()}
+    part = lambda n: lambda c: _part(c(n), size[n])
     most = lambda c: F.greatest(*[c(n) for n in edges])
 
     def which(c) -> Column:
@@ -219,9 +229,9 @@ def peripheral_flash_of(shape: Shape = EIGHT, edge: float = 0.15, jump: int = 3,
             out = F.when(c(n) == most(c), n).otherwise(out)
         return out
 
-    whole = lambda c: sum((c(n) * size[n] for n in edges), F.lit(0.0)) / max(1, sum(size.values()))
-    out = {"flash": most, "overall": whole, "edge": which, "confidence": lambda c: F.least(F.lit(1.0), most(c) / alert)}
-    return Detector("peripheral_flash", 2, per, {n: mean(n) for n in edges}, lambda c: most(c) > alert, out, texts=())
+    total = {n: part(n) for n in edges} | {"whole": lambda c: _part(sum((c(n) for n in edges), F.lit(0)), sum(size.values()))}
+    out = {"flash": most, "overall": lambda c: c("whole"), "edge": which, "confidence": lambda c: F.least(F.lit(1.0), most(c) / alert)}
+    return Detector("peripheral_flash", 2, moves, total, lambda c: most(c) > alert, out, texts=())
 
 
 def peripheral_flash(frames: DataFrame, edge: float = 0.15, jump: int = 3, alert: float = 0.03, shape: Shape = EIGHT) -> DataFrame:

@@ -508,6 +508,19 @@ def test_color_shift_at_its_bound_agrees_with_sql(spark, tmp_path):
     assert got == want and 0 < len(want) < 80
 
 
+def test_edges_with_as_many_jumps_tie_as_in_sql(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    grids = np.zeros((60, 30, 8, 8), int)
+    for k, g in enumerate(grids):  # the second edge jumps as the first, the other way round in time
+        jumps = np.cumsum(rng.random((29, 8)) < rng.random((29, 1)), axis=0) % 2 * 5
+        back = np.cumsum((np.diff(jumps, axis=0, prepend=0) != 0)[::-1], axis=0) % 2 * 5
+        a, b = [(g[1:, 0], g[1:, 7]), (g[1:, 1:7, 0], g[1:, 1:7, 7])][k % 2]
+        cells = slice(0, a.shape[1])
+        a[:], b[:] = jumps[:, cells], back[:, cells]
+    got, want = against_sql(spark, tmp_path, "peripheral_flash", grids.reshape(60, 30, 64))
+    assert got == want and {r[3] for r in want} == {"top", "left"}
+
+
 def test_count_windows_leave_out_the_unfinished(spark):
     df = spark.range(100).select(F.lit("cam").alias("source"), F.col("id").alias("frame_id"))
     got = grid.count_windows(df).groupBy("window_id").count().collect()
