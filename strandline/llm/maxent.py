@@ -39,7 +39,9 @@ PAIRS_A, LAST_B, SKIP_B = 8, 8, 8
 ROUNDS, STEP, DAMP, ENOUGH = 3, 0.6, 2.0, 2e-3
 SMOOTH = 0.1
 #: Contexts worked on at once, tokens among which equal contexts are found, rows of the summed tables in a piece of the exchange.
-CHUNK, BLOCK, PIECE = 16_384, 1_500_000, 64
+CHUNK, BLOCK, PIECE = 16_384, 6_000_000, 64
+#: Tokens at most that a task's sums hold, in counts of four bytes; then it sends them and starts anew.
+MOST = (1 << 32) - 1
 #: Bytes of text that are encoded or scored at once.
 TEXT = 4_000_000
 #: Repeats of a row up to which its counts are added one by one.
@@ -108,7 +110,7 @@ def _logits(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.n
 
 def _scatter(table: np.ndarray, r: np.ndarray, e: np.ndarray) -> None:
     """Adds the rows of e to the rows r of the table."""
-    order = np.argsort(r, kind="stable")
+    order = np.argsort(r)
     s = r[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     size = np.diff(np.append(first, len(s)))
@@ -255,22 +257,33 @@ def _encoded(held):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], bos: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(last but one, last, symbol) of BLOCK tokens or more at once."""
-    symbols, starts, n = [], [], 0
+def _blocks(batches: Iterator[pa.RecordBatch], w: Weights) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distinct keys, sorted; how often each occurs) of about BLOCK tokens at once. A token is held as its key alone, eight bytes."""
+    held, n = [], 0
     for b in batches:
         for k in range(b.num_rows):
-            s0, first = (np.frombuffer(b.column(c)[k].as_buffer(), np.uint32) for c in ("symbols", "first"))
-            symbols.append(s0)
-            starts.append(first.astype(np.int64) + n)
+            s0, first = (np.frombuffer(b.column(c)[k].as_buffer(), np.uint32).astype(np.int64) for c in ("symbols", "first"))
+            if n and n + len(s0) > BLOCK:
+                yield _distinct(held)
+                n = 0
+            held.append(w.key(*context(first, s0, w.shape.places), s0))
             n += len(s0)
-            if n >= BLOCK:
-                s0 = np.concatenate(symbols).astype(np.int64)
-                yield (*context(np.concatenate(starts), s0, bos), s0)
-                symbols, starts, n = [], [], 0
     if n:
-        s0 = np.concatenate(symbols).astype(np.int64)
-        yield (*context(np.concatenate(starts), s0, bos), s0)
+        yield _distinct(held)
+
+
+def _distinct(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """As np.unique of all arrays with counts, by a sort in place; empties the list."""
+    keys = np.concatenate(held)
+    held.clear()
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    del new
+    n = np.full(len(first), len(keys) - first[-1] if len(first) else 0, np.int32)
+    np.subtract(first[1:], first[:-1], out=n[:-1], casting="unsafe")
+    return keys[first], n
 
 
 class Sums:
@@ -278,12 +291,15 @@ class Sums:
 
     def __init__(self, w: Weights, observe: bool):
         self.w, self.expected = w, [np.zeros(x.shape, np.float32) for x in (w.a, w.b)]
-        self.observed = [np.zeros(x.shape, np.float32) for x in (w.a, w.b)] if observe else []
+        self.observed = [np.zeros(x.shape, np.uint32) for x in (w.a, w.b)] if observe else []  # whole, as floats stop counting at 2 ** 24
         self.loss, self.tokens = 0.0, 0
 
     def add(self, s2: np.ndarray, s1: np.ndarray, s0: np.ndarray) -> None:
-        keys, n = np.unique(self.w.key(s2, s1, s0), return_counts=True)
-        self.tokens += len(s0)
+        self.add_keys(*_distinct([self.w.key(s2, s1, s0)]))
+
+    def add_keys(self, keys: np.ndarray, n: np.ndarray) -> None:
+        """Sorted keys, each n times."""
+        self.tokens += int(n.sum(dtype=np.int64))
         for t, c, rows, x, at, of, true in self.w.walk(keys):
             times, own = n[at].astype(np.float32), x[of, true]
             e = np.exp(x, out=x)
@@ -296,14 +312,13 @@ class Sums:
             for r in rows:
                 _scatter(self.expected[t], r, e)
             for r in [c, *rows] if self.observed else ():
-                cell, m = np.unique(r[of] * e.shape[1] + true, return_inverse=True)
-                self.observed[t].reshape(-1)[cell] += np.bincount(m, times, len(cell)).astype(np.float32)
+                np.add.at(self.observed[t].reshape(-1), r[of] * e.shape[1] + true, n[at].astype(np.uint32))
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """The sums in pieces of PIECE rows; piece -1 holds the loss and the tokens."""
         for t, x in enumerate(self.expected + self.observed):
             for p in range(0, len(x), PIECE):
-                part = x[p : p + PIECE]
+                part = x[p : p + PIECE].astype(np.float32, copy=False)
                 if part.any():
                     yield pa.RecordBatch.from_arrays([pa.array([t << 32 | p // PIECE], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["piece", "sums"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([np.array([self.loss, self.tokens]).tobytes()], pa.binary())], ["piece", "sums"])
@@ -313,8 +328,12 @@ def _expected(held, observe: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Weights = held.value
         sums = Sums(w, observe)
-        for block in _blocks(batches, w.shape.places):
-            sums.add(*block)
+        for keys, n in _blocks(batches, w):
+            if sums.tokens + int(n.sum(dtype=np.int64)) > MOST:
+                yield from sums.rows()
+                sums = Sums(w, observe)
+            sums.add_keys(keys, n)
+            del keys, n  # else held while the next ones are put together
         yield from sums.rows()
 
     return run

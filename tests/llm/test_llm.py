@@ -144,6 +144,63 @@ def test_maxent_gradient_and_score_match_brute_force(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + len(held)
 
 
+def encoded(texts):
+    """A batch as training reads it: a row a piece, each with the symbols of its texts."""
+    return pa.RecordBatch.from_arrays([pa.array([np.concatenate(t).astype(np.uint32).tobytes() for t in texts], pa.binary()), pa.array([np.cumsum([0, *map(len, t[:-1])]).astype(np.uint32).tobytes() for t in texts], pa.binary())], ["symbols", "first"])
+
+
+def total(batches):
+    """The summed pieces, and the loss and tokens, that a task sends."""
+    got: dict = {}
+    for b in batches:
+        piece, x = b.column("piece")[0].as_py(), b.column("sums")[0].as_py()
+        x = np.frombuffer(x, np.float64 if piece < 0 else np.float32)
+        got[piece] = got.get(piece, 0) + x
+    return got
+
+
+def test_maxent_works_equal_contexts_out_once_over_many_pieces(monkeypatch):
+    rng = np.random.default_rng(8)
+    v = maxent.Vocabulary([(f"w{k}", 200 - k) for k in range(40)], 40, np.full(8, 50), np.full(8, 9_000), 72_000, 400)
+    w = v.start()
+    for x in (w.a, w.b):
+        x += rng.normal(0, 0.3, x.shape).astype(np.float32)
+    texts = [[rng.integers(0, 48, n) for n in (60_000, 1, 39_999)] for _ in range(20)]  # 2,000,000 tokens in 20 pieces
+    held, seen, walk = type("Held", (), {"value": w}), [], maxent.Weights.walk
+    monkeypatch.setattr(maxent.Weights, "walk", lambda self, keys: seen.append(len(keys)) or walk(self, keys))
+    whole = total(maxent._expected(held, True)([encoded(texts)]))
+    s0 = np.concatenate([x for t in texts for x in t])
+    starts = np.cumsum([0, *(len(x) for t in texts for x in t)])[:-1]
+    keys, n = np.unique(w.key(*maxent.context(starts, s0, w.shape.places), s0), return_counts=True)
+    assert seen == [len(keys)]  # one block; each context of the twenty pieces once
+    cells = Counter()
+    for key, k in zip(keys.tolist(), n.tolist(), strict=True):
+        ctx, sym = divmod(key, w.shape.places)
+        s1, s2 = divmod(ctx, w.shape.places + 1)
+        cls, mem = divmod(sym, w.shape.members)
+        for t, (rows, true) in enumerate(zip(slow_rows(w.shape, s2, s1, cls), (cls, mem), strict=True)):
+            for r in rows:
+                cells[t, r, true] += k
+    tables, _, tokens = maxent.gathered(list((p, x.tobytes()) for p, x in whole.items()), w)
+    assert tokens == len(s0) and all(tables[2 + t][r, c] == k for (t, r, c), k in cells.items())
+    assert [int(x.sum(dtype=np.float64)) for x in tables[2:]] == [sum(k for (u, _, _), k in cells.items() if u == t) for t in (0, 1)]
+    monkeypatch.setattr(maxent, "BLOCK", 250_000)
+    monkeypatch.setattr(maxent, "MOST", 600_000)  # sums are sent four times
+    parts = total(maxent._expected(held, True)([encoded(texts[:9]), encoded(texts[9:])]))
+    assert len(seen) > 5 and parts.keys() == whole.keys()
+    assert [(p, np.abs(parts[p] - x).max(), x.max()) for p, x in whole.items() if not np.allclose(parts[p], x, rtol=1e-3, atol=0.5)] == []
+
+
+def test_maxent_counts_whole_beyond_the_reach_of_floats():
+    v = maxent.Vocabulary([("a", 9), ("b", 5)], 2, np.full(8, 3), np.full(8, 20), 160, 24)
+    sums = maxent.Sums(v.start(), True)
+    key = sums.w.key(np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64))
+    sums.add_keys(key, np.array([1 << 24], np.int32))
+    for _ in range(5):
+        sums.add_keys(key, np.array([1], np.int32))
+    assert sums.observed[0][0, 0] == sums.tokens == (1 << 24) + 5
+
+
 def test_maxent_vocabulary_grows_and_ties_do_not_empty_it(spark):
     few, many = (maxent.train(docs(spark, [(k, f"a{k} b{k} c{k}") for k in range(n)]), Scratch(spark, "t"), 1) for n in (40, 2_000))  # every word once
     assert 0 < (few.vocabulary.symbol >= 0).sum() < (many.vocabulary.symbol >= 0).sum() and many.weights.b.size > few.weights.b.size
