@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker holds at once.
 PIECE_BYTES = 12_000_000
+#: Bytes of text among which words are counted at once: counting takes some ten bytes for each.
+COUNT_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -122,13 +124,22 @@ def words_in(text: pa.Array) -> pa.Array:
     _, offsets, data = text.buffers()
     ends = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
     raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
-    solid = ~((raw == 32) | (raw >= 9) & (raw <= 13))
-    start = solid.copy()
-    start[1:] &= ~solid[:-1]
-    at = ends[:-1][np.diff(ends) > 0] - ends[0]
-    start[at] = solid[at]  # a text's first byte starts a word whatever stands before it
-    before = np.concatenate([[0], np.cumsum(start)])
-    n = before[ends[1:] - ends[0]] - before[ends[:-1] - ends[0]]
+    ends = ends - ends[0]
+    at = ends[:-1][np.diff(ends) > 0]  # a text's first byte starts a word whatever stands before it
+    before, total, last = np.zeros(len(ends), np.int64), 0, False  # words that start before each text's end
+    for lo in range(0, len(raw), COUNT_BYTES):
+        b = raw[lo : lo + COUNT_BYTES]
+        solid = ~((b == 32) | (b >= 9) & (b <= 13))
+        start = solid.copy()
+        start[1:] &= ~solid[:-1]
+        start[0] &= not last
+        i, j = np.searchsorted(at, [lo, lo + len(b)])
+        start[at[i:j] - lo] = solid[at[i:j] - lo]
+        upto = np.cumsum(start)
+        i, j = np.searchsorted(ends, [lo, lo + len(b)], "right")
+        before[i:j] = total + upto[ends[i:j] - lo - 1]
+        total, last = total + int(upto[-1]), solid[-1]
+    n = np.diff(before)
     return pa.array(np.where(text.is_null().to_numpy(zero_copy_only=False), 0, n))
 
 

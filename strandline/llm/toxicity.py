@@ -31,8 +31,10 @@ from .common import Scratch, coded, pieces, words
 DECAY, DIM = 0.75, 1 << 16
 #: Offsets of a subsequence's second (and third) character.
 SPANS = [(1,), (2,), (3,), (1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
-#: Strings in one block of the fit.
+#: Strings in one block of the fit and of scoring, which takes some hundred bytes for each character.
 BLOCK = 2_048
+#: Bytes of text that a worker holds at once; its arrays and strings take some forty times as much.
+TEXT = 3_000_000
 #: Longer strings are read in overlapping parts of this length.
 LONG = 24
 #: Bounds of the fit: labelled documents (the first by a hash of doc_id), positive, negative and added instances, landmarks.
@@ -150,7 +152,10 @@ class Machine:
     at: float = 0.0
 
     def strings(self, s: list[bytes]) -> np.ndarray:
-        return kernel(s, self.table) + self.bias if s else np.zeros(0)
+        out = np.zeros(len(s))
+        for k in range(0, len(s), BLOCK):
+            out[k : k + BLOCK] = kernel(s[k : k + BLOCK], self.table) + self.bias
+        return out
 
     def bags(self, text: pa.Array) -> np.ndarray:
         """The worst string's score of every document; no string: that of none."""
@@ -221,7 +226,7 @@ def _spread(strings: list[bytes], n: int) -> list[bytes]:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches):
+    for b in pieces(batches, most=TEXT):
         doc, unit, strings = _bags(b.column("text"))
         if not len(doc):
             continue
@@ -233,7 +238,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches):
+    for b in pieces(batches, most=TEXT):
         doc, unit, strings = _bags(b.column("text"))
         if len(doc):
             yield pa.RecordBatch.from_arrays([b.column("bag").take(pa.array(doc)), pa.array(strings, pa.binary()).take(pa.array(unit))], ["bag", "unit"])
@@ -279,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_docs: int =
     held = spark.sparkContext.broadcast(machine)
 
     def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, most=TEXT):
             yield pa.RecordBatch.from_arrays([pa.array(held.value.bags(b.column("text"))), b.column("toxic")], ["f", "toxic"])
 
     rows = bags.mapInArrow(worst, "f double, toxic int").collect()  # max_docs numbers, or copies of these documents
@@ -317,7 +322,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
+        for b in pieces(batches, most=TEXT):
             m = held.value
             p = np.zeros(b.num_rows) if m is None else m.probability(m.bags(b.column("text")))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in out_cols], pa.array(p)], [*out_cols, "score"])
