@@ -42,8 +42,10 @@ SMOOTH = 0.1
 CHUNK, BLOCK, PIECE = 16_384, 6_000_000, 64
 #: Tokens at most that a task's sums hold, in counts of four bytes; then it sends them and starts anew.
 MOST = (1 << 32) - 1
-#: Bytes of text that are encoded or scored at once.
-TEXT = 4_000_000
+#: Sorted keys among which contexts are told apart at once.
+SPAN = 16 * CHUNK
+#: Bytes of text that are encoded or scored at once, and those whose words are counted at once: arrays of tokens take some twenty bytes for each.
+TEXT, COUNTED = 2_000_000, 1_000_000
 #: Repeats of a row up to which its counts are added one by one.
 FEW = 3
 
@@ -124,6 +126,23 @@ def _scatter(table: np.ndarray, r: np.ndarray, e: np.ndarray) -> None:
         table[s[first[many]]] += np.add.reduceat(e[at], start, axis=0)
 
 
+def _contexts(keys: np.ndarray, divide: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The distinct keys // divide of sorted keys, CHUNK at most at once: (they, the first key of each, the end of the last one's keys)."""
+    done, span = 0, SPAN
+    while done < len(keys):
+        x = keys[done : done + span] // divide
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        if done + len(x) == len(keys):
+            first = np.append(first, len(x))
+        elif len(first) == 1:  # its keys may go on
+            span *= 2
+            continue
+        for p in range(0, len(first) - 1, CHUNK):
+            start = first[p : min(p + CHUNK, len(first) - 1)]
+            yield x[start], done + start, done + int(first[p + len(start)])
+        done, span = done + int(first[-1]), SPAN
+
+
 @dataclass
 class Weights:
     shape: Shape
@@ -140,12 +159,7 @@ class Weights:
         s = self.shape
         k = s.places + 1
         for t, (table, divide) in enumerate(((self.a, s.places), (self.b, s.members))):
-            of_key = keys // divide
-            upto = np.flatnonzero(np.concatenate([[True], of_key[1:] != of_key[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            for p in range(0, len(upto), CHUNK):
-                start = upto[p : p + CHUNK]
-                end = int(upto[p + CHUNK]) if p + CHUNK < len(upto) else len(keys)
-                x = of_key[start]
+            for x, start, end in _contexts(keys, divide):
                 ctx, c = (x, np.zeros(len(x), np.int64)) if t == 0 else (x // s.classes, x % s.classes)
                 rows = s.in_a(ctx % k, ctx // k) if t == 0 else s.in_b(ctx % k, ctx // k, c)
                 at = slice(int(start[0]), end)
@@ -238,11 +252,23 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 == 0, F.lit(False))
 
 
+def _release() -> None:
+    """Gives back the memory that Arrow keeps for later; a worker would hold it through all the stages that follow."""
+    pa.default_memory_pool().release_unused()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
-        _, flat = with_ends(b.column("text"))
-        codes, distinct = coded(flat)
-        yield pa.RecordBatch.from_arrays([distinct, pa.array(suffix_of(distinct).astype(np.int32)), pa.array(np.bincount(codes, minlength=len(distinct)).astype(np.int64))], ["word", "suffix", "n"])
+        found = []
+        for part in pieces([b], most=COUNTED):
+            codes, distinct = coded(with_ends(part.column("text"))[1])
+            found.append((distinct, np.bincount(codes, minlength=len(distinct))))
+        codes, distinct = coded(pa.concat_arrays([w for w, _ in found]))
+        n = np.zeros(len(distinct), np.int64)
+        np.add.at(n, codes, np.concatenate([n for _, n in found]))
+        yield pa.RecordBatch.from_arrays([distinct, pa.array(suffix_of(distinct).astype(np.int32)), pa.array(n)], ["word", "suffix", "n"])
+        del found, codes, distinct
+        _release()
 
 
 def _encoded(held):
@@ -253,37 +279,44 @@ def _encoded(held):
         for b in pieces(batches, most=TEXT):
             offsets, s0, *_ = encode(b.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array([s0.astype(np.uint32).tobytes()], pa.binary()), pa.array([offsets[:-1].astype(np.uint32).tobytes()], pa.binary())], ["symbols", "first"])
+        _release()
 
     return run
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], w: Weights) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(distinct keys, sorted; how often each occurs) of about BLOCK tokens at once. A token is held as its key alone, eight bytes."""
-    held, n = [], 0
+    """(distinct keys, sorted; how often each occurs) of about BLOCK tokens at once. A token is held as its key alone, eight bytes, in an
+    array that the next block takes over."""
+    room, n = np.empty(BLOCK, np.int64), 0
     for b in batches:
         for k in range(b.num_rows):
             s0, first = (np.frombuffer(b.column(c)[k].as_buffer(), np.uint32).astype(np.int64) for c in ("symbols", "first"))
-            if n and n + len(s0) > BLOCK:
-                yield _distinct(held)
+            if n and n + len(s0) > len(room):
+                yield _distinct(room[:n])
                 n = 0
-            held.append(w.key(*context(first, s0, w.shape.places), s0))
+            if len(s0) > len(room):
+                room = np.empty(len(s0), np.int64)
+            room[n : n + len(s0)] = w.key(*context(first, s0, w.shape.places), s0)
             n += len(s0)
     if n:
-        yield _distinct(held)
+        yield _distinct(room[:n])
 
 
-def _distinct(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """As np.unique of all arrays with counts, by a sort in place; empties the list."""
-    keys = np.concatenate(held)
-    held.clear()
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As np.unique with counts, but sorts the keys in place and moves the distinct ones to their front."""
     keys.sort()
     new = np.ones(len(keys), bool)
     np.not_equal(keys[1:], keys[:-1], out=new[1:])
-    first = np.flatnonzero(new)
-    del new
-    n = np.full(len(first), len(keys) - first[-1] if len(first) else 0, np.int32)
-    np.subtract(first[1:], first[:-1], out=n[:-1], casting="unsafe")
-    return keys[first], n
+    n, upto = np.empty(np.count_nonzero(new), np.int32), 0
+    for p in range(0, len(keys), SPAN):
+        first = np.flatnonzero(new[p : p + SPAN]) + p
+        at = slice(upto, upto + len(first))
+        keys[at], n[at] = keys[first], first
+        upto += len(first)
+    if upto:
+        n[:-1] = n[1:] - n[:-1]
+        n[-1] = len(keys) - n[-1]
+    return keys[:upto], n
 
 
 class Sums:
@@ -295,7 +328,7 @@ class Sums:
         self.loss, self.tokens = 0.0, 0
 
     def add(self, s2: np.ndarray, s1: np.ndarray, s0: np.ndarray) -> None:
-        self.add_keys(*_distinct([self.w.key(s2, s1, s0)]))
+        self.add_keys(*_distinct(self.w.key(s2, s1, s0)))
 
     def add_keys(self, keys: np.ndarray, n: np.ndarray) -> None:
         """Sorted keys, each n times."""
@@ -333,8 +366,9 @@ def _expected(held, observe: bool):
                 yield from sums.rows()
                 sums = Sums(w, observe)
             sums.add_keys(keys, n)
-            del keys, n  # else held while the next ones are put together
+            del keys, n  # else the counts are held while the next ones are made
         yield from sums.rows()
+        _release()
 
     return run
 
@@ -438,6 +472,7 @@ def _score(held):
             ids = row + np.arange(n)
             row += n
             yield pa.RecordBatch.from_arrays([pa.array(ids), b.column("doc_id"), b.column("held_out"), pa.array(np.diff(offsets)), pa.array(total(seen[codes].astype(np.int64))), pa.array(total(base)), pa.array(total(model)), pa.ListArray.from_arrays(pa.array(lists), rare)], ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "head_model", "rare"])
+        _release()
 
     return run
 

@@ -202,6 +202,45 @@ def test_maxent_counts_whole_beyond_the_reach_of_floats():
     assert sums.observed[0][0, 0] == sums.tokens == (1 << 24) + 5
 
 
+@pytest.mark.parametrize("span", [1, 3, 64, 1 << 18])
+def test_maxent_tells_contexts_apart_in_spans_of_any_size(monkeypatch, span):
+    monkeypatch.setattr(maxent, "SPAN", span)
+    monkeypatch.setattr(maxent, "CHUNK", 5)
+    for few, n in ((1, 50), (3, 200), (40, 200), (10**9, 200), (5, 1), (5, 0)):
+        keys = np.random.default_rng(few).integers(0, few, n) * 10 + np.arange(n) % 4
+        want, times = np.unique(keys, return_counts=True)
+        got, k = maxent._distinct(keys.copy())
+        assert got.tolist() == want.tolist() and k.tolist() == times.tolist()
+        seen, end = [], 0
+        for x, start, upto in maxent._contexts(want, 10):
+            assert 0 < len(x) <= 5 and start[0] == end and (want[start] // 10 == x).all()
+            seen, end = seen + np.repeat(x, np.diff(np.append(start, upto))).tolist(), upto
+            assert upto == len(want) or want[upto] // 10 != x[-1]
+        assert seen == (want // 10).tolist() and end == len(want)
+
+
+def test_maxent_counts_words_alike_in_pieces_of_any_size(monkeypatch):
+    rows = pa.RecordBatch.from_arrays([pa.array([t for _, t in ODD])], ["text"])
+    want = Counter(w for _, t in ODD for w in [*toks(t), b""])
+    for most in (1, 40, maxent.COUNTED):
+        monkeypatch.setattr(maxent, "COUNTED", most)
+        (got,) = maxent._count(iter([rows, rows.slice(0, 0)]))
+        assert {r["word"].encode(): r["n"] for r in got.to_pylist()} == want and got.num_rows == len(want)
+
+
+def test_maxent_workers_stay_small():
+    rows = pa.RecordBatch.from_arrays([pa.array([f"a word of text {k} " * 1_000 for k in range(600)])], ["text"])
+    mb, n = peak_mb(lambda: sum(sum(b.column("n").to_pylist()) for b in maxent._count(iter([rows]))))
+    assert n == 600 * 5_001
+    assert mb < 30  # of 11 MB of text
+    v = maxent.Vocabulary([(f"w{k}", 200 - k) for k in range(40)], 40, np.full(8, 50), np.full(8, 9_000), 72_000, 400)
+    rng = np.random.default_rng(9)
+    batch = encoded([[rng.integers(0, 48, 100_000)] for _ in range(50)])
+    mb, sums = peak_mb(lambda: list(maxent._expected(type("Held", (), {"value": v.start()}), True)(iter([batch]))))
+    assert np.frombuffer(sums[-1].column("sums")[0].as_py(), np.float64)[1] == 5_000_000
+    assert mb < 70  # 48 MB of them the keys of a block
+
+
 def test_maxent_vocabulary_grows_and_ties_do_not_empty_it(spark):
     few, many = (maxent.train(docs(spark, [(k, f"a{k} b{k} c{k}") for k in range(n)]), Scratch(spark, "t"), 1) for n in (40, 2_000))  # every word once
     assert 0 < (few.vocabulary.symbol >= 0).sum() < (many.vocabulary.symbol >= 0).sum() and many.weights.b.size > few.weights.b.size
