@@ -44,8 +44,8 @@ CHUNK, BLOCK, PIECE = 16_384, 6_000_000, 64
 MOST = (1 << 32) - 1
 #: Sorted keys among which contexts are told apart at once.
 SPAN = 16 * CHUNK
-#: Bytes of text that are encoded or scored at once, and those whose words are counted at once: arrays of tokens take some twenty bytes for each.
-TEXT, COUNTED = 2_000_000, 1_000_000
+#: Bytes of text that are scored at once (equal contexts among them are worked out once), encoded at once and counted at once.
+TEXT, ENCODED, COUNTED = 4_000_000, 2_000_000, 1_000_000
 #: Repeats of a row up to which its counts are added one by one.
 FEW = 3
 
@@ -276,7 +276,7 @@ def _encoded(held):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(held.value)
-        for b in pieces(batches, most=TEXT):
+        for b in pieces(batches, most=ENCODED):
             offsets, s0, *_ = encode(b.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array([s0.astype(np.uint32).tobytes()], pa.binary()), pa.array([offsets[:-1].astype(np.uint32).tobytes()], pa.binary())], ["symbols", "first"])
         _release()
